@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import pii
+from notegraph.llm import bpe, decontam, pii, simhash
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(_table(spark, sf_dir, "documents")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digest(decontam.find_matches(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notegraph.llm.common import cut
+
+    return simhash.digest(simhash.near_components(cut(simhash.fingerprints(_table(spark, sf_dir, "documents")))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_pii,)}
+    return {f.__name__: f for f in (op3_byte_bpe, op6_pii, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
