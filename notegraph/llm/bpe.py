@@ -200,7 +200,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(_decode(ranks_path, pattern), f"{schema}, decoded binary")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
+def digest(decoded: DataFrame, *more: str) -> DataFrame:
     return decoded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", *more, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

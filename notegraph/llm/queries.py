@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import bpe, decontam, pii, simhash
+from notegraph.llm import bpe, decontam, pii, quality, simhash
+from notegraph.llm.common import cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,19 +24,23 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(_table(spark, sf_dir, "documents")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.digest(quality.judge(docs, model))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.find_matches(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from notegraph.llm.common import cut
-
     return simhash.digest(simhash.near_components(cut(simhash.fingerprints(_table(spark, sf_dir, "documents")))))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_byte_bpe, op6_pii, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op3_byte_bpe, op6_pii, op8_quality_rules, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
