@@ -87,7 +87,7 @@ def bit_planes(points: np.ndarray) -> np.ndarray:
     n = -(-len(points) // 64) * 64
     padded = np.concatenate([points, np.repeat(points[-1:], n - len(points))])
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def near(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
@@ -111,7 +111,7 @@ def near(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
                     break
         else:
             found[:, lo : lo + _BLOCK_WORDS] = ~beyond
-    return np.unpackbits(found.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(bool)
+    return np.unpackbits(np.ascontiguousarray(found.astype("<u8")).view(np.uint8), axis=1, bitorder="little").astype(bool)
 
 
 def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
