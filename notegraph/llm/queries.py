@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, decontam, pii, quality, simhash
+from notegraph.llm import bpe, decontam, pii, quality, simhash, toxicity
 from notegraph.llm.common import cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.digest(toxicity.score(docs, model))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
@@ -40,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_byte_bpe, op6_pii, op8_quality_rules, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op6_pii, op8_quality_rules, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
