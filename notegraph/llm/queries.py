@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, decontam, pii, quality, simhash, toxicity
-from notegraph.llm.common import cut
+from notegraph.llm import bpe, decontam, kneser_ney, pii, quality, simhash, toxicity
+from notegraph.llm.common import crc_mod, cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,6 +27,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model = kneser_ney.fit(docs, ~held_out)
+    return kneser_ney.score(docs, model).withColumn("held_out", held_out)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(_table(spark, sf_dir, "documents")))
 
@@ -47,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op6_pii, op8_quality_rules, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_kneser_ney, op6_pii, op8_quality_rules, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
