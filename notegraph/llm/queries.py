@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, decontam, kneser_ney, pii, quality, simhash, toxicity
+from notegraph.llm import bpe, decontam, kneser_ney, pii, quality, simhash, suffix_dedup, toxicity
 from notegraph.llm.common import crc_mod, cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(_table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_kneser_ney, op6_pii, op8_quality_rules, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_kneser_ney, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
