@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, decontam, kneser_ney, pii, quality, simhash, suffix_dedup, toxicity
+from notegraph.llm import bpe, decontam, kneser_ney, pii, quality, sentence_spans, simhash, suffix_dedup, toxicity
 from notegraph.llm.common import crc_mod, cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score(docs, model))
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.digest(sentence_spans.remove_repeated_spans(_table(spark, sf_dir, "documents")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
@@ -58,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_kneser_ney, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentence_spans, op3_byte_bpe, op4_kneser_ney, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
