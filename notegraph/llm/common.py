@@ -7,9 +7,13 @@ depends on the block (or the longest single text) and not on the table.
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import wraps
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,36 @@ def py_crc_mod(doc_id, m: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once a Spark application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = Path(tempfile.mkdtemp(prefix="notegraph-code-"), f"{root.name}.zip")
+    path.write_bytes(held.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
+def shipping(f: Callable) -> Callable:
+    """f(spark, …) with the package's code sent ahead."""
+
+    @wraps(f)
+    def run(spark, *args):
+        ship(spark)
+        return f(spark, *args)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     sc = spark.sparkContext

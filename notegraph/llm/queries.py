@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.llm import bpe, decontam, kneser_ney, pii, quality, sentence_spans, simhash, suffix_dedup, toxicity
-from notegraph.llm.common import crc_mod, cut
+from notegraph.llm.common import crc_mod, cut, shipping
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -62,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentence_spans, op3_byte_bpe, op4_kneser_ney, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
+    return {f.__name__: shipping(f) for f in (op1_toxicity, op2_sentence_spans, op3_byte_bpe, op4_kneser_ney, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
