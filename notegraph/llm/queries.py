@@ -6,9 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, decontam, kneser_ney, pii, quality, sentence_spans, simhash, suffix_dedup, toxicity
+from notegraph.llm import bpe, decontam, kneser_ney, licenses, pii, quality, sentence_spans, simhash, suffix_dedup, toxicity
 from notegraph.llm.common import crc_mod, cut, shipping
 
+#: Documents as files: each source a tree, every tenth a licence file of its own directory, every hundredth of the one above.
+FILES_SQL = """SELECT doc_id, text, source || '/' || CAST(floor(doc_id / 100) AS BIGINT) ||
+  CASE WHEN doc_id % 100 = 0 THEN '/LICENSE' WHEN doc_id % 10 = 0 THEN '/' || CAST(floor(doc_id / 10) AS BIGINT) || '/LICENSE.txt'
+  ELSE '/' || CAST(floor(doc_id / 10) AS BIGINT) || '/' || doc_id || '.md' END AS path FROM documents"""
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -38,6 +42,14 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, model).withColumn("held_out", held_out)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    group = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).when(F.col("doc_id") % 10 == 0, F.concat(group(10), F.lit("/LICENSE.txt")))
+    name = name.otherwise(F.concat(group(10), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", group(100), name).alias("path")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(_table(spark, sf_dir, "documents")))
 
@@ -62,8 +74,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: shipping(f) for f in (op1_toxicity, op2_sentence_spans, op3_byte_bpe, op4_kneser_ney, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
+    return {f.__name__: shipping(f) for f in (op1_toxicity, op2_sentence_spans, op3_byte_bpe, op4_kneser_ney, op5_licenses, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_licenses": licenses.oracle(FILES_SQL)}
