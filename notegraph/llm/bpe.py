@@ -32,7 +32,7 @@ from notegraph.llm.common import text_key
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 _LOOKAHEAD = 4
-_CACHED_PIECES = 200_000
+_CACHED_PIECES = 100_000
 
 
 def load_ranks(lines: list[str]) -> dict[bytes, int]:

@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+ARROW_BYTES = 4 << 20
 _U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -39,7 +40,8 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once a Spark application."""
+    """Sends this package's code to the executors, once a Spark application, and bounds Arrow batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -164,7 +166,7 @@ class Roller:
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         got = self._powers.get(self.which)
         if got is None or len(got[0]) < n:
-            size = max(n, BLOCK_BYTES + (1 << 18))
+            size = max(n, 2 * BLOCK_BYTES)
             base = _BASES[self.which]
             both = []
             for b in (base, pow(base, -1, 1 << 64)):

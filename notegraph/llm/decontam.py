@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training side.
 
-Every shard (a sub-block of texts, about a megabyte) gets a suffix array over its
+Every shard (a sub-block of texts) gets a suffix array over its
 words: positions sorted by their next words, found by prefix doubling of ranks. Every
 suffix of every benchmark item is then binary-searched in each shard's array; what
 shares at least a window of words with it is a verbatim match, which is extended to
