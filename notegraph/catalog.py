@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from notegraph.plans import base, graph, loop, search
+
+_MODULES = (base, graph, search, loop)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.ORACLE.items()}

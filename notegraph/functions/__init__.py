@@ -1 +1 @@
-"""Note-graph retrieval on Spark."""
+"""Column functions."""

@@ -1 +1 @@
-"""Note-graph retrieval on Spark."""
+"""Operators over note tables."""

@@ -1 +1 @@
-"""Note-graph retrieval on Spark."""
+"""Queries of the catalogue, by subject, with their SQL twins."""

@@ -1 +1 @@
-"""Note-graph retrieval on Spark."""
+"""Readers and adapters."""

@@ -1 +1 @@
-"""Note-graph retrieval on Spark."""
+"""Structured Streaming: rebuild on change, feedback, turns."""
