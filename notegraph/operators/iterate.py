@@ -65,16 +65,17 @@ def activation_rounds(
     round squashes; a note at rest would come out at one small constant, below any
     threshold, so resting notes need no rows.
     """
-    adj = adjacency(edges)
+    adj = _cut(adjacency(edges))
     nodes = adj.select(F.col("src").alias("name")).union(adj.select("dst")).distinct()
     n_nodes = nodes.agg(F.count("*").alias("n_nodes"))
     fan = adj.groupBy("src").agg(F.count("*").alias("fan"))
-    out = adj.join(fan, "src")
+    out = _cut(adj.join(fan, "src"))
     state = anchors.join(nodes, "name", "left_semi").select("query_id", "name", (F.col("score") * alpha).alias("a")).where("a <> 0")
     states = [state]
     for r in range(rounds):
         flow = state.join(out, state["name"] == out["src"]).select("query_id", F.col("dst").alias("name"), (spread * F.col("w") * F.col("a") / F.col("fan")).alias("u"))
         u = state.select("query_id", "name", (F.col("a") * keep).alias("u")).unionAll(flow).groupBy("query_id", "name").agg(F.sum("u").alias("u"))
+        u = _cut(u)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("u").desc(), "name"))
         tops = u.withColumn("_r", rank).where(F.col("_r") <= top_m).groupBy("query_id").agg(F.collect_list("u").alias("tops"))
         pressure = F.aggregate("tops", F.lit(0.0), lambda s, x: s + F.greatest(x - F.col("u"), F.lit(0.0)))
@@ -84,6 +85,7 @@ def activation_rounds(
         state = held.select("query_id", "name", (squashed if r == rounds - 1 else F.greatest(u_hat, F.lit(0.0))).alias("a"))
         if r < rounds - 1:
             state = state.where("a > 0")
+        state = _cut(state)
         states.append(state)
     return states
 

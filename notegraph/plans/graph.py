@@ -1 +1,313 @@
+"""Graph construction, decay, expansion, iteration, merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notegraph.functions import decay
+from notegraph.functions import text as T
+from notegraph.operators import expand, graph, iterate
+from notegraph.plans import sql as S
+from notegraph.settings import DEFAULT
+from notegraph.sources import tables
+
 QUERIES, ORACLE = {}, {}
+NOW = DEFAULT.now
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ SQL twins
+
+SHAPED = f"shaped AS MATERIALIZED (SELECT name, note_ord, dir, tags, {S.tokens('summary')} AS tok FROM notes)"
+_MEASURES = f"a.name AS src, b.name AS dst, {S.jaccard('a.tags', 'b.tags')} AS tag_jaccard, {S.overlap('a.tok', 'b.tok')} AS token_overlap"
+SAME_DIR = f"same_dir AS MATERIALIZED (SELECT * FROM (SELECT {_MEASURES} FROM shaped a JOIN shaped b ON a.dir = b.dir AND a.name <> b.name) WHERE token_overlap >= 3 OR tag_jaccard >= 0.35)"
+BY_TAG = f"""by_tag AS MATERIALIZED (SELECT * FROM (SELECT {_MEASURES} FROM shaped a JOIN shaped b ON a.name <> b.name AND list_has_any(a.tags, b.tags))
+  WHERE tag_jaccard >= 0.4 OR (tag_jaccard >= 0.25 AND token_overlap >= 5))"""
+SIM = """sim AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY tag_jaccard * 10 + token_overlap * 0.5 DESC, dst) AS edge_ord
+  FROM (SELECT * FROM same_dir UNION SELECT * FROM by_tag) QUALIFY edge_ord <= 5)"""
+PRE = """pre AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS edge_ord FROM (SELECT DISTINCT src, target AS dst FROM note_links) QUALIFY edge_ord <= 10)"""
+EDGES = "edges AS MATERIALIZED (SELECT src, dst, 'pre' AS kind, edge_ord FROM pre UNION ALL SELECT src, dst, 'sim', edge_ord FROM sim)"
+_W = "greatest(0.35::DOUBLE, least(tag_jaccard * 0.7::DOUBLE + least(token_overlap / 20.0::DOUBLE, 0.3::DOUBLE), 1.0::DOUBLE))"
+WEIGHTS = f"""weighted AS MATERIALIZED (SELECT x.src, x.dst, type, weight, CASE WHEN list_contains(list_concat(a.tags, b.tags), 'decree') THEN 'decree' WHEN list_contains(list_concat(a.tags, b.tags), 'ephemeral') THEN 'ephemeral' ELSE 'default' END AS tag
+  FROM (SELECT src, dst, 'similarity' AS type, {_W} AS weight FROM sim UNION ALL SELECT src, dst, 'prerequisite', 1.0::DOUBLE FROM pre ANTI JOIN sim USING (src, dst)) x
+  JOIN notes a ON a.name = x.src JOIN notes b ON b.name = x.dst)"""
+BUILT = (S.NOTES, S.NOTE_LINKS, SHAPED, SAME_DIR, BY_TAG, SIM, PRE, EDGES, WEIGHTS)
+
+
+def rate_sql(tag: str) -> str:
+    return f"CASE WHEN {tag} = 'decree' THEN 0.0::DOUBLE WHEN {tag} = 'ephemeral' THEN {DEFAULT.lambdas['ephemeral']!r}::DOUBLE ELSE {DEFAULT.lambdas['default']!r}::DOUBLE END"
+
+
+def effective_sql(w: str, tag: str, touch: str) -> str:
+    return f"CASE WHEN coalesce({touch}, 0) = 0 OR {tag} = 'decree' THEN {w} ELSE {w} * exp(-({rate_sql(tag)}) * greatest(0.0::DOUBLE, {NOW}::DOUBLE - {touch})) END"
+
+
+#: Test notes were touched up to 89 days ago, by number.
+TOUCHED = f"touched AS (SELECT w.*, {NOW}::DOUBLE - (n.note_ord % 90) * 86400.0::DOUBLE AS last_touch FROM weighted w JOIN notes n ON n.name = w.src)"
+WEIGHED = f"""weighed AS MATERIALIZED (SELECT e.src, e.dst, kind, edge_ord, CASE WHEN weight IS NULL THEN CASE WHEN kind = 'pre' THEN 0.5::DOUBLE ELSE 0.35::DOUBLE END ELSE {effective_sql('weight', 'tag', 'last_touch')} END AS w
+  FROM edges e LEFT JOIN touched t ON e.src = t.src AND e.dst = t.dst)"""
+
+
+def note_graph(spark, d):
+    """(notes, weighed edges) of the test notes; notes are read once more where they are needed."""
+    n = tables.notes(spark, d)
+    edges, weights = graph.build(n, tables.note_links(n))
+    touch = n.select(F.col("name").alias("src"), (F.lit(NOW) - (F.col("note_ord") % 90) * 86400.0).alias("last_touch"))
+    return n, expand.weigh(edges, weights.join(touch, "src"))
+
+
+# -------------------------------------------------------------------- queries
+
+
+@query(S.with_(S.NOTES, SHAPED, SAME_DIR) + f"SELECT src, dst, {S.round4('tag_jaccard')} AS tag_jaccard, token_overlap FROM same_dir")
+def sim_same_dir(spark, d):
+    return graph.same_dir_pairs(tables.notes(spark, d)).select("src", "dst", T.round4(F.col("tag_jaccard")).alias("tag_jaccard"), F.col("token_overlap").cast("long"))
+
+
+@query(S.with_(S.NOTES, SHAPED, BY_TAG) + f"SELECT src, dst, {S.round4('tag_jaccard')} AS tag_jaccard, token_overlap FROM by_tag")
+def sim_tags(spark, d):
+    return graph.tag_pairs(tables.notes(spark, d)).select("src", "dst", T.round4(F.col("tag_jaccard")).alias("tag_jaccard"), F.col("token_overlap").cast("long"))
+
+
+_DATED = "dated AS (SELECT DISTINCT 'c' || o_custkey || '-' || strftime(o_orderdate, '%Y-%m-%d') || '-x' AS name, 'c' || o_custkey AS stem, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)"
+
+
+@query(S.with_(_DATED) + "SELECT a.name AS src, b.name AS dst FROM dated a JOIN dated b ON a.stem = b.stem AND a.day < b.day WHERE substr(a.day, 1, 4) IN ('1996', '1997')")
+def prereq_sequence(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    names = tables.table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("-"), day, F.lit("-x")).alias("name"))
+    return graph.dated_links(names, ("1996", "1997"))
+
+
+@query(S.with_(*BUILT) + "SELECT src, dst, kind, edge_ord FROM edges")
+def build_edges(spark, d):
+    n = tables.notes(spark, d)
+    return graph.build(n, tables.note_links(n))[0].select("src", "dst", "kind", F.col("edge_ord").cast("long"))
+
+
+@query(S.with_(*BUILT) + f"SELECT src, dst, type, {S.round4('weight')} AS weight, tag FROM weighted")
+def edge_weights(spark, d):
+    n = tables.notes(spark, d)
+    return graph.build(n, tables.note_links(n))[1].select("src", "dst", "type", T.round4(F.col("weight")).alias("weight"), "tag")
+
+
+@query(S.with_(*BUILT) + "SELECT tag, type, count(*) AS n FROM weighted GROUP BY ALL")
+def edge_tags(spark, d):
+    n = tables.notes(spark, d)
+    return graph.build(n, tables.note_links(n))[1].groupBy("tag", "type").agg(F.count("*").alias("n"))
+
+
+@query(S.with_(*BUILT) + "SELECT count(*) FILTER (kind = 'pre') AS prerequisite_edges, count(*) FILTER (kind = 'sim') AS similarity_edges, count(DISTINCT src) AS nodes FROM edges")
+def graph_stats(spark, d):
+    n = tables.notes(spark, d)
+    return graph.stats(graph.build(n, tables.note_links(n))[0])
+
+
+@query(S.with_(*BUILT) + "SELECT src, count(*) AS out_degree FROM edges GROUP BY src ORDER BY 2 DESC, 1 LIMIT 10")
+def top_degree(spark, d):
+    n = tables.notes(spark, d)
+    return graph.degree(graph.build(n, tables.note_links(n))[0])
+
+
+_E = S.with_(S.EVENTS, S.WEIGHTS)
+_EFF = effective_sql("weight", "tag", "last_touch")
+
+
+@query(_E + f"SELECT src, dst, tag, {S.round4(_EFF)} AS w_eff FROM event_weights")
+def decay_weights(spark, d):
+    w = tables.event_weights(spark, d)
+    return w.select("src", "dst", "tag", T.round4(decay.effective(F.col("weight"), F.col("tag"), F.col("last_touch"))).alias("w_eff"))
+
+
+@query(_E + f"SELECT src, dst FROM event_weights WHERE {_EFF} < 0.05")
+def soft_delete(spark, d):
+    w = tables.event_weights(spark, d)
+    return w.where(~decay.alive(decay.effective(F.col("weight"), F.col("tag"), F.col("last_touch")))).select("src", "dst")
+
+
+@query(_E + f"SELECT src, dst, {S.round4(_EFF)} AS w_eff FROM event_weights WHERE {_EFF} >= 0.05")
+def decay_pushdown(spark, d):
+    """Live edges; the bound on last_touch goes before the decay itself."""
+    w = tables.event_weights(spark, d)
+    eff = decay.effective(F.col("weight"), F.col("tag"), F.col("last_touch"))
+    kept = w.where(decay.may_be_alive(F.col("tag"), F.col("last_touch"), 2.0)).where(decay.alive(eff))
+    return kept.select("src", "dst", T.round4(eff).alias("w_eff"))
+
+
+_TAG_SQL = f"""{_E}, marks AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'u' ELSE 'k' END || doc_id AS name, list_concat(CASE WHEN quality = 1 THEN ['decree'] ELSE [] END, CASE WHEN toxic = 1 THEN ['ephemeral'] ELSE [] END) AS tags FROM labels)
+SELECT w.src, w.dst, coalesce(CASE WHEN use_count % 2 = 0 THEN tag END, CASE WHEN list_contains(list_concat(coalesce(a.tags, []), coalesce(b.tags, [])), 'decree') THEN 'decree'
+  WHEN list_contains(list_concat(coalesce(a.tags, []), coalesce(b.tags, [])), 'ephemeral') THEN 'ephemeral' ELSE 'default' END) AS tag FROM event_weights w LEFT JOIN marks a ON a.name = w.src LEFT JOIN marks b ON b.name = w.dst"""
+
+
+@query(_TAG_SQL)
+def resolve_edge_tag(spark, d):
+    none = T.strings([])
+    marks = tables.table(spark, d, "labels").select(
+        F.concat(F.when(F.col("doc_id") % 2 == 0, "u").otherwise("k"), F.col("doc_id").cast("string")).alias("name"),
+        F.concat(F.when(F.col("quality") == 1, T.strings(["decree"])).otherwise(none), F.when(F.col("toxic") == 1, T.strings(["ephemeral"])).otherwise(none)).alias("tags"),
+    )
+    w = tables.event_weights(spark, d).withColumn("stored", F.when(F.col("use_count") % 2 == 0, F.col("tag"))).drop("tag")
+    return graph.tag_edges(w, marks, "stored").select("src", "dst", "tag")
+
+
+# Expansion starts from five words of the page graph for each of ten queries.
+_STARTS = """starts AS (SELECT q AS query_id, name, row_number() OVER (PARTITION BY q ORDER BY name) AS start_ord FROM
+  (SELECT page_id % 10 AS q, links[1] AS name FROM pages_ WHERE links[1] <> '' GROUP BY ALL) QUALIFY start_ord <= 5)"""
+_WEIGHED_PAGES = "we AS (SELECT src, dst, kind, row_number() OVER (PARTITION BY src, kind ORDER BY dst) AS edge_ord, CASE WHEN length(dst) % 7 = 0 THEN 0.04::DOUBLE ELSE w END AS w FROM page_edges QUALIFY edge_ord <= 10)"
+
+
+def page_graph(spark, d):
+    p = tables.pages(spark, d)
+    from pyspark.sql import Window
+
+    e = tables.page_edges(p).withColumn("edge_ord", F.row_number().over(Window.partitionBy("src", "kind").orderBy("dst"))).where("edge_ord <= 10")
+    e = e.withColumn("w", F.when(F.length("dst") % 7 == 0, 0.04).otherwise(F.col("w")))
+    first = p.select((F.col("page_id") % 10).alias("query_id"), F.get("links", F.lit(0)).alias("name")).where("name <> ''").distinct()
+    starts = first.withColumn("start_ord", F.row_number().over(Window.partitionBy("query_id").orderBy("name"))).where("start_ord <= 5")
+    return starts, e
+
+
+def expand_sql(starts: str, we: str) -> list[str]:
+    """CTEs of the level-by-level expansion, ending in ``expanded``."""
+    out = [f"l0 AS MATERIALIZED (SELECT query_id, name, 0 AS depth, NULL::VARCHAR AS caller, 0.5::DOUBLE AS w, start_ord AS ord FROM {starts})"]
+    seen = "SELECT query_id, name FROM l0"
+    for i in (1, 2, 3):
+        out.append(f"""l{i} AS MATERIALIZED (SELECT * FROM (SELECT p.query_id, e.dst AS name, {i} AS depth, p.name AS caller, e.w, p.ord * 100 + e.edge_ord AS ord FROM l{i - 1} p JOIN {we} e ON e.src = p.name AND e.kind = 'pre'
+  QUALIFY row_number() OVER (PARTITION BY p.query_id, e.dst ORDER BY p.ord, e.edge_ord) = 1) x WHERE (query_id, name) NOT IN ({seen}))""")
+        seen += f" UNION ALL SELECT query_id, name FROM l{i}"
+    every = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(4))
+    out.append(f"expanded AS (SELECT query_id, name, depth, caller, {S.round4('w')} AS weight, {S.round4('w')} / (depth + 1) AS rank_score, ord FROM ({every}) WHERE caller IS NULL OR w >= 0.05)")
+    return out
+
+
+@query(S.with_(S.PAGES, S.PAGE_EDGES, _STARTS, _WEIGHED_PAGES, *expand_sql("starts", "we")) + f"SELECT query_id, name, depth, caller, weight, {S.round4('rank_score')} AS rank_score FROM expanded")
+def p_expand_set(spark, d):
+    starts, e = page_graph(spark, d)
+    return expand.expand_prerequisites(starts, e).select("query_id", "name", "depth", "caller", "weight", T.round4(F.col("rank_score")).alias("rank_score"))
+
+
+@query()
+def p_expand_exact(spark, d):
+    starts, e = page_graph(spark, d)
+    return expand.expand_prerequisites_exact(starts, e).select("query_id", "name", "depth", "caller", "weight", T.round4(F.col("rank_score")).alias("rank_score"))
+
+
+def similar_sql(starts: str, we: str) -> str:
+    return f"""hop_all AS MATERIALIZED (SELECT s.query_id, e.dst AS name, s.name AS source_node, e.w, s.start_ord * 100 + e.edge_ord AS ord FROM {starts} s JOIN {we} e ON e.src = s.name AND e.kind = 'sim'
+  WHERE (s.query_id, e.dst) NOT IN (SELECT query_id, name FROM {starts}) QUALIFY row_number() OVER (PARTITION BY s.query_id, e.dst ORDER BY s.start_ord, e.edge_ord) = 1),
+hop AS MATERIALIZED (SELECT query_id, name, source_node, {S.round4('w')} AS weight, ord FROM hop_all WHERE w >= 0.05)"""
+
+
+@query(S.with_(S.PAGES, S.PAGE_EDGES, _STARTS, _WEIGHED_PAGES, similar_sql("starts", "we")) + "SELECT query_id, name, source_node, weight FROM hop")
+def s_expand(spark, d):
+    starts, e = page_graph(spark, d)
+    return expand.expand_similar(starts, e).select("query_id", "name", "source_node", "weight")
+
+
+FALLBACK = """start_tags AS (SELECT query_id, tag, count(*) AS times FROM (SELECT s.query_id, unnest(n.tags) AS tag FROM starts s JOIN notes n USING (name) WHERE s.query_id NOT IN (SELECT query_id FROM hop GROUP BY 1 HAVING count(*) >= 3)) GROUP BY ALL),
+tagged AS (SELECT t.query_id, n.name, n.note_ord, count(*) AS n_shared, sum(times) AS weighted FROM start_tags t JOIN (SELECT name, note_ord, unnest(tags) AS tag FROM notes) n USING (tag) GROUP BY ALL),
+fallback AS (SELECT t.query_id, t.name, f.source_node, 0.15::DOUBLE AS weight, 1000000 + note_ord AS ord FROM tagged t JOIN (SELECT query_id, arg_min(name, start_ord) AS source_node FROM starts GROUP BY 1) f USING (query_id)
+  WHERE n_shared >= 2 AND weighted >= 4 AND (t.query_id, t.name) NOT IN (SELECT query_id, name FROM starts UNION ALL SELECT query_id, name FROM hop_all))"""
+_NOTE_STARTS = "starts AS (SELECT note_ord // 4 AS query_id, name, note_ord % 4 + 1 AS start_ord FROM notes)"
+_SPARSE = "we AS (SELECT a.name AS src, b.name AS dst, 'sim' AS kind, 1 AS edge_ord, 0.6::DOUBLE AS w FROM notes a JOIN notes b ON b.note_ord = a.note_ord * 3)"
+
+
+@query(S.with_(S.NOTES, _NOTE_STARTS, _SPARSE, similar_sql("starts", "we"), FALLBACK) + "SELECT query_id, name, source_node, weight FROM fallback")
+def tag_fallback(spark, d):
+    n = tables.notes(spark, d)
+    starts = n.select(F.floor(F.col("note_ord") / 4).alias("query_id"), "name", (F.col("note_ord") % 4 + 1).alias("start_ord"))
+    e = n.select(F.col("name").alias("src"), (F.col("note_ord") * 3).alias("k")).join(n.select(F.col("note_ord").alias("k"), F.col("name").alias("dst")), "k")
+    e = e.select("src", "dst", F.lit("sim").alias("kind"), F.lit(1).alias("edge_ord"), F.lit(0.6).alias("w"))
+    return expand.tag_fallback(starts, e, n, expand.expand_similar(starts, e)).select("query_id", "name", "source_node", "weight")
+
+
+_ROUNDS = 8
+
+
+def _pagerank_sql() -> str:
+    out = ["both_ AS (SELECT src, dst FROM page_edges UNION SELECT dst, src FROM page_edges)", "deg AS (SELECT src, count(*) AS degree FROM both_ GROUP BY 1)", "links_ AS MATERIALIZED (SELECT b.src, b.dst, degree FROM both_ b JOIN deg USING (src))"]
+    out += ["r0 AS MATERIALIZED (SELECT src AS name, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS pr FROM deg)"]
+    for i in range(1, _ROUNDS):
+        out.append(f"r{i} AS MATERIALIZED (SELECT dst AS name, (1 - 0.85::DOUBLE) / (SELECT count(*) FROM deg) + 0.85::DOUBLE * sum(pr / degree) AS pr FROM links_ JOIN r{i - 1} ON name = src GROUP BY dst)")
+    return S.with_(S.PAGES, S.PAGE_EDGES, *out) + f"SELECT name, round(pr, 6) AS pagerank FROM r{_ROUNDS - 1}"
+
+
+@query(_pagerank_sql())
+def pagerank(spark, d):
+    """A fixed number of rounds, for the twin: the vector before the last step."""
+    rank = iterate.pagerank(tables.page_edges(tables.pages(spark, d)), max_iter=_ROUNDS - 1, tol=0.0)
+    return rank
+
+
+_ANCHORS = "anchors AS (SELECT query_id, name, 0.5::DOUBLE + start_ord / 10.0::DOUBLE AS score FROM starts)"
+
+
+def _activation_ctes() -> list[str]:
+    out = [
+        "adj AS MATERIALIZED (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM page_edges UNION ALL SELECT dst, src, w FROM page_edges WHERE kind = 'sim') GROUP BY ALL HAVING max(w) > 0)",
+        "fan AS (SELECT src, count(*) AS fan FROM adj GROUP BY 1)",
+        "n_nodes AS (SELECT count(*) AS n FROM (SELECT src FROM adj UNION SELECT dst FROM adj))",
+        "a0 AS MATERIALIZED (SELECT query_id, name, score * 3.0::DOUBLE AS a FROM anchors WHERE name IN (SELECT src FROM adj UNION SELECT dst FROM adj))",
+    ]
+    for i in (1, 2, 3):
+        raw = "greatest(0.0::DOUBLE, u - 0.15::DOUBLE * (SELECT coalesce(sum(greatest(t.u - x.u, 0.0::DOUBLE)), 0) FROM top_%d t WHERE t.query_id = x.query_id))" % i
+        hat = f"CASE WHEN (SELECT n FROM n_nodes) <= 7 THEN u ELSE {raw} END"
+        value = f"1 / (1 + exp(-4.0::DOUBLE * ({hat} - 1.5::DOUBLE)))" if i == 3 else f"greatest({hat}, 0.0::DOUBLE)"
+        out.append(f"""u_{i} AS MATERIALIZED (SELECT query_id, name, sum(u) AS u FROM (SELECT query_id, name, a * 0.95::DOUBLE AS u FROM a{i - 1} UNION ALL
+  SELECT p.query_id, e.dst, 0.8::DOUBLE * e.w * p.a / f.fan FROM a{i - 1} p JOIN adj e ON e.src = p.name JOIN fan f ON f.src = e.src) GROUP BY ALL)""")
+        out.append(f"top_{i} AS MATERIALIZED (SELECT query_id, u FROM u_{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY u DESC, name) <= 7)")
+        out.append(f"a{i} AS MATERIALIZED (SELECT * FROM (SELECT query_id, name, {value} AS a FROM u_{i} x)" + (")" if i == 3 else " WHERE a > 0)"))
+    return out
+
+
+ACTIVATION = [S.PAGES, S.PAGE_EDGES, _STARTS, _ANCHORS, *_activation_ctes()]
+
+
+def _anchors(spark, d):
+    starts, _ = page_graph(spark, d)
+    return starts.select("query_id", "name", (F.lit(0.5) + F.col("start_ord") / 10).alias("score")), tables.page_edges(tables.pages(spark, d))
+
+
+@query(S.with_(*ACTIVATION) + f"SELECT query_id, rank, name, activation FROM (SELECT query_id, name, {S.round4('a')} AS activation, row_number() OVER (PARTITION BY query_id ORDER BY {S.round4('a')} DESC, name) AS rank FROM a3 WHERE a > 0.05) WHERE rank <= 10")
+def activation(spark, d):
+    return iterate.activate(*_anchors(spark, d))
+
+
+@query(S.with_(*ACTIVATION) + " UNION ALL ".join(f"SELECT * FROM (SELECT query_id, {i} AS round, row_number() OVER (PARTITION BY query_id ORDER BY {S.round4('a')} DESC, name) AS rank, name, {S.round4('a')} AS activation FROM a{i} WHERE a > 0.001) WHERE rank <= 10" for i in range(4)))
+def activation_trace(spark, d):
+    return iterate.activation_trace(*_anchors(spark, d))
+
+
+_LLM = "found AS (SELECT a.name AS src, b.name AS dst, CASE WHEN a.note_ord % 2 = 0 THEN 'pre' ELSE 'sim' END AS kind, 'r' || a.note_ord AS reason, CASE WHEN a.note_ord % 3 = 0 THEN 'strong' END AS strength FROM notes a JOIN notes b ON b.note_ord = a.note_ord + 2)"
+
+
+def _llm(n):
+    b = n.select((F.col("note_ord") - 2).alias("note_ord"), F.col("name").alias("dst"))
+    return n.select("note_ord", F.col("name").alias("src")).join(b, "note_ord").select(
+        "src", "dst", F.when(F.col("note_ord") % 2 == 0, "pre").otherwise("sim").alias("kind"), F.concat(F.lit("r"), F.col("note_ord").cast("string")).alias("reason"),
+        F.when(F.col("note_ord") % 3 == 0, "strong").alias("strength"),
+    )
+
+
+@query(S.with_(*BUILT, _LLM) + f"""SELECT src, dst, type, {S.round4('weight')} AS weight, source FROM (SELECT src, dst, type, weight, NULL AS source FROM weighted
+UNION ALL SELECT src, dst, CASE WHEN kind = 'pre' THEN 'prerequisite' ELSE 'similarity' END, CASE WHEN kind = 'pre' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END, 'llm' FROM found ANTI JOIN weighted USING (src, dst))""")
+def merge_llm_pairs(spark, d):
+    n = tables.notes(spark, d)
+    edges, weights = graph.build(n, tables.note_links(n))
+    return graph.merge_pairs(edges, weights, _llm(n).select("src", "dst", "kind"))[1].select("src", "dst", "type", T.round4(F.col("weight")).alias("weight"), "source")
+
+
+@query(S.with_(*BUILT, _LLM) + """SELECT src || CASE WHEN kind = 'pre' THEN '→' ELSE '↔' END || dst AS edge, CASE WHEN kind = 'pre' THEN 'prerequisite' ELSE 'similarity' END AS type, 'LLM' AS source, reason,
+CASE WHEN kind = 'sim' THEN coalesce(strength, 'medium') END AS strength FROM found ANTI JOIN edges USING (src, dst, kind)""")
+def merge_llm_edges(spark, d):
+    n = tables.notes(spark, d)
+    return graph.merge_named(graph.build(n, tables.note_links(n))[0], _llm(n))[1]

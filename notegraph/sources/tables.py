@@ -68,7 +68,7 @@ def edge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("dst"), kind.alias("event"),
-        F.struct("ts", "event_id").alias("ord"), (F.unix_micros("ts") / 1e6).alias("epoch"), "value", "event_id",
+        F.struct("ts", "event_id").alias("ord"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") / 1e6).alias("epoch"), "value", "event_id",
     )
 
 
