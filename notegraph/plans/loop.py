@@ -1 +1,202 @@
+"""Feedback, sessions, ingest, and batch forms of the streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notegraph.functions import text as T
+from notegraph.operators import feedback, ingest, sessions
+from notegraph.plans import sql as S
+from notegraph.settings import DEFAULT
+from notegraph.sources import readers, tables
+from notegraph.streaming import streams
+
 QUERIES, ORACLE = {}, {}
+NOW = DEFAULT.now
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -------------------------------------------------------------------- feedback
+
+DELTAS = f"""deltas AS MATERIALIZED (SELECT src, dst, {S.round4("sum(CASE event WHEN 'consumed' THEN 0.05::DOUBLE WHEN 'legacy' THEN 0.05::DOUBLE WHEN 'consumed_unsatisfied' THEN -0.01::DOUBLE ELSE -0.02::DOUBLE END)")} AS delta,
+  count(*) FILTER (event <> 'ignored')::INT AS use_count_delta,
+  coalesce(arg_max(event, {{'ts': ts, 'id': event_id}}) FILTER (event IN ('consumed', 'consumed_unsatisfied')), arg_min(CASE event WHEN 'legacy' THEN 'consumed_legacy' ELSE event END, {{'ts': ts, 'id': event_id}})) AS source
+  FROM edge_events GROUP BY src, dst)"""
+APPLIED = f"""applied AS MATERIALIZED (SELECT src, dst, coalesce(type, 'unknown') AS type, CASE WHEN delta IS NULL THEN weight ELSE {S.round4('greatest(0.05::DOUBLE, least(2.0::DOUBLE, coalesce(weight, 0.5::DOUBLE) + delta))')} END AS weight,
+  (coalesce(use_count, 0) + coalesce(use_count_delta, 0))::INT AS use_count, CASE WHEN delta IS NULL THEN last_touch ELSE {NOW}::DOUBLE END AS last_touch, CASE WHEN delta IS NULL THEN last_updated ELSE {NOW}::DOUBLE END AS last_updated,
+  CASE WHEN delta IS NULL THEN NULL WHEN type IS NULL THEN 'created' WHEN weight + delta >= 2 THEN 'capped_max' WHEN weight + delta <= 0.05 THEN 'capped_min' ELSE 'updated' END AS change
+  FROM event_weights FULL JOIN deltas USING (src, dst))"""
+
+
+@query(S.with_(S.EVENTS, DELTAS) + "SELECT * FROM deltas")
+def feedback_deltas(spark, d):
+    return feedback.deltas(tables.edge_events(spark, d))
+
+
+@query(S.with_(S.EVENTS, S.WEIGHTS, DELTAS, APPLIED) + f"SELECT src, dst, type, {S.round4('weight')} AS weight, use_count, change FROM applied")
+def apply_deltas(spark, d):
+    out = feedback.apply_deltas(tables.event_weights(spark, d), feedback.deltas(tables.edge_events(spark, d)))
+    return out.select("src", "dst", "type", T.round4(F.col("weight")).alias("weight"), "use_count", "change")
+
+
+@query(S.with_(S.EVENTS, S.WEIGHTS, DELTAS, APPLIED) + "SELECT count(*) FILTER (change <> 'created') AS updated, count(*) FILTER (change = 'created') AS created, count(*) FILTER (change = 'capped_max') AS capped_max, count(*) FILTER (change = 'capped_min') AS capped_min FROM applied")
+def apply_stats(spark, d):
+    return feedback.apply_stats(feedback.apply_deltas(tables.event_weights(spark, d), feedback.deltas(tables.edge_events(spark, d))))
+
+
+_COLD = f"last_updated < {NOW - 20 * 86400.0}::DOUBLE"
+
+
+@query(S.with_(S.EVENTS, S.WEIGHTS) + f"SELECT src, dst, CASE WHEN {_COLD} THEN {S.round4('greatest(0.05::DOUBLE, weight * 0.95::DOUBLE)')} ELSE weight END AS weight, {_COLD} AS decayed FROM event_weights")
+def cold_decay(spark, d):
+    from dataclasses import replace
+
+    out = feedback.cold_decay(tables.event_weights(spark, d), replace(DEFAULT, cold_days=20))
+    return out.select("src", "dst", "weight", F.col("decayed_at").isNotNull().alias("decayed"))
+
+
+@query(S.with_(S.EVENTS) + "SELECT event, count(*) AS n FROM edge_events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
+def feedback_window(spark, d):
+    e = tables.edge_events(spark, d).withColumn("ts", F.col("ord.ts").cast("timestamp"))
+    return readers.feedback_window(e, "2024-02-01 00:00:00", 30, "2024-01-20 00:00:00").groupBy("event").agg(F.count("*").alias("n"))
+
+
+_RECORDS = """records AS (SELECT user_id, list(DISTINCT k) FILTER (event_type IN ('purchase', 'click')) AS used, list(k ORDER BY event_id) FILTER (event_type = 'view') AS seen
+  FROM (SELECT user_id, event_type, event_id, json_extract_string(props, '$.k') AS k FROM events) GROUP BY 1)"""
+
+
+@query(S.with_(_RECORDS) + """SELECT user_id, len(coalesce(used, [])) AS consumed_count, len(list_filter(coalesce(seen, []), lambda k: NOT list_contains(coalesce(used, []), k))) AS ignored_count,
+array_to_string(list_filter(coalesce(seen, []), lambda k: NOT list_contains(coalesce(used, []), k))[1:20], ',') AS ignored FROM records""")
+def feedback_dedupe(spark, d):
+    e = tables.table(spark, d, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    edge = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("from"), F.col("k").alias("to"), F.lit("sim").alias("type"))
+    listed = lambda kinds: F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type").isin(*kinds), F.struct("event_id", edge.alias("e"))))), lambda x: x["e"])
+    g = e.groupBy("user_id").agg(listed(["purchase", "click"]).alias("c"), listed(["view"]).alias("i"))
+    cols = feedback.record(F.lit("s"), F.lit(None), F.lit("q"), F.lit(True), F.col("c"), F.col("i"))
+    r = g.select("user_id", *cols)
+    return r.select("user_id", F.col("consumed_count").cast("long"), F.col("ignored_count").cast("long"), F.array_join(F.transform("ignored_edges", lambda x: x["to"]), ",").alias("ignored"))
+
+
+_ITEMS = """it AS (SELECT DISTINCT page_id % 10 AS session, links[3] AS title, CASE WHEN page_id % 2 = 0 THEN 'pre' ELSE 'sim' END AS kind FROM pages_ WHERE links[3] <> ''),
+matched_ AS (SELECT DISTINCT page_id % 10 AS session, links[2] AS name FROM pages_),
+direct AS (SELECT session, e.src, title, it.kind FROM it JOIN page_edges e ON e.dst = title AND e.kind = it.kind WHERE (session, e.src) IN (SELECT session, name FROM matched_))"""
+
+
+@query(S.with_(S.PAGES, S.PAGE_EDGES, _ITEMS) + """SELECT session, src, title AS dst, kind AS type FROM direct UNION ALL SELECT i.session, f.src, i.title, i.kind FROM it i JOIN (SELECT dst, min(src) AS src FROM page_edges WHERE kind = 'sim' GROUP BY 1) f ON f.dst = i.title
+WHERE i.kind = 'sim' AND (i.session, i.title) NOT IN (SELECT session, title FROM direct WHERE kind = 'sim')""")
+def auto_feedback_map(spark, d):
+    p = tables.pages(spark, d)
+    s = (F.col("page_id") % 10).alias("session")
+    items = p.select(s, F.get("links", F.lit(2)).alias("title"), F.when(F.col("page_id") % 2 == 0, "pre").otherwise("sim").alias("kind"))
+    return feedback.map_items(tables.page_edges(p).withColumn("edge_ord", F.lit(1)), p.select(s, F.get("links", F.lit(1)).alias("name")), items)
+
+
+@query(S.with_(S.EVENTS, S.WEIGHTS) + f"""SELECT w.src, w.dst, CASE WHEN use_count % 2 = 0 THEN last_touch ELSE coalesce(greatest(a.m, b.m), {NOW}::DOUBLE) END AS last_touch FROM event_weights w
+LEFT JOIN (SELECT 'u' || doc_id AS name, 1.7e9::DOUBLE + n_chars AS m FROM documents) a ON a.name = w.src LEFT JOIN (SELECT 'k' || doc_id AS name, 1.7e9::DOUBLE + n_chars AS m FROM documents WHERE n_chars > 2000) b ON b.name = w.dst""")
+def backfill_touch(spark, d):
+    docs = tables.table(spark, d, "documents")
+    m = (F.lit(1.7e9) + F.col("n_chars")).alias("mtime")
+    i = F.col("doc_id").cast("string")
+    files = docs.select(F.concat(F.lit("u"), i).alias("name"), m).unionByName(docs.where("n_chars > 2000").select(F.concat(F.lit("k"), i).alias("name"), m))
+    w = tables.event_weights(spark, d).withColumn("last_touch", F.when(F.col("use_count") % 2 == 0, F.col("last_touch")))
+    return feedback.backfill(w, files).select("src", "dst", "last_touch")
+
+
+# -------------------------------------------------------------------- sessions
+
+_TEXTS = "texts AS MATERIALIZED (SELECT conv_id AS session, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1)"
+_MENTION = """words AS (SELECT DISTINCT lower(unnest(links)) AS name FROM pages_), mentioned AS MATERIALIZED (SELECT session, name FROM (SELECT DISTINCT session, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS name FROM texts)
+  WHERE name IN (SELECT name FROM words WHERE length(name) >= 6)),
+pairs AS MATERIALIZED (SELECT a.session, a.name AS a, b.name AS b, row_number() OVER (PARTITION BY a.session ORDER BY a.name, b.name) AS pair_ord FROM mentioned a JOIN mentioned b ON a.session = b.session AND a.name < b.name
+  WHERE a.session IN (SELECT session FROM mentioned GROUP BY 1 HAVING count(*) <= 15))"""
+
+
+def _pairs(spark, d):
+    words = tables.pages(spark, d).select(F.explode("links").alias("name")).select(F.lower("name").alias("name")).where(F.length("name") >= 6)
+    return sessions.pairs(sessions.mentions(sessions.session_texts(tables.sessions(spark, d)), words))
+
+
+@query(S.with_(_TEXTS) + "SELECT session, length(text) AS n_chars, md5(text) AS text_md5 FROM texts")
+def session_text(spark, d):
+    t = sessions.session_texts(tables.sessions(spark, d))
+    return t.select("session", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(S.with_(S.PAGES, _TEXTS, _MENTION) + "SELECT session, a, b, pair_ord FROM pairs")
+def session_pairs(spark, d):
+    return _pairs(spark, d)
+
+
+@query(S.with_(S.PAGES, _TEXTS, _MENTION) + "SELECT DISTINCT a, b, 'similarity' AS type FROM pairs WHERE pair_ord <= 20 UNION ALL SELECT a, b, 'prerequisite' FROM pairs GROUP BY a, b HAVING count(*) >= 2")
+def session_promote(spark, d):
+    return sessions.relations(_pairs(spark, d))
+
+
+_FUZZY = """fq AS (SELECT DISTINCT query, lower(query) AS ql FROM (SELECT substr(text, 1, 12) AS query FROM benchmark UNION ALL SELECT name || ' and more' FROM notes WHERE note_ord < 30 UNION ALL SELECT name FROM notes WHERE note_ord BETWEEN 30 AND 40
+  UNION ALL SELECT 'src3/000003' UNION ALL SELECT 'the and attion')),
+nn AS MATERIALIZED (SELECT name, note_ord, lower(name) AS nl, lower(path) AS pl, list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]{2,}')) AS w FROM notes),
+tiers AS (SELECT query, name, note_ord, CASE WHEN nl = ql THEN 1 WHEN contains(nl, ql) THEN 2 WHEN length(nl) >= 4 AND contains(ql, nl) THEN 3 WHEN contains(pl, ql) THEN 4
+  WHEN len(list_intersect(w, list_distinct(regexp_extract_all(ql, '[\\p{L}\\p{N}_]{2,}')))) >= 3 THEN 5 END AS tier, len(list_intersect(w, list_distinct(regexp_extract_all(ql, '[\\p{L}\\p{N}_]{2,}')))) AS c FROM fq, nn)"""
+
+
+@query(S.with_(S.NOTES, _FUZZY) + "SELECT query, name, tier FROM tiers WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN tier = 5 THEN -c ELSE 0 END, note_ord) = 1")
+def fuzzy_match(spark, d):
+    n = tables.notes(spark, d)
+    q = tables.table(spark, d, "benchmark").select(F.substring("text", 1, 12).alias("query"))
+    q = q.union(n.where("note_ord < 30").select(F.concat("name", F.lit(" and more")))).union(n.where("note_ord between 30 and 40").select("name"))
+    return sessions.fuzzy_match(q.union(spark.createDataFrame([("src3/000003",), ("the and attion",)], "query string")), n)
+
+
+# ---------------------------------------------------------------------- ingest
+
+KEYWORDS = ["idiot", "heatly", "und"]
+_TAGS = "list_distinct(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])#([a-zA-Z一-鿿][\\p{L}\\p{N}_一-鿿/-]*)', 1))"
+
+
+@query(S.with_(S.NOTES) + f""", c AS (SELECT conv_id * 1000 + turn AS text_id, text, {S.clean_grams('text')} AS g, len(list_filter({S.items(KEYWORDS)}, lambda k: contains(text, k))) > 0 AS keyword_hit FROM conversations),
+j AS MATERIALIZED (SELECT {S.clean_grams('summary')} AS g FROM notes WHERE list_contains(tags, 'decree')),
+near AS (SELECT text_id, max(len(list_intersect(c.g, j.g))::DOUBLE / (len(c.g) + len(j.g) - len(list_intersect(c.g, j.g)))) AS n FROM c, j WHERE len(c.g) > 0 AND len(j.g) > 0 GROUP BY 1)
+SELECT text_id, keyword_hit, coalesce(n, 0) >= CASE WHEN keyword_hit THEN 0.15::DOUBLE - 0.05::DOUBLE ELSE 0.15::DOUBLE END AS decree FROM c LEFT JOIN near USING (text_id)""")
+def judge(spark, d):
+    t = tables.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    return ingest.judge(t, tables.notes(spark, d), KEYWORDS)
+
+
+_NEW = f"""fresh AS MATERIALIZED (SELECT 'c' || conv_id AS name, list_sort({S.tokens('substr(text, 1, 60)')})[1:4] AS tags, substr(text, 1, 500) AS summary, string_split(text, ' ')[1] AS link FROM conversations WHERE turn = 0),
+fs AS MATERIALIZED (SELECT name, tags, {S.tokens('summary')} AS tok, {S.clean_grams('summary')} AS g FROM fresh), ns AS MATERIALIZED (SELECT name, tags, {S.tokens('summary')} AS tok, {S.clean_grams('summary')} AS g FROM notes),
+m AS (SELECT f.name AS src, n.name AS dst, {S.jaccard('f.tags', 'n.tags')} AS jac, {S.overlap('f.tok', 'n.tok')} AS ov, {S.jaccard('f.g', 'n.g')} AS ng FROM fs f, ns n),
+sims AS (SELECT src, dst, greatest(0.35::DOUBLE, least(jac * 0.7::DOUBLE + least(ov / 20.0::DOUBLE, 0.3::DOUBLE), 1.0::DOUBLE)) AS weight, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM m WHERE jac >= 0.4 OR (jac >= 0.25 AND ov >= 5) OR ng >= 0.15),
+pres AS (SELECT DISTINCT f.name AS src, n.name AS dst FROM fresh f JOIN notes n ON link <> '' AND (contains(lower(n.name), lower(link)) OR contains(lower(link), lower(n.name))))"""
+
+
+@query(S.with_(S.NOTES, _NEW) + f"SELECT src, dst, 'pre' AS kind, row_number() OVER (PARTITION BY src ORDER BY dst) AS edge_ord, 1.0::DOUBLE AS weight FROM pres UNION ALL SELECT src, dst, 'sim', CASE WHEN r <= 5 THEN r END, {S.round4('weight')} FROM sims")
+def increment_edges(spark, d):
+    c = tables.table(spark, d, "conversations").where("turn = 0")
+    new = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), F.slice(F.array_sort(T.tokens(F.substring("text", 1, 60))), 1, 4).alias("tags"), F.substring("text", 1, 500).alias("summary"), F.get(F.split("text", " "), F.lit(0)).alias("target"))
+    out = ingest.new_edges(new, new.select(F.col("name").alias("src"), "target").where("target <> ''"), tables.notes(spark, d))
+    return out.select("src", "dst", "kind", F.col("edge_ord").cast("long"), T.round4(F.col("weight")).alias("weight"))
+
+
+# --------------------------------------------------------------------- streams
+
+
+@query("SELECT conv_id AS session, turn, text FROM conversations WHERE length(text) >= 3 AND role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1")
+def turn_dedupe(spark, d):
+    """The batch form of one injection a session and turn."""
+    c = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", "text")
+    return streams.injections(c).select("session", "turn", "text")
+
+
+@query(S.with_(S.EVENTS, DELTAS) + "SELECT src, dst, delta FROM deltas")
+def feedback_stream(spark, d):
+    """The batch form of the feedback stream's fold."""
+    return feedback.deltas(tables.edge_events(spark, d)).select("src", "dst", "delta")
