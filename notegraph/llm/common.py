@@ -7,8 +7,10 @@ depends on the block (or the longest single text) and not on the table.
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -86,6 +88,26 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again; what its shuffles hold on disk is let go.
+
+    Unlike a checkpoint the files are columnar and compressed, and later reads take the
+    columns they need. They stay in the folder for its owner to clear.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go once the driver's JVM finds their plans unused, which is now."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def text_key(text: Column) -> Column:
     """With doc_id, names a row's content. Rows equal in both are interchangeable."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -1,23 +1,28 @@
 """Exact substring deduplication by distributed prefix doubling.
 
 A byte goes if some string of ``length`` bytes that covers it starts anywhere else.
-Prefix doubling names the strings that start at each position: a name of 2n bytes is
-the pair (name of n bytes here, name of n bytes n further on), and a position whose
-name nobody shares drops out, as no longer string from it can repeat. Spark groups the
-position-name pairs, round by round, over growing lengths.
-
-The first round takes few positions yet misses no repeat. Of every ``length`` bytes
-at least one ``SEED_BYTES``-long seed is sampled by winnowing: the least hash of each
-window of seeds, the rightmost if several tie. Equal strings sample equal seeds, so
-between two neighbouring seeds all string starts look at the same seed, and it is
-enough to ask of each seed (i) whether the stretch of all bytes that its strings span
-repeats whole, and only for seeds that repeat in stretches that differ (ii) which
-single positions do. Of equal stretches one is enough to stand for them in (ii), and it
-stands with a weight of two. In (ii) positions are ranked over the first half of a
-string, then over the pair of ranks of both halves; what is unique drops out between.
-
-Names are 128 bits of polynomial hash. Nothing is capped: rows of a hot stretch are
-added up before the shuffle and joined back in a join whose one side has a row a name.
+Prefix doubling ranks the strings that start at each position by ever longer prefixes:
+Spark groups (rank, position) rows, positions whose rank nobody shares drop out, and
+the others are ranked anew over a longer string, until unique or past the threshold.
+Ranks are hashes of what they rank, equal for equal strings, so ranks of longer
+strings come from the text at any position and in any task.
+
+Three rounds do, as neighbouring positions share most of their strings:
+
+1. Of the positions in every string at least one is a *seed*, chosen by winnowing the
+   hashes of ``SEED_BYTES`` bytes, so equal strings hold the same seed at the same
+   place. Neighbouring positions with one seed are a *stretch*. Seeds nobody shares
+   drop out.
+2. A stretch whose whole range of bytes repeats goes as a whole. Where stretches of one
+   seed differ, cells of ``CELL`` positions are ranked over the bytes that all strings
+   of the cell share, and over all bytes they span: the first unshared, a cell drops
+   out; the second shared, it goes as a whole.
+3. Where cells of one shared core differ, single positions are ranked over all
+   ``length`` bytes.
+
+Of equal stretches or cells one stands for all in the next round, with a weight of two,
+so groups of copies are compared once. Nothing is capped: equal rows are added up
+before the shuffle, and are joined back in joins whose one side has a row a rank.
 
 Edge cases: null and short texts lose nothing. Rows that repeat (same id, same text)
 repeat each other's strings like any two texts; all of them lose what repeats. Null
@@ -31,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import Roller, cut, map_blocks, mix, text_key
+from notegraph.llm.common import Roller, map_blocks, mix, stored
 
 LENGTH = 200
 SEED_BYTES = 48
+CELL = 16
 _NO_ID = (1 << 63) - 1
 
 
@@ -57,7 +63,7 @@ class Stretches:
         count = np.maximum(np.diff(off) - length + 1, 0)  # string starts of each text
         empty = np.zeros(0, np.int64)
         self.doc, self.first, self.last, self.ordinal = empty, empty, empty, empty
-        self.seed_hash, self.name = np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64)
+        self.seed_at, self.seed_hash, self.name = empty, np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64)
         if not count.any():
             return
         width = length - seed + 1
@@ -76,17 +82,26 @@ class Stretches:
         self.doc, self.first = doc[at], starts[at]
         self.last = starts[np.append(at[1:], len(starts)) - 1]
         self.ordinal = np.arange(len(at)) - np.searchsorted(self.doc, self.doc)
-        self.seed_hash = hashes[chosen[at]]
+        self.seed_at, self.seed_hash = chosen[at], hashes[chosen[at]]
         end = self.last + length
         # Where the seed lies in the stretch is part of its name.
         shift = mix((chosen[at] - self.first).astype(np.uint64) + np.uint64(0x1234567))
         self.name = np.stack([r.spans(p, self.first, end) ^ shift for r, p in zip(self.rollers, self.prefix)])
 
-    def names(self, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(r.spans(p, start, start + size) for r, p in zip(self.rollers, self.prefix))
+    def names(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(r.spans(p, start, end) for r, p in zip(self.rollers, self.prefix))
 
 
-_STRETCH = "id long, text_key long, ordinal int, seed long, n1 long, n2 long, copies int"
+#: A rank's row: what must be shared at least (key), the rank of all it spans (n1, n2), and where it is.
+_ROWS = "key long, n1 long, n2 int, id long, text_key int, place long, copies int"
+
+
+def _rows(batch, doc, key, names, place, copies) -> pa.RecordBatch:
+    take = pa.array(doc)
+    short = (names[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    cols = [pa.array(key.view(np.int64)), pa.array(names[0].view(np.int64)), pa.array(short), batch.column(0).take(take), batch.column(1).take(take)]
+    cols += [pa.array(place.astype(np.int64)), pa.array(copies.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "n1", "n2", "id", "text_key", "place", "copies"])
 
 
 def _stretches(length: int, seed: int):
@@ -95,67 +110,118 @@ def _stretches(length: int, seed: int):
         if not len(s.doc):
             return None
         # Stretches that repeat within a text are sent once, with their number.
-        key = s.name[0] ^ mix(s.doc.astype(np.uint64) + np.uint64(99))
-        _, at, back, copies = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        d = s.doc[at]
-        take = pa.array(d)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(s.ordinal[at], pa.int32())]
-            + [pa.array(x[at].view(np.int64)) for x in (s.seed_hash, s.name[0], s.name[1])]
-            + [pa.array(copies, pa.int32())],
-            names=["id", "text_key", "ordinal", "seed", "n1", "n2", "copies"],
-        )
+        within = s.name[0] ^ mix(s.doc.astype(np.uint64) + np.uint64(99))
+        _, at, copies = np.unique(within, return_index=True, return_counts=True)
+        return _rows(batch, s.doc[at], s.seed_hash[at], s.name[:, at], s.ordinal[at], copies)
+
+    return map_blocks(block)
+
+
+def _asked(batch, s: Stretches):
+    """What a text's rows ask for: (stretch, text, place, weight) arrays, or None."""
+    begin = np.searchsorted(s.doc, np.arange(batch.num_rows + 1))
+    rows = [(d, p, w) for d, asked in enumerate(batch.column(3).to_pylist()) for p, w in zip((x["place"] for x in asked), (x["weight"] for x in asked))]
+    if not rows:
+        return None
+    d, place, weight = (np.array(x, np.int64) for x in zip(*rows))
+    return begin, d, place, weight
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and whose each is."""
+    n = last - first + 1
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+
+
+def _cells(length: int, seed: int):
+    """Stretches asked for -> their cells: positions by how far they lie before the seed."""
+
+    size = min(CELL, length - seed + 1)  # so that what the strings of a cell share holds the seed
+
+    def block(batch, off, data):
+        s = Stretches(off, data, length, seed)
+        asked = _asked(batch, s)
+        if asked is None:
+            return None
+        begin, d, ordinal, weight = asked
+        at = begin[d] + ordinal
+        seed_at = s.seed_at[at]
+        near, far = seed_at - s.last[at], seed_at - s.first[at]
+        cell, whose = _ranges(near // size, far // size)
+        p, lo, hi = seed_at[whose], np.maximum(cell * size, near[whose]), np.minimum(cell * size + size - 1, far[whose])
+        # All strings of a cell, of any text that has one, share these bytes.
+        core = s.names(p - cell * size, p - (cell * size + size - 1) + length)[0] ^ mix(cell.astype(np.uint64) + np.uint64(7))
+        first, last = p - hi, p - lo
+        shift = mix((p - first).astype(np.uint64) + np.uint64(0x1234567))
+        spans = [n ^ shift for n in s.names(first, last + length)]
+        place = ((first - off[d[whose]]) << 8) | (last - first + 1)
+        return _rows(batch, d[whose], core, spans, place, weight[whose])
 
     return map_blocks(block)
 
 
 def _positions(length: int, seed: int):
-    """Texts with the ordinals of the stretches asked about -> their string starts, ranked over both halves."""
-    half = length // 2
+    """Cells asked for -> their positions, by the whole string."""
 
     def block(batch, off, data):
         s = Stretches(off, data, length, seed)
-        asked, weight = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        begin = np.searchsorted(s.doc, np.arange(len(off)))
-        rows = [(begin[d] + o, d, w) for d, (os, ws) in enumerate(zip(asked, weight)) for o, w in zip(os or [], ws or [])]
-        if not rows:
+        asked = _asked(batch, s)
+        if asked is None:
             return None
-        at, d, w = (np.array(x) for x in zip(*rows))
-        n = s.last[at] - s.first[at] + 1
-        start = np.repeat(s.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        d, w = np.repeat(d, n), np.repeat(w, n)
-        take = pa.array(d)
-        front, behind = s.names(start, half), s.names(start + half, length - half)
-        cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array((start - off[d]).astype(np.int32)), pa.array(w.astype(np.int32))]
-        cols += [pa.array(x.view(np.int64)) for x in (*front, *behind)]
-        return pa.RecordBatch.from_arrays(cols, names=["id", "text_key", "start", "weight", "f1", "f2", "b1", "b2"])
+        _, d, place, weight = asked
+        first = off[d] + (place >> 8)
+        start, whose = _ranges(first, first + (place & 255) - 1)
+        names = s.names(start, start + length)
+        return _rows(batch, d[whose], names[0], names, ((start - off[d[whose]]) << 8) | 1, weight[whose])
 
     return map_blocks(block)
 
 
+_OWN, _NAME = ["id", "text_key"], ["key", "n1", "n2"]
+
+
+def _round(rows: DataFrame, more: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """rows of one round -> (id, text_key, places that repeat whole), and what to ask in the next.
+
+    Asked is one row of each rank whose key is shared by others of another rank, with a
+    weight of its copies, two at most.
+    """
+    rows = stored(rows)
+    shared = rows.groupBy("key").agg(F.sum("copies").alias("c"), F.min("n1").alias("lo"), F.max("n1").alias("hi"))
+    live = stored(shared.where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("varied")))
+    rows = stored(rows.join(live, "key"))
+    ranks = stored(rows.groupBy(*_NAME, "varied").agg(F.sum("copies").alias("c"), F.min(F.struct("id", "text_key", "place")).alias("least")))
+    whole = rows.join(ranks.where("c > 1").select(*_NAME), _NAME, "left_semi").groupBy(*_OWN).agg(F.collect_set("place").alias("places"))
+    if not more:
+        return stored(whole), None
+    asked = ranks.where("varied").select("least.*", F.least("c", F.lit(2)).cast("int").alias("weight"))
+    return stored(whole), stored(asked.groupBy(*_OWN).agg(F.collect_list(F.struct("place", "weight")).alias("asked")))
+
+
 _REMOVED = "removed array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _remove(length: int, seed: int):
-    """Texts with repeated stretches and positions -> what is removed, and what stays."""
+    """Texts with repeated stretches and ranges of positions -> what is removed, and what stays."""
 
     def block(batch, off, data):
         s = Stretches(off, data, length, seed)
-        whole, single = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        whole, parts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         delta = np.zeros(len(data) + 1, np.int64)
         begin = np.searchsorted(s.doc, np.arange(len(off)))
-        for d, (ordinals, starts) in enumerate(zip(whole, single)):
+        for d, (ordinals, places) in enumerate(zip(whole, parts)):
             if ordinals:
                 # An ordinal stands for all stretches of its text with the same name.
                 own = slice(begin[d], begin[d + 1])
                 at = begin[d] + np.flatnonzero(np.isin(s.name[0][own], s.name[0][begin[d] + np.array(ordinals)]))
                 np.add.at(delta, s.first[at], 1)
                 np.add.at(delta, s.last[at] + length, -1)
-            if starts:
-                p = off[d] + np.array(starts)
-                np.add.at(delta, p, 1)
-                np.add.at(delta, p + length, -1)
+            if places:
+                p = np.array(places, np.int64)
+                first = off[d] + (p >> 8)
+                np.add.at(delta, first, 1)
+                np.add.at(delta, first + (p & 255) - 1 + length, -1)
         gone = np.cumsum(delta)[:-1] > 0
         spans, kept = [], []
         for d in range(len(off) - 1):
@@ -176,39 +242,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     """Per row of docs(doc_id, text): doc_id, n_bytes, removed (byte spans), kept (the other bytes)."""
     if not 1 <= seed <= length // 2:
         raise ValueError("seeds must fit half a string")
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_key(F.col("text")).alias("text_key"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"),
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("text_key"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     long = rows.where(F.octet_length("text") >= length).select("id", "text_key", "text")
-    found = cut(long.mapInArrow(_stretches(length, seed), _STRETCH))
-
-    # Round one: equal stretches, each with one row that stands for it.
-    name = ["seed", "n1", "n2"]
-    least = F.min(F.struct("id", "text_key", "ordinal")).alias("least")
-    stretches = cut(found.groupBy(*name).agg(F.sum("copies").alias("copies"), least))
-    repeated = stretches.where("copies > 1").select(*name)
-    whole = found.join(repeated, name).groupBy("id", "text_key").agg(F.collect_set("ordinal").alias("whole"))
-
-    # Round two: seeds that stand in stretches of different names.
-    varied = stretches.groupBy("seed").count().where("count > 1").select("seed")
-    asked = stretches.join(varied, "seed").select("least.*", F.least("copies", F.lit(2)).cast("int").alias("weight"))
-    lists = asked.groupBy("id", "text_key").agg(F.collect_list(F.struct("ordinal", "weight")).alias("x"))
-    lists = lists.select("id", "text_key", F.col("x.ordinal").alias("ordinals"), F.col("x.weight").alias("weights"))
-    own = ["id", "text_key"]
-    ranked = cut(
-        long.join(lists, own).select(*own, "text", "ordinals", "weights")
-        .mapInArrow(_positions(length, seed), "id long, text_key long, start int, weight int, f1 long, f2 long, b1 long, b2 long")
-    )
-    # Ranks over half a string; then the pairs of ranks.
-    for names in (["f1", "f2"], ["f1", "f2", "b1", "b2"]):
-        shared = ranked.groupBy(*names).agg(F.sum("weight").alias("n")).where("n > 1").select(*names)
-        ranked = cut(ranked.join(shared, names).select(*own, "start", "weight", "f1", "f2", "b1", "b2"))
-    single = ranked.groupBy(*own).agg(F.collect_set("start").alias("single"))
-
-    marks = whole.join(single, own, "full")
+    whole, asked = _round(long.mapInArrow(_stretches(length, seed), _ROWS))
+    cells, asked = _round(long.join(asked, _OWN).mapInArrow(_cells(length, seed), _ROWS))
+    single, _ = _round(long.join(asked, _OWN).mapInArrow(_positions(length, seed), _ROWS), more=False)
+    parts = cells.unionByName(single).groupBy(*_OWN).agg(F.flatten(F.collect_list("places")).alias("parts"))
+    marks = whole.withColumnRenamed("places", "whole").join(parts, _OWN, "full")
     return (
-        rows.join(marks, own, "left").select(*own, "text", "whole", "single", "doc_id")
+        rows.join(marks, _OWN, "left").select(*_OWN, "text", "whole", "parts", "doc_id")
         .mapInArrow(_remove(length, seed), f"doc_id long, n_bytes long, {_REMOVED}, kept binary")
     )
 
