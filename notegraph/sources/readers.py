@@ -20,8 +20,8 @@ def _relative(path, root: str):
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """path, text, modified, length of every ``*.md`` below root outside dot directories."""
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True)
-        .text(root).select(_relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("text"),
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True)
+        .text(root, wholetext=True).select(_relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("text"),
                            F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("length"))
     )
     return raw.where(~F.col("path").rlike(HIDDEN))
