@@ -108,6 +108,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """All columns as one struct ``_row``, beside those named: whatever df's columns are called, none clashes."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), *(df[n] for n in names))
+
+
 def text_key(text: Column) -> Column:
     """With doc_id, names a row's content. Rows equal in both are interchangeable."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import LOWER, Roller, map_blocks, text_buffers, words
+from notegraph.llm.common import LOWER, Roller, map_blocks, packed, text_buffers, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -228,11 +228,12 @@ def item_blocks(items: DataFrame, block_bytes: int) -> list[tuple[list, list]]:
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: its columns, n_words, n_hit, and the longest verbatim matches of at least a window.
+    """Per row of docs: its columns (but those named as follows), n_words, n_hit, and the longest verbatim matches of at least a window.
 
     matches: item (id), doc_word and item_word (where they start), n_words. With more
     than one block, hit words are counted from the union of all blocks' matches.
     """
+    docs = docs.drop("n_words", "n_hit", "matches")
     parts = item_blocks(items, block_bytes)
     out = docs.mapInArrow(_judge(*parts[0], window), f"{_schema(docs)}, {_OUT}")
     for part in parts[1:]:
@@ -251,7 +252,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without those that hold any window of any item."""
-    return find_matches(docs, items, window, block_bytes).where("n_hit = 0").select(*docs.columns)
+    return find_matches(packed(docs, "text"), items, window, block_bytes).where("n_hit = 0").select("_row.*")
 
 
 def digest(matched: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def _best(segments: Column, templates: list[tuple[str, str]], weights: dict[str,
 
 
 def _own(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """files(…, path, text) with own: struct<score, license>, and n_segments over the threshold, without text."""
+    """files(_row, path, text) with own: struct<score, license>, and n_segments over the threshold, without text."""
     weights, unknown = idf(files, sorted({t for _, text in templates for t in terms(text)}))
     text = F.coalesce("text", F.lit(""))
     parted = F.split(F.regexp_replace(text, "([.!?])[ \\t\\r\\n]+([A-Z])", "$1\n$2"), "\n")
@@ -96,8 +96,8 @@ def _own(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -
     segments = F.when(text.rlike(CUE), F.filter(parted, lambda s: s.rlike(CUE))).otherwise(F.array().cast("array<string>"))
     segments = F.when(licence_file, F.array_append(segments, text)).otherwise(segments)
     good = F.filter(_best(segments, templates, weights, unknown), lambda x: x["score"] >= threshold)
-    return files.withColumn("_good", good).select(
-        *(c for c in files.columns if c != "text"), licence_file.alias("is_licence_file"), F.array_max("_good").alias("own"), F.size("_good").cast("long").alias("n_segments")
+    return files.select("_row", "path", licence_file.alias("is_licence_file"), good.alias("good")).select(
+        "_row", "path", "is_licence_file", F.array_max("good").alias("own"), F.size("good").cast("long").alias("n_segments")
     )
 
 
@@ -107,7 +107,9 @@ def _directory(path: Column) -> Column:
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files(…, path, text) -> its other columns, path, n_segments, own_license, license, inherited_from."""
-    judged = cut(_own(files, templates, threshold).withColumn("dir", _directory(F.col("path"))))
+    kept = [files[c] for c in files.columns if c not in ("path", "text", "n_segments", "own_license", "license", "inherited_from")]
+    packed = files.select(F.struct(F.lit(True).alias("_"), *kept).alias("_row"), files["path"], files["text"])
+    judged = cut(_own(packed, templates, threshold).withColumn("dir", _directory(F.col("path"))))
     held = judged.where("is_licence_file and own is not null and dir is not null").groupBy(F.col("dir").alias("ancestor")).agg(F.max("own").alias("held"))
     parts = F.split("dir", "/")
     above = (
@@ -119,9 +121,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     out = judged.join(nearest.select("dir", F.col("n.license").alias("_license"), F.col("n.ancestor").alias("_from")), "dir", "left")
     inherits = F.col("own").isNull()
     return out.select(
-        *(c for c in files.columns if c != "text"), "n_segments", F.col("own.license").alias("own_license"),
+        "_row.*", "path", "n_segments", F.col("own.license").alias("own_license"),
         F.coalesce("own.license", "_license").alias("license"), F.when(inherits, F.col("_from")).alias("inherited_from"),
-    )
+    ).drop("_")
 
 
 def oracle(files_sql: str, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import WHITE, Roller, map_blocks, mix, owners, segment_sum, text_buffers, words
+from notegraph.llm.common import WHITE, Roller, map_blocks, mix, owners, packed, segment_sum, text_buffers, words
 
 FIT_ROWS = 4_000
 THRESHOLD = 0.25
@@ -235,5 +235,10 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     return docs.mapInArrow(_judge(model, threshold), f"{schema}, {_KIND}")
 
 
+def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that the rules or the model reject."""
+    return judge(packed(docs, "text"), model, threshold).where("kept").select("_row.*")
+
+
 def digest(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")

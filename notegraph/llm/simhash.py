@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import cut, text_key
+from notegraph.llm.common import cut, packed, text_key
 from notegraph.llm.components import connected_components
 
 RADIUS = 4
@@ -267,9 +267,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = S
     """docs with one row of each component: that of the least doc_id."""
     held = near_components(cut(fingerprints(docs, shingle)), radius)
     kept = held.select("keeps.*").distinct()
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_key": text_key(F.col("text"))})
-    same = (keyed["_id"] == kept["id"]) & (keyed["_key"] == kept["text_key"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    keyed = packed(docs, "doc_id", "text").select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_key(F.col("text")).alias("text_key"))
+    return keyed.join(kept, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("_row.*")
 
 
 def digest(components: DataFrame) -> DataFrame:
