@@ -8,14 +8,11 @@ depends on the block (or the longest single text) and not on the table.
 from __future__ import annotations
 
 import gc
-import io
 import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from functools import wraps
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notegraph import shipping as shipping_core
+
 BLOCK_BYTES = 1 << 18
 ARROW_BYTES = 4 << 20
 _U64 = np.uint64
@@ -38,24 +37,10 @@ def py_crc_mod(doc_id, m: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once a Spark application, and bounds Arrow batches by bytes."""
+    """Sends this package's code to the executors, and bounds Arrow batches by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    path = Path(tempfile.mkdtemp(prefix="notegraph-code-"), f"{root.name}.zip")
-    path.write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
+    shipping_core.ship(spark)
 
 
 def shipping(f: Callable) -> Callable:
