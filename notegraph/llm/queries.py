@@ -78,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_licenses": licenses.oracle(FILES_SQL)}
+    return {"op5_licenses": licenses.oracle(FILES_SQL), "op9_decontamination": decontam.oracle()}
