@@ -380,7 +380,7 @@ def fit(docs: DataFrame, learn: Column, range_tokens: int = RANGE_TOKENS) -> Mod
     ranges = max(1, -(-((size[0] or 0) // 6 + n_docs) // range_tokens))
 
     def dealt(shipped: DataFrame, n: int, write, schema: str) -> DataFrame:
-        return shipped.repartition(n, "range").mapInArrow(write, schema)
+        return shipped.repartitionById(n, F.col("range")).mapInArrow(write, schema)
 
     if not n_docs:
         return Model(folder, 1, np.zeros(1, np.int64))
