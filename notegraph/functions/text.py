@@ -37,16 +37,24 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def bind(c: Column, f) -> Column:
+    """f(c) with c computed once: inside f it is a variable, where a lambda would compute it for every element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def grams(c: Column, n: int) -> Column:
     """Distinct character n-grams."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    def of(s: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
+        return F.when(F.length(s) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return bind(c, of)
 
 
 def char_grams(c: Column) -> Column:
     """2-grams and 3-grams of the lower-cased text, spaces included."""
-    low = F.lower(c)
-    return F.array_union(grams(low, 2), grams(low, 3))
+    return bind(F.lower(c), lambda s: F.array_union(grams(s, 2), grams(s, 3)))
 
 
 def clean_grams(c: Column, n: int = 2) -> Column:

@@ -6,19 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import round4
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder the cluster names, so that lineage stays short."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="notegraph-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+from notegraph.operators.lineage import cut as _cut
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, every: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import char_grams, idf, round4, terms
+from notegraph.operators.lineage import cut
 
 QUERIES_AT_MOST = 1000
 
@@ -48,7 +49,8 @@ def ngram_search(index: DataFrame, notes: DataFrame, queries: DataFrame, k: int
     counted, so no shuffle holds more than matching postings.
     """
     asked = queries.select("query_id", F.explode(_features("query")).alias("f")).select("query_id", "f.kind", "f.feature")
-    hits = index.join(F.broadcast(asked), ["kind", "feature"])
+    # Read twice below, but the postings are matched (and perhaps made) once.
+    hits = cut(index.join(F.broadcast(asked), ["kind", "feature"]))
     df = hits.groupBy("query_id", "kind", "feature").agg(F.count("*").alias("df"))
     n = notes.agg(F.count("*").alias("n"))
     weights = df.crossJoin(n).select("query_id", "kind", "feature", (idf(F.col("n"), F.col("df")) * F.when(F.col("kind") == "term", 2.0).otherwise(1.0)).alias("w"))
