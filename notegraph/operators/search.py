@@ -28,7 +28,10 @@ def postings(notes: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     head = F.coalesce("headings", none) if "headings" in notes.columns else none
     text = F.concat_ws(" ", "name", F.coalesce("summary", F.lit("")), F.array_join(F.coalesce("tags", none), " "), F.array_join(head, " "))
-    return notes.select("note_ord", text.alias("t")).select("note_ord", F.explode(_features("t")).alias("f")).select("note_ord", "f.kind", "f.feature")
+    # A note's text is small against its postings, so it is dealt out evenly before they are made.
+    parts = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = notes.select("note_ord", text.alias("t")).repartition(parts, "note_ord")
+    return dealt.select("note_ord", F.explode(_features("t")).alias("f")).select("note_ord", "f.kind", "f.feature")
 
 
 def _features(c: str):
