@@ -256,7 +256,8 @@ def near_components(fp_rows: DataFrame, radius: int = RADIUS, bands: int = BANDS
     fps = cut(fp_rows.groupBy("fp").agg(F.min(held).alias("least")))
     labels = connected_components(near_links(fps.select("fp"), radius, bands, tile))
     named = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    whole = named.groupBy("label").agg(F.min("least").alias("keeps"))
+    # Cut, so that the join below has plain exchanges on both sides, which may split a large component.
+    whole = cut(named.groupBy("label").agg(F.min("least").alias("keeps")))
     by_fp = named.join(whole, "label").select("fp", "label", "keeps")
     return fp_rows.join(by_fp, "fp").select(
         "doc_id", "text_key", "fp", "label", F.when(F.col("keeps.id") != _NO_ID, F.col("keeps.id")).alias("component_id"), "keeps"
