@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import WHITE, Roller, cut, map_blocks, mix, owners, text_key, words
+from notegraph.llm.common import WHITE, Roller, map_blocks, mix, owners, stored, text_key, words
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -124,7 +124,7 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     spans = rows.select("id", "text_key", "text").mapInArrow(_spans(*shape), "id long, text_key long, ordinal int, n1 long, n2 int")
     own, name = ["id", "text_key"], ["n1", "n2"]
     counted = spans.groupBy(*name).agg(F.min(F.struct("id", "ordinal")).alias("least"), F.max(F.struct("id", "ordinal")).alias("most"))
-    repeated = cut(counted.where("least <> most").select(*name, "least"))
+    repeated = stored(counted.where("least <> most").select(*name, "least"))
     later = spans.join(repeated, name).where(F.struct("id", "ordinal") != F.col("least")).groupBy(*own).agg(F.collect_set("ordinal").alias("gone"))
     return (
         rows.join(later, own, "left").select(*own, "text", "gone", "doc_id")
