@@ -77,12 +77,14 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again; what its shuffles hold on disk is let go.
 
     Unlike a checkpoint the files are columnar and compressed, and later reads take the
-    columns they need. They stay in the folder for its owner to clear.
+    columns they need. They go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(held)
     release(spark)
     return out
 
