@@ -43,6 +43,7 @@ from notegraph.llm.common import blocks as text_blocks
 
 RANGE_TOKENS = 4_000_000
 _LOCAL_PAIRS = 3_000_000
+_BLOCK_BYTES = 2 << 20  # each block visits all ranges it has words in, so blocks are larger here
 _END = np.uint64(0x5851F42D4C957F2D)
 _U32 = np.uint64(32)
 
@@ -134,7 +135,7 @@ class _Tally:
 def _text_blocks(batches):
     for batch in batches:
         off, data = text_buffers(batch.column(batch.schema.get_field_index("text")))
-        for i, j in text_blocks(off):
+        for i, j in text_blocks(off, _BLOCK_BYTES):
             yield off[i : j + 1] - off[i], data[off[i] : off[j]]
 
 
@@ -417,7 +418,7 @@ def _score(model: Model):
         cols += [pa.array(base), pa.array(segment_sum(model.log10(number, count, per), ends))]
         return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return map_blocks(block)
+    return map_blocks(block, most=_BLOCK_BYTES)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
