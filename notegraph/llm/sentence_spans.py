@@ -125,7 +125,7 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     own, name = ["id", "text_key"], ["n1", "n2"]
     counted = spans.groupBy(*name).agg(F.min(F.struct("id", "ordinal")).alias("least"), F.max(F.struct("id", "ordinal")).alias("most"))
     repeated = stored(counted.where("least <> most").select(*name, "least"))
-    later = spans.join(repeated, name).where(F.struct("id", "ordinal") != F.col("least")).groupBy(*own).agg(F.collect_set("ordinal").alias("gone"))
+    later = stored(spans.join(repeated, name).where(F.struct("id", "ordinal") != F.col("least")).groupBy(*own).agg(F.collect_set("ordinal").alias("gone")))
     return (
         rows.join(later, own, "left").select(*own, "text", "gone", "doc_id")
         .mapInArrow(_clean(*shape), "doc_id long, n_sentences long, n_removed long, text string")
