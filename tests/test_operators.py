@@ -224,6 +224,31 @@ def test_pagerank_mass(spark):
     assert sum(rank.values()) == pytest.approx(1, abs=1e-4) and rank["a"] == max(rank.values())
 
 
+def test_the_registered_pagerank_converges(spark):
+    import numpy as np
+
+    from notegraph import catalog
+    from notegraph.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    got = {r["name"]: r["pagerank"] for r in catalog.queries()["pagerank_converged"](spark, d).collect()}
+    edges = {(r["src"], r["dst"]) for r in tables.page_edges(tables.pages(spark, d)).select("src", "dst").collect()}
+    names = sorted({x for e in edges for x in e})
+    at = {x: i for i, x in enumerate(names)}
+    adj = np.zeros((len(names), len(names)))
+    for a, b in edges:
+        adj[at[a], at[b]] = adj[at[b], at[a]] = 1
+    step = adj / np.maximum(adj.sum(0), 1)
+    pr, rounds = np.full(len(names), 1 / len(names)), 0
+    while True:
+        new = 0.15 / len(names) + 0.85 * (step @ pr)
+        if np.abs(new - pr).sum() < 1e-6:
+            break
+        pr, rounds = new, rounds + 1
+    assert rounds > 7 and set(got) == set(names)
+    assert all(abs(got[x] - p) < 1.1e-6 for x, p in zip(names, pr))
+
+
 def test_vector_hits_come_last_without_score(spark):
     merged = spark.createDataFrame([(0, 1, "a", "p/a", "Direct match", 85.0, 0.85, None)], "query_id long, rank int, name string, path string, source string, match_score double, rank_score double, edge_from string")
     hits = spark.createDataFrame([(0, 1, "a", "p/a"), (0, 2, "b", "p/b")], "query_id long, rank int, name string, path string")
