@@ -8,9 +8,9 @@ them, so each distinct fingerprint is dealt to one bucket for every choice of
 fingerprints lie as bit planes, 64 to a machine word; distances of many are counted
 at once with carry-save counters, and a block is abandoned once all of it is beyond
 the radius. Of a bucket's links only a spanning forest leaves the task: the point
-nearest the bucket's majority is compared first, and then only points outside the
-largest group so far are compared with the whole bucket, as links within a group
-change nothing. Buckets over ``TILE`` fingerprints are cut into tiles that are
+nearest the bucket's majority is compared first, and then points outside the largest
+group so far are compared with the whole bucket, until all that were not are in one
+group, as links within a group change nothing. Buckets over ``TILE`` fingerprints are cut into tiles that are
 compared by different tasks. Nothing is capped; only distinct fingerprints are
 compared, so exact copies cost nothing.
 
@@ -127,7 +127,9 @@ def forest(queries: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.nda
     planes, n = bit_planes(points), len(points)
     label = np.arange(n)
     where = {int(p): i for i, p in enumerate(points)}
-    todo = np.array([where[int(q)] for q in queries], np.int64)
+    query = np.zeros(n, bool)
+    query[[where[int(q)] for q in queries]] = True
+    asked = np.zeros(n, bool)
 
     def absorb(i: int, hits: np.ndarray) -> None:
         roots = np.unique(label[np.append(np.flatnonzero(hits[:n]), i)])
@@ -137,13 +139,22 @@ def forest(queries: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.nda
     bits = np.unpackbits(points.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     centre = int(np.argmin((bits != (bits.sum(0) * 2 > n)).sum(1)))
     absorb(centre, near(planes, points[centre : centre + 1], radius)[0])
-    todo = todo[todo != centre]
-    while len(todo):
-        roots, sizes = np.unique(label, return_counts=True)
-        todo = todo[label[todo] != roots[np.argmax(sizes)]]
-        now, todo = todo[:32], todo[32:]
+    asked[centre] = True
+    while True:
+        # A link not seen yet is between a query and a point that are both unasked.
+        rest = np.flatnonzero(~asked)
+        todo = rest[query[rest]]
+        roots, sizes = np.unique(label[rest], return_counts=True)
+        if not len(todo) or len(roots) == 1:
+            break
+        others = rest[label[rest] != roots[np.argmax(sizes)]]
+        now = others[query[others]]
+        if not len(now):  # the queries left are of one group, and others are only points
+            now = min(todo, others, key=len)
+        now = now[:32]
+        asked[now] = True
         for i, hits in zip(now, near(planes, points[now], radius)):
-            absorb(i, hits)
+            absorb(i, hits[:n] if query[i] else hits[:n] & query)
     moved = np.flatnonzero(label != np.arange(n))
     return points[moved], points[label[moved]]
 

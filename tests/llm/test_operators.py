@@ -207,6 +207,51 @@ def test_bit_slices(spark):
             assert brute.components(p.tolist(), edges) == want
 
 
+def outgrown_bucket():
+    """p0, the lowest, links only to b of a group that outgrows p0's; the centre is alone. All agree in the low 21 bits alone.
+
+    p0 and b differ in one bit of each of the upper four bands, so no other bucket holds both.
+    """
+    flip = lambda x, *bits: x ^ sum(1 << b for b in bits)
+    low = 0x0AAAAA
+    b = flip(low, 25, 35, 45, 63)
+    x = flip(b, 63, 27, 37, 47)  # sorts early, 6 bits from p0
+    group = {flip(b, i, j) for i in (28, 30, 38, 40) for j in (48, 50, 58, 60, 61, 62, 55, 56, 57, 59, 52)}
+    rng = random.Random(5)
+    alone = set()
+    while len(alone) < 38:
+        y = flip(low, *(k for k in range(21, 62) if rng.random() < 0.5))
+        if all((y ^ z).bit_count() > 8 for z in {low, b, x, *group, *alone}):
+            alone.add(y)
+    return np.array(sorted({low, b, x, *group, *alone}), np.uint64)
+
+
+def test_a_group_that_outgrows_another_keeps_its_links(spark):
+    p = outgrown_bucket()
+    near = np.bitwise_count(p[:, None] ^ p[None, :]) <= 4
+    want = brute.components(p.tolist(), [(p[i].item(), p[j].item()) for i, j in zip(*np.nonzero(near))])
+    assert brute.components(p.tolist(), zip(*(x.tolist() for x in simhash.forest(p, p, 4)))) == want
+    fps = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp long")
+    edges = [tuple(np.array(tuple(r), np.int64).view(np.uint64).tolist()) for r in simhash.near_links(fps).collect()]
+    assert brute.components(p.tolist(), edges) == want
+
+
+def test_forests_of_queries_and_points():
+    rng = np.random.default_rng(8)
+    for spread in (4, 6, 7, 8):
+        for share in (0.1, 0.5, 0.9, 1):
+            p = balls(rng, spread)
+            q = rng.random(len(p)) < share
+            near = (np.bitwise_count(p[:, None] ^ p[None, :]) <= 4)
+            asked = near & (q[:, None] | q[None, :])
+            edges = list(zip(*(x.tolist() for x in simhash.forest(p[q], p, 4))))
+            got = brute.components(p.tolist(), edges)
+            least = brute.components(p.tolist(), [(p[i].item(), p[j].item()) for i, j in zip(*np.nonzero(asked))])
+            every = brute.components(p.tolist(), [(p[i].item(), p[j].item()) for i, j in zip(*np.nonzero(near))])
+            # All that the queries' links join is joined, and nothing that no link joins.
+            assert all(got[a] == got[least[a]] for a in least) and all(every[a] == every[got[a]] for a in got)
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"t{j}" for j in range(100))
     rows = [(3, text), (2, text), (2, text), (9, "something else altogether, by far"), (None, text), (4, None), (5, "")]
