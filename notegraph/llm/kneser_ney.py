@@ -1,26 +1,30 @@
 """An interpolated modified Kneser-Ney language model, and texts' log-probabilities.
 
-The model is of order two, the highest whose counts fit the disk that a corpus of one
-gigabyte may take; three more passes are all that counting needs:
+The model is of any order from two on (``ORDER`` by default). Counting takes a pass over
+the texts for words and one for n-grams, and a shuffle for each order:
 
 1. word counts, dealt out by ranges of the words' 64-bit hashes. Each range is written
    as a sorted array, and a word's number is its place in all of them;
-2. pairs of word numbers, dealt out by ranges of the pairs' hashes and written as
-   sorted hash arrays with their counts;
-3. per word, how many pairs it begins with count one, two, or more, and how many
-   different words it follows, dealt out by ranges of word numbers.
-
-Tasks count locally and ship each range as one compressed block of sorted numbers,
-so a shuffle row is a block and not a word; a pair's range depends on both its words,
-so no frequent word weighs on one range. Ranges hold about ``RANGE_TOKENS`` tokens at
-any size of the corpus. The arrays lie in the folder that driver and executors share;
-workers map them into memory, look up the distinct pairs of a block of texts in
+2. n-grams of word numbers, dealt out by ranges of their hashes and written as sorted
+   hash arrays with their counts. Each range sends on, for every n-gram, that its last
+   words follow one word more, and what its first words lead to;
+3. the same for the n-grams shorter by one, whose counts are those of the different
+   words before them, and so on down to single words.
+
+Tasks count locally and ship each range as one compressed block of numbers, so a
+shuffle row is a block and not a word; an n-gram's range depends on all its words, so
+no frequent word weighs on one range. Ranges hold about ``RANGE_TOKENS`` tokens at any
+size of the corpus. The arrays lie in the folder that driver and executors share;
+workers map them into memory, look up the distinct n-grams of a block of texts in
 sorted order and add up log-probabilities. That folder must be mounted as a path.
 
-Edge cases: null and empty texts consist of the end token alone. A null doc_id counts
-as the empty text in the hash that holds rows out. Rows that repeat count and are
-scored as often as they occur. Without training rows all words are unknown and the
-model is uniform over its one word class.
+Edge cases: null and empty texts consist of the end token alone. A very long text is a
+block of its own; what it holds is counted and scored like any other text. A null doc_id
+counts as the empty text in the hash that holds rows out. Rows that repeat count and are
+scored as often as they occur. Ties do not arise: the score of a row depends on counts
+alone. Without training rows all words are unknown and the model is uniform over its one
+word class; an empty table gives an empty result. Columns other than doc_id and text are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import struct
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -38,14 +44,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import LOWER, WHITE, Roller, map_blocks, mix, owners, segment_sum, shared_dir, text_buffers, words
+from notegraph.llm.common import LOWER, WHITE, Roller, consumed, map_blocks, mix, owners, segment_sum, shared_dir, text_buffers, words
 from notegraph.llm.common import blocks as text_blocks
 
-RANGE_TOKENS = 4_000_000
-_LOCAL_PAIRS = 3_000_000
+ORDER = 3
+RANGE_TOKENS = 2_000_000
+_LOCAL_GRAMS = 3_000_000
 _BLOCK_BYTES = 2 << 20  # each block visits all ranges it has words in, so blocks are larger here
 _END = np.uint64(0x5851F42D4C957F2D)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 _U32 = np.uint64(32)
+_BLOCKS = "range int, block binary"
 
 
 def _local(path: str) -> str:
@@ -56,25 +65,33 @@ def _local(path: str) -> str:
     return path
 
 
-def pack(sorted_keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, byte plane by byte plane, and 32-bit counts."""
-    gaps = np.diff(sorted_keys, prepend=np.uint64(0)).astype("<u8")
-    planes = lambda a, w: np.ascontiguousarray(a.view(np.uint8).reshape(-1, w).T).tobytes()
-    return len(gaps).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes(gaps, 8) + planes(counts.astype("<u4"), 4))
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers byte plane by byte plane; the first, best in order, as differences."""
+    first = columns[0].astype(np.uint64)
+    columns = [np.diff(first, prepend=np.uint64(0)), *columns[1:]]
+    widths = [next(w for w in (1, 2, 4, 8) if int(c.max(initial=0)) < 1 << 8 * w) for c in columns]
+    planes = [np.ascontiguousarray(c.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T).tobytes() for c, w in zip(columns, widths)]
+    return struct.pack("<QB", len(first), len(widths)) + bytes(widths) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=12 * n + 1), np.uint8)
-    back = lambda a, w, t: np.ascontiguousarray(a.reshape(w, n).T).reshape(-1).view(t)
-    return np.cumsum(back(raw[: 8 * n], 8, "<u8"), dtype=np.uint64), back(raw[8 * n :], 4, "<u4").astype(np.int64)
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n, k = struct.unpack_from("<QB", blob)
+    widths, at, out = blob[9 : 9 + k], 0, []
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[9 + k :], max_output_size=n * sum(widths) + 1), np.uint8)
+    for w in widths:
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(f"<u{w}"))
+        at += n * w
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
 
 
-def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+def add_up(hashes: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """One row of each hash, in order: its columns, and the sums of its counts."""
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    at = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    total = lambda c: np.add.reduceat(c[order], at, dtype=np.int64) if len(at) else c[:0].astype(np.int64)
+    return hashes[at], [c[order[at]] for c in columns], [total(c) for c in counts]
 
 
 def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -82,6 +99,14 @@ def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> _U32) * np.uint64(n)) >> _U32).astype(np.int64)
 
 
+def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of n-grams of word numbers."""
+    out = mix(columns[0].astype(np.uint64) + _TIMES)
+    for c in columns[1:]:
+        out = mix(out * _TIMES + c.astype(np.uint64))
+    return out
+
+
 def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a block's tokens, each text's end token included, and tokens per text."""
     low = LOWER[data]
@@ -95,41 +120,42 @@ def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # -------------------------------------------------------------------- counting
 
 
-class _Tally:
-    """Local counts by key, shipped by range once they are many."""
+def _shipped(hashes: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """Rows of distinct hashes as one block a range."""
+    r = range_of(hashes, ranges)
+    # Like numbers side by side are smaller; the order within a block means nothing.
+    near = columns[0].astype(np.uint64) if len(columns) == 1 else (columns[0].astype(np.uint64) << _U32) ^ columns[1].astype(np.uint64)
+    order = np.lexsort((near, r))
+    cuts = np.searchsorted(r[order], np.arange(ranges + 1))
+    rows = [(i, order[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(np.diff(cuts))]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([pack([c[x] for c in (*columns, *counts)]) for _, x in rows], pa.binary())], names=["range", "block"])
 
-    def __init__(self, range_f, n_ranges: int):
-        self.range_f, self.n = range_f, n_ranges
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = self.merged = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.parts.append((k, c))
-        self.size += len(k)
+class _Tally:
+    """Local counts of n-grams by hash, shipped by range once they are many."""
+
+    def __init__(self, ranges: int):
+        self.ranges, self.parts, self.size = ranges, [], 0
 
-    def full(self) -> bool:
-        if self.size > _LOCAL_PAIRS:
+    def add(self, hashes: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        distinct, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+        self.parts.append((distinct, [c[at] for c in columns], [counts]))
+        self.size += len(distinct)
+        if self.size > _LOCAL_GRAMS:
             self._merge()
-        return self.size > _LOCAL_PAIRS * 2 // 3
+            if self.size > _LOCAL_GRAMS * 2 // 3:
+                yield from self.ship()
 
     def _merge(self) -> None:
-        self.parts = [add_up(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))]
+        hashes, columns, counts = zip(*self.parts)
+        self.parts = [add_up(np.concatenate(hashes), list(map(np.concatenate, zip(*columns))), list(map(np.concatenate, zip(*counts))))]
         self.size = len(self.parts[0][0])
 
-    def ship(self) -> pa.RecordBatch | None:
-        if not self.parts:
-            return None
-        self._merge()
-        keys, counts = self.parts[0]
-        r = self.range_f(keys)
-        order = np.argsort(r, kind="stable")
-        cuts = np.searchsorted(r[order], np.arange(self.n + 1))
-        rows = [(i, order[cuts[i] : cuts[i + 1]]) for i in range(self.n) if cuts[i + 1] > cuts[i]]
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in rows], pa.int32()), pa.array([pack(keys[x], counts[x]) for _, x in rows], pa.binary())], names=["range", "block"]
-        )
+    def ship(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            (part,), self.parts, self.size = self.parts, [], 0
+            yield _shipped(*part, self.ranges)
 
 
 def _text_blocks(batches):
@@ -139,108 +165,96 @@ def _text_blocks(batches):
             yield off[i : j + 1] - off[i], data[off[i] : off[j]]
 
 
-def _ship_words(n_ranges: int):
+def _ship_words(ranges: int):
     def run(batches):
-        tally = _Tally(lambda k: range_of(k, n_ranges), n_ranges)
+        tally = _Tally(ranges)
         for off, data in _text_blocks(batches):
-            tally.add(word_hashes(off, data)[0])
-            if tally.size > _LOCAL_PAIRS and tally.full():
-                yield tally.ship()
-        if (out := tally.ship()) is not None:
-            yield out
+            hashes = word_hashes(off, data)[0]
+            yield from tally.add(hashes, [hashes])
+        yield from tally.ship()
 
     return run
 
 
-def _ship_pairs(model: Model, n_ranges: int):
+def _ship_grams(model: Model):
     def run(batches):
-        tally = _Tally(lambda k: range_of(mix(k), n_ranges), n_ranges)
+        tally = _Tally(model.ranges)
         for off, data in _text_blocks(batches):
             hashes, per = word_hashes(off, data)
-            tally.add(model.pairs(model.numbers(hashes)[0], per))
-            if tally.size > _LOCAL_PAIRS and tally.full():
-                yield tally.ship()
-        if (out := tally.ship()) is not None:
-            yield out
+            padded, place = model.padded(model.numbers(hashes)[0], per)
+            columns = [padded[place - k] for k in range(model.order - 1, -1, -1)]
+            yield from tally.add(gram_hash(columns), columns)
+        yield from tally.ship()
 
     return run
 
 
-def _by_range(batches):
-    """A task's blocks, one range at a time."""
+def _by_range(batches, n_columns: int):
+    """A task's blocks, one range at a time: its columns, and counts not yet added up."""
     held: dict[int, list[bytes]] = {}
     for batch in batches:
         for r, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             held.setdefault(r, []).append(b)
     for r in sorted(held):
-        parts = [unpack(b) for b in held.pop(r)]
-        yield r, add_up(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        every = [np.concatenate(c) for c in zip(*map(unpack, held.pop(r)))]
+        yield r, every[:n_columns], every[n_columns:]
 
 
-def _save(folder: str, name: str, r: int, array: np.ndarray) -> None:
+def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Written beside and renamed: a task that runs again leaves the same file."""
-    path = f"{folder}/{name}-{r:06d}.npy"
+    path = f"{folder}/{name}.npy"
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     with open(part, "wb") as f:
         np.save(f, array)
     os.replace(part, path)
 
 
+def _save_table(folder: str, level: int, r: int, hashes: np.ndarray, counts: list[np.ndarray]) -> None:
+    """Sorted hashes, a byte for each count, and what a byte cannot hold."""
+    table = np.stack(counts, 1) if len(hashes) else np.zeros((0, len(counts)), np.int64)
+    large = np.flatnonzero(table.reshape(-1) >= 255)
+    _save(folder, f"hash-{level}-{r:06d}", hashes)
+    _save(folder, f"small-{level}-{r:06d}", np.minimum(table, 255).astype(np.uint8))
+    _save(folder, f"large-{level}-{r:06d}", np.stack([large, table.reshape(-1)[large]]))
+
+
 def _write_words(folder: str):
     def run(batches):
-        for r, (keys, counts) in _by_range(batches):
-            _save(folder, "word", r, keys)
-            _save(folder, "count", r, counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], names=["range", "size", "tokens"])
+        for r, (hashes,), counts in _by_range(batches, 1):
+            hashes, _, counts = add_up(hashes, [], counts)
+            _save_table(folder, 0, r, hashes, counts)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([len(hashes)]), pa.array([int(counts[0].sum())])], names=["range", "size", "tokens"])
 
     return run
 
 
-_NUMBERS = "kind int, range int, block binary, numbers array<long>"
-
-
-def _numbers_row(kind: int, r: int, block: bytes | None, numbers: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind], pa.int32()), pa.array([r], pa.int32()), pa.array([block], pa.binary()), pa.array([numbers], pa.list_(pa.int64()))], names=["kind", "range", "block", "numbers"]
-    )
-
+def _shorter(columns: list[np.ndarray], count: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """What distinct n-grams tell of those shorter by one.
 
-def _write_pairs(folder: str, starts: np.ndarray, bos: int):
-    """Writes sorted pair arrays; sends on, by range of word numbers, what pass 3 adds up."""
+    Counts: different words before them, all that follows them, and how many different
+    words follow them once, twice, and more often.
+    """
+    n = len(count)
+    both = [np.concatenate([b, a]) for a, b in zip(columns[:-1], columns[1:])]
+    hashes, at, back = np.unique(gram_hash(both), return_index=True, return_inverse=True)
+    add = lambda i, w=None: np.bincount(i, w, len(hashes)).astype(np.int64)
+    leads, kind = back[n:], np.minimum(count, 3)
+    counts = [add(back[:n]), add(leads, count), *(add(leads[kind == k]) for k in (1, 2, 3))]
+    return _shipped(hashes, [c[at] for c in both], counts, ranges)
 
-    def run(batches):
-        for r, (keys, counts) in _by_range(batches):
-            hashes = mix(keys)
-            order = np.argsort(hashes)
-            _save(folder, "pair", r, hashes[order])
-            _save(folder, "times", r, np.minimum(counts[order], (1 << 32) - 1).astype(np.uint32))
-            yield _numbers_row(0, r, None, [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))])
-            first, second = keys >> _U32, keys & np.uint64(0xFFFFFFFF)
-            kind = np.minimum(counts, 3).astype(np.uint64)
-            # The low two bits: 1, 2, 3 for a context's pairs of that count, 0 for a word followed.
-            names, n = np.unique(np.concatenate([(first << np.uint64(2)) | kind, second << np.uint64(2)]), return_counts=True)
-            begun = names >> np.uint64(2) == bos
-            if begun.any():
-                yield _numbers_row(1, r, None, [int(n[begun & (names & np.uint64(3) == k)].sum()) for k in (1, 2, 3)])
-            names, n = names[~begun], n[~begun]
-            at = np.searchsorted(starts, names >> np.uint64(2), "right") - 1
-            cuts = np.searchsorted(at, np.arange(len(starts) + 1))
-            for i in np.flatnonzero(np.diff(cuts)):
-                yield _numbers_row(2, int(i), pack(names[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]]), [])
-
-    return run
 
+def _write_level(folder: str, level: int, ranges: int):
+    """Writes the arrays of one order, and sends on what they tell of the next lower one."""
 
-def _write_followers(folder: str, starts: np.ndarray, sizes: np.ndarray):
     def run(batches):
-        for r, (names, n) in _by_range(batches):
-            place = (names >> np.uint64(2)).astype(np.int64) - starts[r]
-            kind = (names & np.uint64(3)).astype(np.int64)
-            table = np.zeros((sizes[r], 4), np.uint32)
-            table[place, kind] = n
-            _save(folder, "follow", r, table)
-            c = table[:, 0].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([[int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c >= 3).sum())]], pa.list_(pa.int64()))], names=["numbers"])
+        for r, columns, counts in _by_range(batches, level):
+            hashes, columns, counts = add_up(gram_hash(columns), columns, counts)
+            _save_table(folder, level, r, hashes, counts)
+            c = counts[0]
+            _save(folder, f"sums-{level}-{r:06d}", np.array([c.sum(), *((c == k).sum() for k in (1, 2, 3, 4)), (c >= 3).sum()], np.int64))
+            if level > 1:
+                seen = c > 0  # what only leads on, like the beginning of a text, is no n-gram of its own
+                yield _shorter([x[seen] for x in columns], c[seen], ranges)
 
     return run
 
@@ -261,150 +275,127 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 @dataclass
 class Model:
     folder: str
-    word_ranges: int
-    sizes: np.ndarray
+    order: int
+    ranges: int
     tokens: int = 0
-    pair_ranges: int = 0
-    begin: int = 0
-    begin_kinds: list[int] = field(default_factory=lambda: [0, 0, 0])
-    pair_discounts: tuple = (0.5, 0.75, 0.9)
-    word_discounts: tuple = (0.5, 0.75, 0.9)
+    types: int = 0
+    discounts: list[tuple] = field(default_factory=list)  # from single words up
     followed: int = 0
     rest: float = 1.0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("files",)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("files", "starts")}
 
     @cached_property
-    def files(self) -> dict[tuple[str, int], np.ndarray]:
+    def files(self) -> dict[tuple[int, int], tuple | None]:
         return {}
 
-    @property
-    def types(self) -> int:
-        return int(self.sizes.sum())
-
-    @property
+    @cached_property
     def starts(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-
-    def array(self, name: str, r: int) -> np.ndarray:
-        """A range's array, mapped into memory."""
-        if (name, r) not in self.files:
-            self.files[name, r] = np.load(f"{self.folder}/{name}-{r:06d}.npy", mmap_mode="r")
-        return self.files[name, r]
-
-    def _find(self, name: str, ranges: int, has, hashes: np.ndarray):
-        """For sorted hashes, each range's (slice, places, found)."""
-        cuts = np.searchsorted(range_of(hashes, ranges), np.arange(ranges + 1))
+        """The number of each range's first word."""
+        return np.load(f"{self.folder}/starts.npy")
+
+    def table(self, level: int, r: int) -> tuple | None:
+        """A range's arrays, mapped into memory; None if it holds nothing."""
+        if (level, r) not in self.files:
+            paths = [f"{self.folder}/{name}-{level}-{r:06d}.npy" for name in ("hash", "small", "large")]
+            got = tuple(np.load(p, mmap_mode="r") for p in paths) if os.path.exists(paths[0]) else None
+            self.files[level, r] = got if got and len(got[0]) else None
+        return self.files[level, r]
+
+    def find(self, level: int, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted hashes: their places in all ranges' arrays of words (-1: absent), and their counts."""
+        place, counts = np.full(len(hashes), -1, np.int64), np.zeros((len(hashes), width), np.int64)
+        cuts = np.searchsorted(range_of(hashes, self.ranges), np.arange(self.ranges + 1))
         for r in np.flatnonzero(np.diff(cuts)):
-            if has(r):
-                held = self.array(name, r)
-                part = slice(cuts[r], cuts[r + 1])
-                at = np.minimum(np.searchsorted(held, hashes[part]), len(held) - 1)
-                yield r, part, at, held[at] == hashes[part]
+            if (held := self.table(level, r)) is None:
+                continue
+            keys, small, large = held
+            part = slice(cuts[r], cuts[r + 1])
+            at = np.minimum(np.searchsorted(keys, hashes[part]), len(keys) - 1)
+            found = np.flatnonzero(keys[at] == hashes[part])
+            at = at[found]
+            rows = small[at].astype(np.int64)
+            i, j = np.nonzero(rows == 255)
+            if len(i):
+                rows[i, j] = large[1][np.searchsorted(large[0], at[i] * width + j)]
+            counts[part.start + found] = rows
+            if level == 0:
+                place[part.start + found] = at + self.starts[r]
+        return place, counts
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers (-1: unknown) and counts."""
+        """Word numbers (that of no word if unknown) and counts."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        number, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
-        starts = self.starts
-        for r, part, at, found in self._find("word", self.word_ranges, lambda r: self.sizes[r], distinct):
-            number[part] = np.where(found, at + starts[r], -1)
-            count[part] = np.where(found, self.array("count", r)[at], 0)
-        return number[back], count[back]
-
-    def pairs(self, number: np.ndarray, per: np.ndarray) -> np.ndarray:
-        """(word before, word) as one number each; a text's first word follows the begin mark."""
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[np.concatenate([[0], np.cumsum(per)[:-1]])] = self.types
-        return (before.astype(np.uint64) << _U32) | (number.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-
-    def times(self, pairs: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(pairs), np.int64)
-        hashes = mix(pairs)
-        order = np.argsort(hashes)
-        for r, part, at, found in self._find("pair", self.pair_ranges, lambda r: os.path.exists(f"{self.folder}/pair-{r:06d}.npy") if ("pair", r) not in self.files else True, hashes[order]):
-            out[order[part]] = np.where(found, self.array("times", r)[at], 0)
-        return out
-
-    def followers(self, number: np.ndarray) -> np.ndarray:
-        """Rows of (words followed, pairs begun of count 1, 2, 3 or more) for sorted word numbers."""
-        out = np.zeros((len(number), 4), np.int64)
-        cuts = np.searchsorted(number, np.append(self.starts, self.types))
-        for r in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[r], cuts[r + 1])
-            out[part] = self.array("follow", r)[number[part] - self.starts[r]]
-        return out
-
-    def log10(self, number: np.ndarray, count: np.ndarray, per: np.ndarray) -> np.ndarray:
+        place, counts = self.find(0, distinct, 1)
+        place[place < 0] = self.types + 1
+        small = np.uint32 if self.types + 2 < 1 << 32 else np.uint64
+        return place.astype(small)[back], counts[back, 0]
+
+    def padded(self, number: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with the mark of their beginning before them, once less than the order; and where the tokens then are."""
+        ahead = self.order - 1
+        place = np.arange(len(number)) + (owners(per) + 1) * ahead
+        out = np.full(len(number) + len(per) * ahead, self.types, number.dtype)
+        out[place] = number
+        return out, place
+
+    def log10(self, number: np.ndarray, per: np.ndarray) -> np.ndarray:
         """log10 probability of every token of a block."""
-        unknown = self.rest / (self.types + 1)
-        distinct, back = np.unique(number, return_inverse=True)
-        known = distinct >= 0
-        rows = np.zeros((len(distinct), 4), np.int64)
-        rows[known] = self.followers(distinct[known])
-        follow = rows[:, 0]
-        p1 = unknown + np.maximum(follow - _discount(follow, self.word_discounts), 0) / max(self.followed, 1)
-        low = p1[back]
-        first = np.concatenate([[0], np.cumsum(per)[:-1]])
-        context_count = np.empty(len(number), np.int64)
-        context_count[1:] = count[:-1]
-        context_count[first] = self.begin
-        lost = np.empty(len(number), np.float64)
-        by_word = rows[:, 1:] @ np.array(self.pair_discounts)
-        lost[1:] = by_word[back][:-1]
-        lost[first] = np.dot(self.begin_kinds, self.pair_discounts)
-        pair = self.pairs(number, per)
-        ok = (number >= 0) & (context_count > 0)
-        names, where = np.unique(pair[ok], return_inverse=True)
-        times = np.zeros(len(number), np.int64)
-        times[ok] = self.times(names)[where]
-        total = np.maximum(context_count, 1)
-        p = np.maximum(times - _discount(times, self.pair_discounts), 0) / total + lost / total * low
-        return np.log10(np.where(context_count > 0, p, low))
-
-
-def _discount(times: np.ndarray, d: tuple) -> np.ndarray:
-    return np.array([0.0, *d])[np.minimum(times, 3)]
-
-
-def fit(docs: DataFrame, learn: Column, range_tokens: int = RANGE_TOKENS) -> Model:
+        padded, place = self.padded(number, per)
+        shown = np.union1d(place, place - 1)  # tokens, and each text's last mark before it
+        now, before = np.searchsorted(shown, place), np.searchsorted(shown, place - 1)
+        p, context = None, None
+        for level in range(1, self.order + 1):
+            top = level == self.order
+            at = place if top else shown
+            distinct, back = np.unique(gram_hash([padded[at - k] for k in range(level - 1, -1, -1)]), return_inverse=True)
+            counts = self.find(level, distinct, 1 if top else 5)[1][back]
+            d = np.array([0.0, *self.discounts[level - 1]])
+            c = counts[:, 0] if top else counts[now, 0]
+            own = np.maximum(c - d[np.minimum(c, 3)], 0)
+            if p is None:
+                p = self.rest / (self.types + 1) + own / max(self.followed, 1)
+            else:
+                total, lost = context[:, 1], context[:, 2:] @ d[1:]
+                p = np.where(total > 0, (own + lost * p) / np.maximum(total, 1), p)
+            context = None if top else counts[before]
+        return np.log10(p)
+
+
+def fit(docs: DataFrame, learn: Column, order: int = ORDER, range_tokens: int = RANGE_TOKENS) -> Model:
     """The model of the texts of docs(doc_id, text) for which ``learn`` (of doc_id) holds."""
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark = docs.sparkSession
     folder = f"{_local(shared_dir(spark))}/ngrams-{uuid.uuid4().hex}"
     os.makedirs(folder)
     atexit.register(shutil.rmtree, folder, True)
     rows = docs.where(learn).select(F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n_docs = size[1]
-    ranges = max(1, -(-((size[0] or 0) // 6 + n_docs) // range_tokens))
-
-    def dealt(shipped: DataFrame, n: int, write, schema: str) -> DataFrame:
-        return shipped.repartitionById(n, F.col("range")).mapInArrow(write, schema)
-
-    if not n_docs:
-        return Model(folder, 1, np.zeros(1, np.int64))
-    words_made = dealt(rows.mapInArrow(_ship_words(ranges), "range int, block binary"), ranges, _write_words(folder), "range int, size long, tokens long").collect()
-    sizes = np.zeros(ranges, np.int64)
-    for r in words_made:
-        sizes[r["range"]] = r["size"]
-    model = Model(folder, ranges, sizes, tokens=sum(r["tokens"] for r in words_made), pair_ranges=ranges, begin=n_docs)
-    made = dealt(rows.mapInArrow(_ship_pairs(model, ranges), "range int, block binary"), ranges, _write_pairs(folder, model.starts, model.types), _NUMBERS)
-    made.write.parquet(f"file://{folder}/passed")
-    made = spark.read.schema(_NUMBERS).parquet(f"file://{folder}/passed")
-    sums = np.zeros(5, np.int64)
-    kinds = np.zeros(3, np.int64)
-    for r in made.where("kind < 2").select("kind", "numbers").collect():
-        if r["kind"]:
-            kinds += r["numbers"]
-        else:
-            sums += r["numbers"]
-    model.begin_kinds, model.pair_discounts = kinds.tolist(), discounts(sums[1:].tolist())
-    followers = dealt(made.where("kind = 2").select("range", "block"), ranges, _write_followers(folder, model.starts, sizes), "numbers array<long>").collect()
-    f = np.sum([r["numbers"] for r in followers], axis=0)
-    model.followed, model.word_discounts = int(f[0]), discounts(f[1:5].tolist())
-    model.rest = float(np.dot([f[1], f[2], f[5]], model.word_discounts) / f[0])
+    ranges = max(1, -(-((size[0] or 0) // 6 + size[1]) // range_tokens))
+    model = Model(folder, order, ranges, discounts=[discounts([0] * 4)] * order)
+    dealt = lambda shipped: shipped.repartitionById(ranges, F.col("range"))
+    starts = np.zeros(ranges + 1, np.int64)
+    for r in dealt(rows.mapInArrow(_ship_words(ranges), _BLOCKS)).mapInArrow(_write_words(folder), "range int, size long, tokens long").collect():
+        starts[r["range"] + 1] = r["size"]
+        model.tokens += r["tokens"]
+    starts = np.cumsum(starts)
+    model.types = int(starts[-1])
+    _save(folder, "starts", starts[:-1])
+    if not size[1]:
+        return model
+    grams = rows.mapInArrow(_ship_grams(model), _BLOCKS)
+    for level in range(order, 0, -1):
+        grams = dealt(grams).mapInArrow(_write_level(folder, level, ranges), _BLOCKS)
+    consumed(grams)
+    for level in range(1, order + 1):
+        paths = [f"{folder}/sums-{level}-{r:06d}.npy" for r in range(ranges)]
+        sums = np.sum([np.load(p) for p in paths if os.path.exists(p)], axis=0)
+        model.discounts[level - 1] = discounts(sums[1:5].tolist())
+        if level == 1:
+            model.followed = int(sums[0])
+            model.rest = float(np.dot(sums[[1, 2, 5]], model.discounts[0]) / sums[0])
     return model
 
 
@@ -415,7 +406,7 @@ def _score(model: Model):
         ends = np.concatenate([[0], np.cumsum(per)])
         base = segment_sum(np.log10((count + 1) / (model.tokens + 1 * (model.types + 1))), ends)
         cols = [pa.array(per, pa.int64()), pa.array(segment_sum(count > 0, ends), pa.int64()), pa.array(np.full(len(per), model.tokens), pa.int64())]
-        cols += [pa.array(base), pa.array(segment_sum(model.log10(number, count, per), ends))]
+        cols += [pa.array(base), pa.array(segment_sum(model.log10(number, per), ends))]
         return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return map_blocks(block, most=_BLOCK_BYTES)
