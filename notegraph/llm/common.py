@@ -7,11 +7,12 @@ depends on the block (or the longest single text) and not on the table.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -55,7 +56,10 @@ def shipping(f: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where none is set, a temporary folder serves a session on one machine; a cluster must name one.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -63,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="notegraph-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -73,26 +79,39 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_let_go(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def consumed(df: DataFrame) -> None:
+    """Runs df for what its tasks write; its shuffles go at the end."""
+    with _shuffles_let_go(df.sparkSession):
+        df.select("*").write.format("noop").mode("overwrite").save()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again; what its shuffles hold on disk is let go.
+    """df written to the shared folder and read again; the shuffles that made it go with the write.
 
     Unlike a checkpoint the files are columnar and compressed, and later reads take the
     columns they need. They go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    with _shuffles_let_go(spark):
+        df.select("*").write.parquet(path)  # a new plan, which takes the setting
     held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(held)
-    release(spark)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files go once the driver's JVM finds their plans unused, which is now."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def packed(df: DataFrame, *names: str) -> DataFrame:
@@ -105,6 +124,29 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: What names a row: by ``ROW_KEY``, rows with an id come before those without.
+ROW_KEY = ["no_id", "id", "text_key"]
+ROW_KEY_SCHEMA = "no_id boolean, id long, text_key long"
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """no_id, id, text_key: rows of one id are told apart by 64 bits of their texts, rows without by 128."""
+    content = F.coalesce(text.cast("string"), F.lit(""))
+    other = F.xxhash64(F.lit("id"), content)
+    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("long"), other).alias("id"), text_key(content).alias("text_key")]
+
+
+def one_row_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, …) whose keys are in kept(row key), one of those that repeat. Each text is shuffled once."""
+    keyed = packed(docs, "doc_id", "text").select("_row", *row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(kept, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).select("_row.*")
+
+
+def id_of(no_id: Column, key: Column) -> Column:
+    """The doc_id of a row key; null for a row without."""
+    return F.when(~no_id, key)
+
+
 # ----------------------------------------------------------------- Arrow blocks
 
 
@@ -234,6 +276,28 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
     return start, end, per
 
 
+def least_of_windows(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every run of ``width``, by block-wise running minima from both sides."""
+    n = len(x) - width + 1
+    whole = np.concatenate([x, np.full(-len(x) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(whole, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+_PLACE = (np.uint64(1) << np.uint64(31)) - np.uint64(1)
+
+
+def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For every run of ``width`` hashes the place of the least, the rightmost of equal ones.
+
+    Hashes are compared without their low 31 bits, which hold the place: the same for any
+    block, or equal strings might choose differently.
+    """
+    place = np.arange(len(hashes), dtype=np.uint64)
+    return (_PLACE - (least_of_windows((hashes & ~_PLACE) | (_PLACE - place), width) & _PLACE)).astype(np.int64)
+
+
 def owners(per: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(per)), per)
 

@@ -2,23 +2,26 @@
 
 A fingerprint's bit is set if more than half of the text's word shingles have it set
 in their XXH64. Two fingerprints link at ``radius`` or fewer differing bits. With the
-64 bits cut into ``BANDS`` bands, linked fingerprints agree in all but ``radius`` of
-them, so each distinct fingerprint is dealt to one bucket for every choice of
-``BANDS - radius`` bands and every link shows up in some bucket. Within a bucket the
+64 bits cut into bands, linked fingerprints agree in all but ``radius`` of them, so each
+distinct fingerprint is dealt to one bucket for every choice of all bands but ``radius``,
+and every link shows up in some bucket. The more fingerprints there are, the more bands
+are cut, so that a bucket's key grows and its size does not. Within a bucket the
 fingerprints lie as bit planes, 64 to a machine word; distances of many are counted
 at once with carry-save counters, and a block is abandoned once all of it is beyond
 the radius. Of a bucket's links only a spanning forest leaves the task: the point
 nearest the bucket's majority is compared first, and then points outside the largest
 group so far are compared with the whole bucket, until all that were not are in one
-group, as links within a group change nothing. Buckets over ``TILE`` fingerprints are cut into tiles that are
-compared by different tasks. Nothing is capped; only distinct fingerprints are
-compared, so exact copies cost nothing.
+group, as links within a group change nothing. Buckets over ``TILE`` fingerprints are
+cut into tiles that are compared by different tasks. Nothing is capped; only distinct
+fingerprints are compared, so exact copies cost nothing.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any
-other. Rows that repeat share a fingerprint. A null doc_id never names a component
-unless no other id is there (then the component's id is null). Empty tables give
-empty results; columns other than doc_id and text are ignored by ``fingerprints``
-and passed through by ``drop_near_duplicates``.
+other. A very long text has all its shingles counted. A bit set in exactly half of the
+shingles (a tie) is 0. Rows that repeat share a fingerprint. Texts of one id are told
+apart by what they hold; a component's id is the least of its ids, and null only if no
+row of it has one. Empty tables give empty results; columns other than doc_id and text
+are ignored by ``fingerprints`` and passed through by ``drop_near_duplicates``, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -32,17 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import cut, packed, text_key
+from notegraph.llm.common import ROW_KEY, ROW_KEY_SCHEMA, cut, id_of, one_row_of, row_key
 from notegraph.llm.components import connected_components
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-BANDS = 6
 TILE = 20_000
+_BUCKET = 256
+_ROWS_A_TASK = 500_000
 _SMALL = 16
 _BLOCK_WORDS = 64
-_NO_ID = (1 << 63) - 1
 
 
 # ----------------------------------------------------------------- fingerprints
@@ -68,15 +71,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int, batches):
     for batch in batches:
-        texts = batch.column(2)
+        texts = batch.column(3)
         fps = np.fromiter((fingerprint((t.as_py() or "").encode(), shingle) for t in texts), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], names=[*ROW_KEY, "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, text_key, fp (64 bits as a long)."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string"))
-    return rows.mapInArrow(partial(_fingerprints, shingle), "doc_id long, text_key long, fp long")
+    """Per row of docs(doc_id, text): its row key, fp (64 bits as a long)."""
+    rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(partial(_fingerprints, shingle), f"{ROW_KEY_SCHEMA}, fp long")
 
 
 # ----------------------------------------------------------- bit-sliced buckets
@@ -206,24 +209,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, tile: int = TILE) -> DataFrame:
+def bands_for(n: int, radius: int) -> int:
+    """The fewest bands by which n evenly spread fingerprints would fall into buckets of at most ``_BUCKET``."""
+    return next(b for b in range(radius + 2, 64) if b == 63 or n >> (64 * (b - radius) // b) <= _BUCKET)
+
+
+def _linked(rows: DataFrame, n: int, radius: int) -> DataFrame:
+    """Edges of n rows(band, key, fp, query), bucket by bucket; a task holds a bounded number of rows."""
+    dealt = rows.repartition(-(-n // _ROWS_A_TASK) or 1, "band", "key")
+    return dealt.mapInArrow(partial(_link_partition, radius), "a long, b long")
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, bands: int | None = None, tile: int = TILE) -> DataFrame:
     """fps(fp), distinct -> edges (a, b) whose components are those of all links within the radius."""
+    n = fps.count()
+    bands = bands or bands_for(n, radius)
     if not 0 <= radius < min(bands, 7):
         raise ValueError("the radius must be under the number of bands, and at most 6")
     masks = [_signed(sum(m)) for m in combinations(_band_bits(bands), bands - radius)]
     keys = F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
     dealt = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
-    parts = lambda df, *by: df.repartition(*by)
     # Large buckets are rare: their keys are counted first, and joined as a table that may be empty.
     hot = cut(dealt.groupBy("band", "key").count().where(F.col("count") > tile).withColumnRenamed("count", "n"))
-    link = partial(_link_partition, radius)
     if hot.isEmpty():
-        every = dealt.select("band", "key", "fp", F.lit(True).alias("query"))
-        return parts(every, "band", "key").mapInArrow(link, "a long, b long").distinct()
+        return _linked(dealt.select("band", "key", "fp", F.lit(True).alias("query")), n * len(masks), radius).distinct()
     every = dealt.join(hot, ["band", "key"], "left")
     cold = every.where("n is null").select("band", "key", "fp", F.lit(True).alias("query"))
-    edges = parts(cold, "band", "key").mapInArrow(link, "a long, b long")
-    return edges.unionAll(_tiled(every.where("n is not null"), radius, tile)).distinct()
+    return _linked(cold, n * len(masks), radius).unionAll(_tiled(every.where("n is not null"), radius, tile)).distinct()
 
 
 def _tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
@@ -251,27 +263,26 @@ def _tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
         "band", "key", "fp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), "tile"
     )
     both = asked.select("band", "key", "group", "tile", "fp", "query").unionByName(met).groupBy("band", "key", "group", "tile", "fp").agg(F.max("query").alias("query"))
-    tagged = both.select(F.xxhash64("band", "key").alias("key"), (F.col("group") * 1_000_003 + F.col("tile")).cast("int").alias("band"), "fp", "query")
-    return star.unionAll(tagged.repartition("band", "key").mapInArrow(partial(_link_partition, radius), "a long, b long"))
+    tagged = cut(both.select(F.xxhash64("band", "key").alias("key"), F.xxhash64("group", "tile").alias("band"), "fp", "query"))
+    return star.unionAll(_linked(tagged, tagged.count(), radius))
 
 
 # ------------------------------------------------------------------- components
 
 
-def near_components(fp_rows: DataFrame, radius: int = RADIUS, bands: int = BANDS, tile: int = TILE) -> DataFrame:
-    """fp_rows(doc_id, text_key, fp) -> those columns, label (names the component), component_id, keeps.
+def near_components(fp_rows: DataFrame, radius: int = RADIUS, bands: int | None = None, tile: int = TILE) -> DataFrame:
+    """fp_rows(row key, fp) -> those columns, doc_id, label (names the component), component_id, keeps.
 
-    keeps: (doc_id, text_key) of the row that stands for the component.
+    keeps: the key of the row that stands for the component.
     """
-    held = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_key")
-    fps = cut(fp_rows.groupBy("fp").agg(F.min(held).alias("least")))
+    fps = cut(fp_rows.groupBy("fp").agg(F.min(F.struct(*ROW_KEY)).alias("least")))
     labels = connected_components(near_links(fps.select("fp"), radius, bands, tile))
     named = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # Cut, so that the join below has plain exchanges on both sides, which may split a large component.
     whole = cut(named.groupBy("label").agg(F.min("least").alias("keeps")))
     by_fp = named.join(whole, "label").select("fp", "label", "keeps")
     return fp_rows.join(by_fp, "fp").select(
-        "doc_id", "text_key", "fp", "label", F.when(F.col("keeps.id") != _NO_ID, F.col("keeps.id")).alias("component_id"), "keeps"
+        *ROW_KEY, id_of(F.col("no_id"), F.col("id")).alias("doc_id"), "fp", "label", id_of(F.col("keeps.no_id"), F.col("keeps.id")).alias("component_id"), "keeps"
     )
 
 
@@ -279,8 +290,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = S
     """docs with one row of each component: that of the least doc_id."""
     held = near_components(cut(fingerprints(docs, shingle)), radius)
     kept = held.select("keeps.*").distinct()
-    keyed = packed(docs, "doc_id", "text").select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_key(F.col("text")).alias("text_key"))
-    return keyed.join(kept, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("_row.*")
+    return one_row_of(docs, kept)
 
 
 def digest(components: DataFrame) -> DataFrame:

@@ -24,9 +24,12 @@ Of equal stretches or cells one stands for all in the next round, with a weight
 so groups of copies are compared once. Nothing is capped: equal rows are added up
 before the shuffle, and are joined back in joins whose one side has a row a rank.
 
-Edge cases: null and short texts lose nothing. Rows that repeat (same id, same text)
-repeat each other's strings like any two texts; all of them lose what repeats. Null
-ids are carried. Columns other than doc_id and text are ignored.
+Edge cases: null, empty and short texts lose nothing. A very long text is a block of its
+own; its strings count like those of many texts. Rows that repeat (same id, same text)
+repeat each other's strings like any two texts; all of them lose what repeats, as do all
+of any equal strings (a tie). Texts that share an id, or have none, are told apart by
+what they hold. An empty table gives an empty result. Columns other than doc_id and text
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,21 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import Roller, map_blocks, mix, stored
+from notegraph.llm.common import ROW_KEY, ROW_KEY_SCHEMA, Roller, id_of, least_places, map_blocks, mix, row_key, stored
 
 LENGTH = 200
 SEED_BYTES = 48
 CELL = 16
-_NO_ID = (1 << 63) - 1
-
-
-def _least_of_windows(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every run of ``width``, by block-wise running minima from both sides."""
-    n = len(x) - width + 1
-    whole = np.concatenate([x, np.full(-len(x) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(whole, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
 class Stretches:
@@ -68,11 +61,7 @@ class Stretches:
             return
         width = length - seed + 1
         hashes = mix(self.rollers[0].windows(self.prefix[0], seed))
-        # The least hash wins, the rightmost of equal ones: places count down in the low bits.
-        bits = np.uint64(31)  # the same for any block, or equal strings might choose differently
-        place = np.arange(len(hashes), dtype=np.uint64)
-        low = (np.uint64(1) << bits) - np.uint64(1)
-        winner = (low - (_least_of_windows((hashes & ~low) | (low - place), width) & low)).astype(np.int64)
+        winner = least_places(hashes, width)
         starts = np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         doc = np.repeat(np.arange(len(count)), count)
         chosen = winner[starts]
@@ -93,15 +82,15 @@ class Stretches:
 
 
 #: A rank's row: what must be shared at least (key), the rank of all it spans (n1, n2), and where it is.
-_ROWS = "key long, n1 long, n2 int, id long, text_key int, place long, copies int"
+_ROWS = f"key long, n1 long, n2 int, {ROW_KEY_SCHEMA}, place long, copies int"
 
 
 def _rows(batch, doc, key, names, place, copies) -> pa.RecordBatch:
     take = pa.array(doc)
     short = (names[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    cols = [pa.array(key.view(np.int64)), pa.array(names[0].view(np.int64)), pa.array(short), batch.column(0).take(take), batch.column(1).take(take)]
+    cols = [pa.array(key.view(np.int64)), pa.array(names[0].view(np.int64)), pa.array(short), *(batch.column(i).take(take) for i in range(3))]
     cols += [pa.array(place.astype(np.int64)), pa.array(copies.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(cols, names=["key", "n1", "n2", "id", "text_key", "place", "copies"])
+    return pa.RecordBatch.from_arrays(cols, names=["key", "n1", "n2", *ROW_KEY, "place", "copies"])
 
 
 def _stretches(length: int, seed: int):
@@ -120,7 +109,7 @@ def _stretches(length: int, seed: int):
 def _asked(batch, s: Stretches):
     """What a text's rows ask for: (stretch, text, place, weight) arrays, or None."""
     begin = np.searchsorted(s.doc, np.arange(batch.num_rows + 1))
-    rows = [(d, p, w) for d, asked in enumerate(batch.column(3).to_pylist()) for p, w in zip((x["place"] for x in asked), (x["weight"] for x in asked))]
+    rows = [(d, p, w) for d, asked in enumerate(batch.column(4).to_pylist()) for p, w in zip((x["place"] for x in asked), (x["weight"] for x in asked))]
     if not rows:
         return None
     d, place, weight = (np.array(x, np.int64) for x in zip(*rows))
@@ -177,7 +166,7 @@ def _positions(length: int, seed: int):
     return map_blocks(block)
 
 
-_OWN, _NAME = ["id", "text_key"], ["key", "n1", "n2"]
+_OWN, _NAME = ROW_KEY, ["key", "n1", "n2"]
 
 
 def _round(rows: DataFrame, more: bool = True) -> tuple[DataFrame, DataFrame | None]:
@@ -190,7 +179,7 @@ def _round(rows: DataFrame, more: bool = True) -> tuple[DataFrame, DataFrame | N
     shared = rows.groupBy("key").agg(F.sum("copies").alias("c"), F.min("n1").alias("lo"), F.max("n1").alias("hi"))
     live = stored(shared.where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("varied")))
     rows = stored(rows.join(live, "key"))
-    ranks = stored(rows.groupBy(*_NAME, "varied").agg(F.sum("copies").alias("c"), F.min(F.struct("id", "text_key", "place")).alias("least")))
+    ranks = stored(rows.groupBy(*_NAME, "varied").agg(F.sum("copies").alias("c"), F.min(F.struct(*ROW_KEY, "place")).alias("least")))
     whole = rows.join(ranks.where("c > 1").select(*_NAME), _NAME, "left_semi").groupBy(*_OWN).agg(F.collect_set("place").alias("places"))
     if not more:
         return stored(whole), None
@@ -207,7 +196,7 @@ def _remove(length: int, seed: int):
 
     def block(batch, off, data):
         s = Stretches(off, data, length, seed)
-        whole, parts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        whole, parts = batch.column(4).to_pylist(), batch.column(5).to_pylist()
         delta = np.zeros(len(data) + 1, np.int64)
         begin = np.searchsorted(s.doc, np.arange(len(off)))
         for d, (ordinals, places) in enumerate(zip(whole, parts)):
@@ -233,7 +222,7 @@ def _remove(length: int, seed: int):
                 spans.append([])
             kept.append(data[off[d] : off[d + 1]][~g].tobytes())
         cols = [pa.array(np.diff(off)), pa.array(spans, _SPANS), pa.array(kept, pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(5), *cols], names=["doc_id", "n_bytes", "removed", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column(6), *cols], names=["doc_id", "n_bytes", "removed", "kept"])
 
     return map_blocks(block)
 
@@ -243,15 +232,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     if not 1 <= seed <= length // 2:
         raise ValueError("seeds must fit half a string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("text_key"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    long = rows.where(F.octet_length("text") >= length).select("id", "text_key", "text")
+    rows = docs.select(*row_key(F.col("doc_id"), text), text.alias("text"))
+    long = rows.where(F.octet_length("text") >= length)
     whole, asked = _round(long.mapInArrow(_stretches(length, seed), _ROWS))
     cells, asked = _round(long.join(asked, _OWN).mapInArrow(_cells(length, seed), _ROWS))
     single, _ = _round(long.join(asked, _OWN).mapInArrow(_positions(length, seed), _ROWS), more=False)
     parts = cells.unionByName(single).groupBy(*_OWN).agg(F.flatten(F.collect_list("places")).alias("parts"))
     marks = whole.withColumnRenamed("places", "whole").join(parts, _OWN, "full")
     return (
-        rows.join(marks, _OWN, "left").select(*_OWN, "text", "whole", "parts", "doc_id")
+        rows.join(marks, _OWN, "left").select(*_OWN, "text", "whole", "parts", id_of(F.col("no_id"), F.col("id")).alias("doc_id"))
         .mapInArrow(_remove(length, seed), f"doc_id long, n_bytes long, {_REMOVED}, kept binary")
     )
 
