@@ -7,18 +7,24 @@ are both large and significant keep their score; every other token has the (slig
 negative) log-odds of the rest. Ruzzo and Tompa's scan then finds all maximal segments
 of a text in linear time. Segment scores follow an extreme-value law with the
 parameter that makes the expected exponential score one; its scale is fitted on clean
-texts. A text's evidence is the sum of its segments' normalised scores above chance, each
-repeat of a token counting half of the last, turned into a probability by Platt's method on labelled rows the counts have not seen.
+texts. Each repeat of a token in a text scores half of the last. A text's evidence is the
+sum of its segments' normalised scores above chance, turned into a probability by
+Platt's method on labelled rows the counts have not seen; its passages are the same
+segments, those that chance explains in fewer than ``SIGNIFICANT`` texts.
 
 The counts use at most ``FIT_ROWS`` labelled rows (those of least hash of doc_id), of
-which a quarter is held for calibration; the model keeps at most ``MAX_FEATURES``
-features, those of greatest significance. All texts are scored whole.
-
-Edge cases: null and empty texts have no tokens and the score of no evidence. Rows
-that repeat are scored row by row; a null doc_id counts as the empty text in the hash
-that holds rows out. Labels that are null or without a document are not used; of
-labels that disagree for one id the greatest counts. Without both kinds of labels
-every score is 0 (or 1, if all labels are toxic).
+which a quarter is held for calibration; the model holds every feature of those rows
+that is significant. All texts are scored whole.
+
+Edge cases: null and empty texts have no tokens and the score of no evidence. A very
+long text is scanned once, in time linear in its tokens; its size raises the floor that
+its segments must pass. Of segments that tie in score each counts for itself, and of
+maximal ones that could be cut in two ways the scan keeps the longer. Rows that repeat
+are scored row by row; a null doc_id counts as the empty text in the hash that holds
+rows out. Labels that are null or without a document are not used; of labels that
+disagree for one id the greatest counts. Without both kinds of labels every score is 0
+(or 1, if all labels are toxic); an empty table gives an empty result. Columns other
+than doc_id, text and the label are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,11 +38,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import crc_mod
+from notegraph.llm.common import crc_mod, cut
 from notegraph.llm.quality import _platt
 
 FIT_ROWS = 20_000
-MAX_FEATURES = 50_000
 PRIOR_SHARE = 0.05
 MIN_Z = 2.6
 MIN_LOG_ODDS = 1.0
@@ -68,10 +73,9 @@ class Model:
             self.known[token] = got
         return got
 
-    def segments(self, toks: list[str], fade: bool = False) -> list[tuple[float, int, int]]:
-        """fade: each repeat of a token in the text scores half of what it did before."""
+    def segments(self, toks: list[str]) -> list[tuple[float, int, int]]:
         scores = [self.token_score(t) for t in toks]
-        if fade and any(scores):
+        if any(scores):
             seen: dict[str, float] = {}
             for i, t in enumerate(toks):
                 if scores[i]:
@@ -151,7 +155,7 @@ def _evidence(model: Model):
             rows = []
             for text in batch.column(1):
                 toks = tokens(text.as_py() or "")
-                segs = model.segments(toks, fade=True)
+                segs = model.segments(toks)
                 rows.append((len(toks), max((s for s, _, _ in segs), default=0.0), [s for s, _, _ in segs]))
             cols = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["label", "n_tokens", "top", "segments"])
@@ -178,9 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic"
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(fit_rows)
     # At most fit_rows pairs of numbers, whatever the table's size.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = one_of_each(rows)
+    rows = cut(one_of_each(rows))  # read three times below
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0
-    counts = (
+    counts = cut(
         rows.where(~held).select("label", "text").mapInArrow(_count, "feature string, toxic long, clean long")
         .groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     )
@@ -195,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic"
     z = odds / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
     picked = (
         counts.withColumns({"odds": odds, "z": z}).where((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_LOG_ODDS))
-        .orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).select("feature", "odds", "t", "c").collect()
+        .select("feature", "odds", "t", "c").collect()
     )
     scores = {r.feature: r.odds for r in picked}
     # Mass of the scored tokens under either kind; the rest's log-odds follow from it.
@@ -231,8 +235,9 @@ def _score(model: Model):
             for text in batch.column(1):
                 t = text.as_py() or ""
                 toks = tokens(t)
-                score.append(model.probability(model.evidence(model.segments(toks, fade=True), len(toks))))
-                found = [(s, a, b) for s, a, b in model.segments(toks) if model.significant(s, len(toks))]
+                segments = model.segments(toks)
+                score.append(model.probability(model.evidence(segments, len(toks))))
+                found = [(s, a, b) for s, a, b in segments if model.significant(s, len(toks))]
                 places = [m.span() for m in _TOKEN.finditer(t.lower())] if found else []
                 passages.append([{"start": places[a][0], "end": places[b - 1][1], "score": s} for s, a, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(passages, _PASSAGES)], names=["doc_id", "score", "passages"])
