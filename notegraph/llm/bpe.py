@@ -10,9 +10,11 @@ pattern ever looks ahead. Where no boundary is shared (one pre-token as long as
 overlap) the seam is pre-tokenised again from the last boundary that holds.
 Decoding concatenates the raw bytes of the ids.
 
-Edge cases: a null text is the empty text, with no ids. Rows that repeat, or whose
-doc_id is null, are encoded row by row. Empty tables give empty results; columns
-other than doc_id and text are ignored.
+Edge cases: a null text is the empty text, with no ids. A very long text is many chunks,
+whose ids meet again in one task. Of merges that tie in rank the leftmost comes first, as
+the ranks say; of shared boundaries the first is the seam. Rows that repeat, or whose
+doc_id is null, are encoded row by row. Empty tables give empty results; columns other
+than doc_id and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -9,26 +9,32 @@ benchmark's word pairs before a window is full can match none, so only the other
 enter the array; that changes no result.
 
 The benchmark is the stated query set. It goes to the workers in blocks of at most
-``block_bytes`` of text, each a pass of its own over the documents; the blocks'
-matches are then put together by document. Benchmarks of one block, the usual case,
-take one pass and no shuffle.
+``block_bytes`` of text (a longer item is a block of its own), which are read one after
+the other, so that the driver never holds more than one. Benchmarks of one block, the
+usual case, take one pass and no shuffle. Of each block of a larger one the matches are
+stored, one row a text and match, and put together by text.
 
 Edge cases: null or word-less texts have no words and are never contaminated; null
-items match nothing. An item of fewer than ``window`` words is one window of its own
-length. Items that repeat in text are each reported under their own id; an item
-whose id is null still hits but has no id to list. Rows of documents that repeat are
-judged row by row. Other columns are ignored by ``find_matches`` and passed through
-by ``drop_contaminated``.
+items match nothing. A very long text is a shard of its own. An item of fewer than
+``window`` words is one window of its own length. Items that repeat in text (a tie) are
+each reported under their own id; an item whose id is null still hits but has no id to
+list. Rows of documents that repeat are judged row by row. Empty tables give empty
+results, and an empty benchmark contaminates nothing. ``find_matches`` puts its columns
+over those of their names and leaves others alone; ``drop_contaminated`` passes all
+columns through, whatever they are called.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import LOWER, Roller, map_blocks, packed, text_buffers, words
+from notegraph.llm.common import LOWER, Roller, map_blocks, packed, stored, text_buffers, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -213,18 +219,23 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def item_blocks(items: DataFrame, block_bytes: int) -> list[tuple[list, list]]:
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
     """The benchmark in blocks of bounded size, streamed partition by partition."""
-    out, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     for r in rows.toLocalIterator():
-        if texts and size + len(r[1]) > block_bytes:
-            out.append((ids, texts))
+        if texts and size + len(r[1].encode()) > block_bytes:
+            yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
-        size += len(r[1])
-    return [*out, (ids, texts)]
+        size += len(r[1].encode())
+    yield ids, texts
+
+
+def _text_name(text) -> list:
+    held = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(held).alias("_k1"), F.xxhash64(F.lit("id"), held).alias("_k2")]
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -234,20 +245,25 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
     than one block, hit words are counted from the union of all blocks' matches.
     """
     docs = docs.drop("n_words", "n_hit", "matches")
-    parts = item_blocks(items, block_bytes)
-    out = docs.mapInArrow(_judge(*parts[0], window), f"{_schema(docs)}, {_OUT}")
-    for part in parts[1:]:
-        now = out.withColumnsRenamed({"matches": "_seen"}).drop("n_words", "n_hit")
-        out = now.mapInArrow(_judge(*part, window), f"{_schema(now)}, {_OUT}")
-        out = out.withColumn("matches", F.concat("_seen", "matches")).drop("_seen")
-    if len(parts) > 1:
-        spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("s"), (m["doc_word"] + m["n_words"]).alias("e"))))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
-        step = lambda a, x: F.struct(
-            (a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["at"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["at"], x["e"]).alias("at")
-        )
-        out = out.withColumn("n_hit", F.aggregate(spans, zero, step, lambda a: a["n"]))
-    return out
+    judged = lambda df, block: df.mapInArrow(_judge(*block, window), f"{_schema(df)}, {_OUT}")
+    blocks = item_blocks(items, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return judged(docs, first)
+    texts, found = docs.select("text"), None
+    for block in chain((first, second), blocks):
+        hits = judged(texts, block).select(*_text_name(F.col("text")), F.explode("matches").alias("m"))
+        one = stored(hits.distinct())
+        found = one if found is None else found.unionAll(one)
+    every = stored(found.groupBy("_k1", "_k2").agg(F.collect_list("m").alias("_m")))
+    counted = judged(docs, ([], [])).drop("n_hit", "matches").select("*", *_text_name(F.col("text")))
+    out = counted.join(every, ["_k1", "_k2"], "left").withColumn("matches", F.coalesce("_m", F.array().cast(_OUT.rpartition("matches ")[2]))).drop("_k1", "_k2", "_m")
+    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("s"), (m["doc_word"] + m["n_words"]).alias("e"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    step = lambda a, x: F.struct(
+        (a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["at"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["at"], x["e"]).alias("at")
+    )
+    return out.withColumn("n_hit", F.aggregate(spans, zero, step, lambda a: a["n"]))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -7,11 +7,14 @@ choice depends on nothing but doc_id) and calibrated by Platt's method on a quar
 of them that the fit has not seen. Scores are made in Arrow batches, and a row stays
 if its calibrated probability of being good reaches ``THRESHOLD``.
 
-Edge cases: a null text has no words, no symbols and no lines, and fails the base
-rules, as any text under 20 words does. Rows that repeat are judged row by row; null
-ids are carried. Labels that are null, or of ids that are not there, are not used; of
-labels that disagree for one id the greatest counts. With no labels, or of one value
-only, the base rules alone decide.
+Edge cases: a null or empty text has no words, no symbols and no lines, and fails the
+base rules, as any text under 20 words does. A very long text is a block of its own and
+is judged whole. Rows that repeat are judged row by row; null ids are carried. A score
+that equals the threshold (a tie) is kept. Labels that are null, or of ids that are not
+there, are not used; of labels that disagree for one id the greatest counts. With no
+labels, or of one value only, the base rules alone decide. An empty table gives an empty
+result. ``judge`` puts its columns over those of their names; ``keep`` passes all columns
+through, whatever they are called.
 """
 
 from __future__ import annotations
