@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,20 @@ def fan_out(engines: Mapping[str, Engine | None], queries: DataFrame) -> tuple[D
     return out, state
 
 
+def encoded(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", out: str = "embedding") -> DataFrame:
+    """texts with unit vectors by an outside encoder, in Arrow batches: rows of floats for rows of texts. A null text is the empty one."""
+
+    @F.pandas_udf("array<float>")
+    def encode(batch: pd.Series) -> pd.Series:
+        if not len(batch):
+            return pd.Series([], dtype=object)
+        v = np.asarray(encoder(batch.fillna("").tolist()), np.float64)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list((v / np.where(norm > 0, norm, 1)).astype(np.float32)))
+
+    return texts.withColumn(out, encode(F.col(text)))
+
+
 def counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import round4
 from notegraph.settings import DEFAULT, Settings
+from notegraph.sources.readers import feedback_window
 
 EVENTS = ("consumed", "consumed_unsatisfied", "ignored", "legacy")
 
@@ -94,10 +97,36 @@ def cold_decay(weights: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     })
 
 
-def cycle(weights: DataFrame, records: DataFrame, s: Settings = DEFAULT, decay_only: bool = False, no_decay: bool = False) -> DataFrame:
-    """One run: the records' deltas, then cold decay. Nothing is written; the caller keeps or drops the result."""
-    out = weights if decay_only else apply_deltas(weights, deltas(edge_events(records), s), s).drop("change")
-    return out if no_decay else cold_decay(out, s)
+def decay_stats(decayed: DataFrame) -> DataFrame:
+    """Of cold_decay's result: total_weights, decayed."""
+    return decayed.agg(F.count("*").alias("total_weights"), F.count_if(F.col("decayed_at").isNotNull()).alias("decayed"))
+
+
+def cycle(
+    weights: DataFrame, records: DataFrame, s: Settings = DEFAULT, decay_only: bool = False, no_decay: bool = False, since_days: int | None = None, last_applied=None,
+    decay_days: int | None = None, dry_run: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """One run: the deltas of the records of the last days, then cold decay -> (next weights, report of one row).
+
+    report: records, updated, created, capped_max, capped_min, total_weights, decayed. A dry
+    run reports (every edge with a delta counts as updated) and returns the weights as they
+    were. Nothing is written; the caller keeps or drops the result.
+    """
+    s = s if decay_days is None else replace(s, cold_days=decay_days)
+    used = records.limit(0) if decay_only else records
+    if since_days is not None or last_applied is not None:
+        used = feedback_window(used, F.lit(s.now).cast("timestamp"), s.cold_days if since_days is None else since_days, last_applied)
+    delta = deltas(edge_events(used), s)
+    applied = apply_deltas(weights, delta, s)
+    if dry_run:
+        none = F.lit(0).cast("long")
+        stats = delta.agg(F.count("*").alias("updated")).select("updated", none.alias("created"), none.alias("capped_max"), none.alias("capped_min"))
+        after = weights
+    else:
+        stats, after = apply_stats(applied), applied.drop("change")
+    decayed = cold_decay(after, s) if not no_decay else after.withColumn("decayed_at", F.lit(None).cast("double"))
+    report = used.agg(F.count("*").alias("records")).crossJoin(stats).crossJoin(decay_stats(decayed))
+    return (weights if dry_run else decayed if not no_decay else after), report
 
 
 def map_items(edges: DataFrame, matched: DataFrame, items: DataFrame) -> DataFrame:
@@ -115,11 +144,25 @@ def map_items(edges: DataFrame, matched: DataFrame, items: DataFrame) -> DataFra
 
 
 def backfill(weights: DataFrame, modified: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """last_touch, where there is none, from the later of both ends' file times, else now. modified(name, mtime)."""
+    """last_touch, where there is none, from the later of both ends' file times, else now. modified(name, mtime).
+
+    filled: skipped, filled_mtime or filled_now, by where last_touch comes from.
+    """
     m = modified.groupBy("name").agg(F.max("mtime").alias("mtime"))
     out = weights.join(m.select(F.col("name").alias("src"), F.col("mtime").alias("_a")), "src", "left").join(m.select(F.col("name").alias("dst"), F.col("mtime").alias("_b")), "dst", "left")
-    filled = F.coalesce(F.when(F.col("last_touch") != 0, F.col("last_touch")), F.greatest("_a", "_b"), F.lit(s.now))
-    return out.withColumn("last_touch", filled).drop("_a", "_b")
+    own, file = F.when(F.col("last_touch") != 0, F.col("last_touch")), F.greatest("_a", "_b")
+    filled = F.when(own.isNotNull(), "skipped").when(file.isNotNull(), "filled_mtime").otherwise("filled_now")
+    return out.withColumns({"filled": filled, "last_touch": F.coalesce(own, file, F.lit(s.now))}).drop("_a", "_b")
+
+
+def backfill_stats(filled: DataFrame) -> DataFrame:
+    """Of backfill's result: total, filled_mtime, filled_now, skipped."""
+    return filled.agg(F.count("*").alias("total"), *(F.count_if(F.col("filled") == c).alias(c) for c in ("filled_mtime", "filled_now", "skipped")))
+
+
+def stored_weight(json: Column, default: float = 0.5) -> Column:
+    """A stored weight that is a number or an object with a ``weight``; the default where it is neither."""
+    return F.coalesce(json.try_cast("double"), F.get_json_object(json, "$.weight").try_cast("double"), F.lit(default))
 
 
 def latest(table: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -26,13 +26,16 @@ def last_by_name(notes: DataFrame) -> DataFrame:
 def contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """needles(n, s) and hay(h, t) -> (n, h) where t contains s, neither empty.
 
-    An equi-join on the needle's first letters against all grams of the hay, then the
-    exact test: no pair is lost and none is tried that shares no start.
+    An equi-join on each needle's rarest gram, counted over the hay, then the exact test:
+    no pair is lost, and a frequent beginning meets nobody.
     """
-    keyed = needles.where("s <> ''").select("n", "s", F.substring("s", 1, _KEY).alias("k"))
     every = F.flatten(F.array(*(grams(F.col("t"), i) for i in range(1, _KEY + 1))))
     spread = hay.where("t <> ''").select("h", "t", F.explode(F.array_distinct(every)).alias("k"))
-    return keyed.join(spread, "k").where(F.contains("t", "s")).select("n", "h")
+    often = spread.groupBy("k").agg(F.count("*").alias("c"))
+    own = F.when(F.length("s") >= _KEY, grams(F.col("s"), _KEY)).otherwise(F.array("s"))
+    keyed = needles.where("s <> ''").select("n", "s", F.explode(own).alias("k")).join(often, "k")
+    rarest = keyed.groupBy("n", "s").agg(F.min_by("k", F.struct("c", "k")).alias("k"))
+    return rarest.join(spread, "k").where(F.contains("t", "s")).select("n", "h")
 
 
 def exact_links(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -52,43 +55,76 @@ def partial_links(links: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def with_tokens(notes: DataFrame) -> DataFrame:
-    return notes.select("name", "note_ord", "dir", F.array_distinct("tags").alias("tags"), tokens(F.substring("summary", 1, 500)).alias("tokens"))
+    """name, note_ord, dir, tags in order, tokens as 64-bit hashes."""
+    words = F.transform(tokens(F.substring("summary", 1, 500)), lambda w: F.xxhash64(w))
+    return notes.select("name", "note_ord", "dir", F.array_sort(F.array_distinct("tags")).alias("tags"), words.alias("tokens"))
 
 
-def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    return a.join(b, on).where(F.col("l.name") != F.col("r.name")).select(
-        F.col("l.name").alias("src"), F.col("r.name").alias("dst"), jaccard(F.col("l.tags"), F.col("r.tags")).alias("tag_jaccard"),
-        overlap(F.col("l.tokens"), F.col("r.tokens")).alias("token_overlap"),
-    )
+def _rare_first(t: DataFrame) -> DataFrame:
+    """Notes with their tokens by how many notes of the directory have them."""
+    posted = t.select("dir", "name", "note_ord", F.explode("tokens").alias("w"))
+    often = posted.groupBy("dir", "w").agg(F.count("*").alias("c"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"])
+    ranked = posted.join(often, ["dir", "w"]).groupBy("name", "note_ord").agg(order.alias("tokens"))
+    none = F.array().cast("array<bigint>")
+    return t.drop("tokens").join(ranked, ["name", "note_ord"], "left").withColumn("tokens", F.coalesce("tokens", none))
+
+
+def _measured(a: DataFrame, b: DataFrame, on: Column, once) -> DataFrame:
+    """Pairs of postings(key, n: the note), each from one of its shared keys alone: src, dst, tag_jaccard, token_overlap."""
+    left, right = F.col("l.n"), F.col("r.n")
+    pairs = a.alias("l").join(b.alias("r"), on & (left["name"] != right["name"]) & once(left, right))
+    return pairs.select(left["name"].alias("src"), right["name"].alias("dst"), jaccard(left["tags"], right["tags"]).alias("tag_jaccard"), overlap(left["tokens"], right["tokens"]).alias("token_overlap"))
 
 
 def same_dir_pairs(notes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Pairs of one directory with common words or tags: src, dst, tag_jaccard, token_overlap."""
-    t = with_tokens(notes)
-    out = _pairs(t.alias("l"), t.alias("r"), F.col("l.dir") == F.col("r.dir"))
-    return out.where((F.col("token_overlap") >= s.same_dir_overlap) | (F.col("tag_jaccard") >= s.same_dir_jaccard))
+    """Pairs of one directory with common words or tags: src, dst, tag_jaccard, token_overlap.
+
+    Pairs with enough common words share one that is not among either note's most frequent
+    ones, and come from their rarest shared word; others come from their first shared tag.
+    """
+    t = _rare_first(with_tokens(notes))
+    note = F.struct("name", "tags", "tokens").alias("n")
+    most = s.same_dir_overlap
+    by_word = t.select("dir", F.explode(F.slice("tokens", 1, F.greatest(F.size("tokens") - (most - 1), F.lit(0)))).alias("key"), note)
+    by_tag = t.select("dir", F.explode("tags").alias("key"), note)
+    on = (F.col("l.dir") == F.col("r.dir")) & (F.col("l.key") == F.col("r.key"))
+
+    def words(left, right):
+        shared = F.array_intersect(left["tokens"], right["tokens"])
+        return (F.size(shared) >= most) & (F.get(shared, F.lit(0)) == F.col("l.key"))
+
+    def tags(left, right):
+        first = F.get(F.array_intersect(left["tags"], right["tags"]), F.lit(0)) == F.col("l.key")
+        return first & (jaccard(left["tags"], right["tags"]) >= s.same_dir_jaccard) & (overlap(left["tokens"], right["tokens"]) < most)
+
+    return _measured(by_word, by_word, on, words).unionAll(_measured(by_tag, by_tag, on, tags))
 
 
 def tag_pairs(notes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Pairs of like tags, from any directory.
 
-    Candidates share a tag among each side's rarest: with a Jaccard index of t at least
-    t of a set's tags are shared, so one of its size - ceil(t * size) + 1 rarest is.
+    A Jaccard index of t takes t / (1 + t) of both sets' sizes in shared tags. Where that
+    is more than one tag, pairs are joined on two tags at once, so that a tag that most
+    notes have joins nobody by itself; where one is enough both sets are small. Each pair
+    comes from its first shared tag, or two.
     """
     t = with_tokens(notes)
-    freq = t.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("df"))
-    tagged = t.select("name", F.size("tags").alias("n"), F.explode("tags").alias("tag")).join(freq, "tag")
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("df", "tag"))
-    rare = tagged.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * s.tag_jaccard_low) + 1).select("name", "n", "tag")
-    a, b = rare.alias("a"), rare.alias("b")
-    sizes = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * s.tag_jaccard_low) & (F.col("a.name") != F.col("b.name"))
-    cand = a.join(b, F.col("a.tag") == F.col("b.tag")).where(sizes).select(F.col("a.name").alias("src"), F.col("b.name").alias("dst")).distinct()
-    left, right = t.select(F.col("name").alias("src"), F.struct("tags", "tokens").alias("l")), t.select(F.col("name").alias("dst"), F.struct("tags", "tokens").alias("r"))
-    full = cand.join(left, "src").join(right, "dst").select(
-        "src", "dst", jaccard(F.col("l.tags"), F.col("r.tags")).alias("tag_jaccard"), overlap(F.col("l.tokens"), F.col("r.tokens")).alias("token_overlap")
-    )
-    close = F.col("tag_jaccard") >= s.tag_jaccard
-    return full.where(close | ((F.col("tag_jaccard") >= s.tag_jaccard_low) & (F.col("token_overlap") >= s.tag_overlap)))
+    share = s.tag_jaccard_low / (1 + s.tag_jaccard_low)
+    tags = F.col("tags")
+    single = F.when(F.size(tags) * share <= 1, F.transform(tags, lambda x: F.array(x))).otherwise(F.array().cast("array<array<string>>"))
+    double = F.flatten(F.transform(tags, lambda x, i: F.transform(F.slice(tags, i + 2, F.size(tags)), lambda y: F.array(x, y))))
+    posted = t.select(F.explode(F.concat(single, F.when(F.size(tags) > 1, double).otherwise(F.array().cast("array<array<string>>")))).alias("key"), F.struct("name", "tags", "tokens").alias("n"))
+
+    def once(left, right):
+        both = F.size(left["tags"]) + F.size(right["tags"])
+        needed = F.when(both * share <= 1 + 1e-9, 1).otherwise(2)
+        shared = F.array_intersect(left["tags"], right["tags"])
+        close = jaccard(left["tags"], right["tags"])
+        near = (close >= s.tag_jaccard) | ((close >= s.tag_jaccard_low) & (overlap(left["tokens"], right["tokens"]) >= s.tag_overlap))
+        return (F.size("l.key") == needed) & (F.slice(shared, 1, needed) == F.col("l.key")) & near
+
+    return _measured(posted, posted, F.col("l.key") == F.col("r.key"), once)
 
 
 def dated_links(names: DataFrame, years: tuple) -> DataFrame:

@@ -12,8 +12,8 @@ from notegraph.operators.lineage import cut as _cut
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, every: int = 5) -> DataFrame:
     """name, pagerank over the undirected, unweighted graph; notes without edges leak their mass.
 
-    On convergence the vector before the last step is returned. One number reaches the
-    driver a round; lineage is cut every few rounds.
+    On convergence the vector before the last step is returned. Rounds run ``every`` at a
+    time as one plan, whose vectors are cut and whose changes reach the driver, a number a round.
     """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     degree = both.groupBy("src").agg(F.count("*").alias("degree"))
@@ -22,16 +22,22 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
     n = nodes.count()
     if not n:
         return nodes.withColumn("pagerank", F.lit(0.0))
-    rank = nodes.withColumn("pr", F.lit(1.0 / n))
-    for i in range(max_iter):
-        flow = links.join(rank, links["src"] == rank["name"]).groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("pr") / F.col("degree")).alias("inflow"))
-        new = rank.join(flow, "name", "left").select("name", "pr", ((1 - damping) / n + damping * F.coalesce("inflow", F.lit(0.0))).alias("next"))
-        new = _cut(new) if i % every == every - 1 else new.cache()
-        change = new.agg(F.sum(F.abs(F.col("next") - F.col("pr")))).first()[0]
-        if change < tol:
+    rank = nodes.withColumn("r0", F.lit(1.0 / n))
+    for start in range(0, max_iter, every):
+        rounds = min(every, max_iter - start)
+        held, step = rank, rank.select("name", F.col("r0").alias("pr"))
+        for i in range(1, rounds + 1):
+            # Every node is at the end of some edge, as edges go both ways.
+            flow = links.join(step, links["src"] == step["name"]).groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("pr") / F.col("degree")).alias("inflow"))
+            step = flow.select("name", ((1 - damping) / n + damping * F.col("inflow")).alias("pr"))
+            held = held.join(step.withColumnRenamed("pr", f"r{i}"), "name")
+        held = _cut(held)
+        changes = held.agg(*(F.sum(F.abs(F.col(f"r{i}") - F.col(f"r{i - 1}"))) for i in range(1, rounds + 1))).first()
+        settled = next((i for i, c in enumerate(changes) if c < tol), None)
+        rank = held.select("name", F.col(f"r{rounds if settled is None else settled}").alias("r0"))
+        if settled is not None:
             break
-        rank = new.select("name", F.col("next").alias("pr"))
-    return rank.select("name", F.round("pr", 6).alias("pagerank"))
+    return rank.select("name", F.round("r0", 6).alias("pagerank"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -120,6 +126,16 @@ def fuse(scores: DataFrame, shares: tuple[float, float, float] = (0.4, 0.4, 0.2)
     return scores.where(raw > 0).select("query_id", "name", combined.alias("score"), *("sem act pr".split())).withColumn("rank", r).where(F.col("rank") <= k)
 
 
+def fuse_structured(semantic: DataFrame, activation: DataFrame, pagerank: DataFrame, shares: tuple[float, float, float] = (0.4, 0.4, 0.2), k: int = 10) -> DataFrame:
+    """Fusion of engines' own outputs: semantic(query_id, id, score, payload), activation(query_id, name, activation), pagerank(name, pagerank).
+
+    The best carry the payload of their semantic hit, where there is one; an id that repeats has its last payload by score.
+    """
+    hits = semantic.groupBy("query_id", F.col("id").alias("name")).agg(F.max_by(F.struct("score", "payload"), "score").alias("h")).select("query_id", "name", "h.score", "h.payload")
+    fused = fuse(joined_scores(hits.select("query_id", "name", "score"), activation, pagerank), shares, k)
+    return fused.join(hits.select("query_id", "name", "payload"), ["query_id", "name"], "left")
+
+
 def grid(scores: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """Mean reciprocal rank of every mixture in tenths: l1, l2, l3, mrr. relevant(query_id, name)."""
     spark = scores.sparkSession

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder the cluster names, so that lineage stays short."""
+    """Checkpointed in the folder of spark.checkpoint.dir, so that lineage stays short.
+
+    Where none is set, a temporary folder serves a session on one machine; a cluster must name one.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="notegraph-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
-
-

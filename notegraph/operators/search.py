@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from notegraph.functions.text import char_grams, idf, round4, terms
 from notegraph.operators.lineage import cut
 
 QUERIES_AT_MOST = 1000
+BLOCK_BYTES = 8 << 20
 
 
 def query_frame(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
@@ -18,6 +23,13 @@ def query_frame(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFram
     return F.broadcast(spark.createDataFrame(queries, "query_id long, query string"))
 
 
+def stated(queries: DataFrame) -> DataFrame:
+    """Queries of a checked number, to be broadcast."""
+    if queries.limit(QUERIES_AT_MOST + 1).count() > QUERIES_AT_MOST:
+        raise ValueError(f"at most {QUERIES_AT_MOST} queries a batch")
+    return F.broadcast(queries)
+
+
 def top(df: DataFrame, k: int, score: str = "score", tie: str = "note_ord") -> DataFrame:
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc(), tie))
     return df.withColumn("rank", r).where(F.col("rank") <= k)
@@ -51,7 +63,7 @@ def ngram_search(index: DataFrame, notes: DataFrame, queries: DataFrame, k: int
     The queries' features are few and go to the postings; only those they name are
     counted, so no shuffle holds more than matching postings.
     """
-    asked = queries.select("query_id", F.explode(_features("query")).alias("f")).select("query_id", "f.kind", "f.feature")
+    asked = stated(queries).select("query_id", F.explode(_features("query")).alias("f")).select("query_id", "f.kind", "f.feature")
     # Read twice below, but the postings are matched (and perhaps made) once.
     hits = cut(index.join(F.broadcast(asked), ["kind", "feature"]))
     df = hits.groupBy("query_id", "kind", "feature").agg(F.count("*").alias("df"))
@@ -61,18 +73,72 @@ def ngram_search(index: DataFrame, notes: DataFrame, queries: DataFrame, k: int
     return top(scored, k)
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of queries(query_id, embedding) in blocks of bounded size, read one after the other."""
+    ids, rows = [], []
+    for r in queries.select("query_id", "embedding").toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(rows) * len(rows[0]) * 8 >= BLOCK_BYTES:
+            yield np.array(ids), np.array(rows, np.float64)
+            ids, rows = [], []
+    if rows:
+        yield np.array(ids), np.array(rows, np.float64)
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """Of a task's vectors the k best of each query, by score and then the lesser vec_id."""
+
+    def run(batches):
+        held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))] * len(ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec = batch.column(0).to_numpy(zero_copy_only=False)
+            names = batch.column(1).to_numpy(zero_copy_only=False)
+            table = np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(np.float64)
+            scores = np.floor(matrix @ table.T * 1e4 + 0.5) / 1e4
+            least = np.partition(scores, -min(k, len(vec)), axis=1)[:, -min(k, len(vec))]
+            for q in range(len(ids)):
+                at = np.flatnonzero(scores[q] >= least[q])
+                s, v, n = (np.concatenate(x) for x in zip(held[q], (scores[q][at], vec[at], names[at])))
+                best = np.lexsort((v, -s))[:k]
+                held[q] = s[best], v[best], n[best]
+        for q, (s, v, n) in enumerate(held):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[q], np.int64)), pa.array(v.astype(np.int64)), pa.array(n, pa.string()), pa.array(s)], names=["query_id", "vec_id", "name", "score"])
+
+    return run
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors(vec_id, name, embedding), queries(query_id, embedding): best dot products, one a name.
 
-    The best 2k by score come first, then one of each name among them.
+    Queries go to the vectors in blocks of bounded size, a pass each; a task multiplies
+    its vectors with the block and sends on its best 2k a query. Of all the best 2k by
+    score come first, then one of each name among them.
     """
-    product = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).select("query_id", "vec_id", "name", round4(product).alias("score"))
-    near = top(scored, 2 * k, tie="vec_id").drop("rank")
+    rows, near = vectors.select(F.col("vec_id").cast("long"), F.col("name").cast("string"), "embedding"), None
+    for ids, matrix in _query_blocks(queries):
+        one = rows.mapInArrow(_nearest(ids, matrix, 2 * k), "query_id long, vec_id long, name string, score double")
+        near = one if near is None else cut(near).unionAll(one)
+    if near is None:
+        near = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, name string, score double")
+    near = top(near, 2 * k, tie="vec_id").drop("rank")
     once = F.row_number().over(Window.partitionBy("query_id", "name").orderBy(F.col("score").desc(), "vec_id"))
     return top(near.withColumn("_r", once).where("_r = 1").drop("_r"), k, tie="vec_id")
 
 
+def dispatch(kind: str, ngram: Callable[[], DataFrame], dense: Callable[[], DataFrame] | None = None, force_ngram: bool = False) -> DataFrame:
+    """Hits of the engine that fits the index: vectors for a real embedding, unless n-grams are forced or vectors fail."""
+    if kind == "real_embedding" and dense is not None and not force_ngram:
+        try:
+            return dense()
+        except (ImportError, OSError, RuntimeError):
+            pass
+    return ngram()
+
+
 def line_scan(files: DataFrame, pattern: str, limit: int = 10) -> DataFrame:
     """The first line of each file that the pattern matches, whatever the case: path, line, snippet, score."""
     lines = F.split("text", "\n")
@@ -83,12 +149,20 @@ def line_scan(files: DataFrame, pattern: str, limit: int = 10) -> DataFrame:
 
 
 def skill_scan(skills: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Documents that hold the query, whatever the case: 0.6; without any, those over 10 characters of any text column: 0.4."""
-    found = skills.crossJoin(queries).where(F.contains(F.lower("doc"), F.lower("query")))
-    hits = found.select("query_id", "skill_id", F.coalesce("name", F.col("skill_id").cast("string")).alias("title"), F.substring("doc", 1, 200).alias("snippet"), F.lit(0.6).alias("score"))
-    others = skills.crossJoin(queries).where((F.contains(F.lower("name"), F.lower("query"))) & (F.length("name") > 10)).join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    wide = others.select("query_id", "skill_id", F.col("name").alias("title"), F.substring("name", 1, 200).alias("snippet"), F.lit(0.4).alias("score"))
-    return top(hits.unionByName(wide), limit, tie="skill_id")
+    """Documents that hold the query, whatever the case: 0.6; without any, those over 10 characters of any text column: 0.4.
+
+    skills(skill_id, name, doc, …): every text column is searched in the second case, in order.
+    """
+    asked = stated(queries)
+    title = F.coalesce("name", F.col("skill_id").cast("string")).alias("title")
+    found = skills.crossJoin(asked).where(F.contains(F.lower("doc"), F.lower("query")))
+    hits = found.select("query_id", "skill_id", title, F.substring("doc", 1, 200).alias("snippet"), F.lit(0.6).alias("score"), F.lit(0).alias("_column"))
+    texts = [c for c, kind in skills.dtypes if kind == "string"]
+    cells = skills.select("skill_id", "name", F.posexplode(F.array(*texts)).alias("_column", "cell")).where(F.length("cell") > 10)
+    wide = cells.crossJoin(asked).where(F.contains(F.lower("cell"), F.lower("query"))).join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    wide = wide.select("query_id", "skill_id", title, F.substring("cell", 1, 200).alias("snippet"), F.lit(0.4).alias("score"), "_column")
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "skill_id", "_column"))
+    return hits.unionByName(wide).withColumn("rank", order).where(F.col("rank") <= limit).drop("_column")
 
 
 def bm25(skills: DataFrame, queries: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -96,7 +170,7 @@ def bm25(skills: DataFrame, queries: DataFrame, k: int = 8, k1: float = 1.2, b:
     words = F.filter(F.split(F.lower("doc"), "[^a-z0-9]+"), lambda w: w != "")
     docs = skills.select("skill_id", words.alias("w")).withColumn("n", F.size("w"))
     size = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: w != ""))).alias("term"))
+    asked = stated(queries).select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: w != ""))).alias("term"))
     tf = docs.select("skill_id", "n", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("skill_id", "n", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     part = idf(F.col("docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
@@ -106,8 +180,8 @@ def bm25(skills: DataFrame, queries: DataFrame, k: int = 8, k1: float = 1.2, b:
 
 
 def point_read(notes: DataFrame, path: str, max_chars: int = 8000) -> DataFrame:
-    """One note by its path, which must stay below the root: path, text."""
+    """One note by its path, which must stay below the root: path, text of 100 to 30,000 characters at most."""
     parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
     if ".." in parts or path.startswith(("/", "~")):
         raise ValueError(f"{path} is outside the notes")
-    return notes.where(F.col("path") == "/".join(parts)).select("path", F.substring("text", 1, max_chars).alias("text"))
+    return notes.where(F.col("path") == "/".join(parts)).select("path", F.substring("text", 1, min(max(max_chars, 100), 30_000)).alias("text"))

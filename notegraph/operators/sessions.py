@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.text import found
 from notegraph.operators.graph import contained
+from notegraph.settings import NAME_SUFFIXES
 
 WORD = "[\\p{L}\\p{N}_一-鿿]{2,}"
 
@@ -28,6 +29,34 @@ def link_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     return links.join(names.select("name").distinct(), "name", "left_semi").select("session", "name")
 
 
+def recent(sessions: DataFrame, now: str, days: int) -> DataFrame:
+    """sessions(…, created: ISO text) of the last days; those whose time is missing or unreadable stay, and all do for no days."""
+    if days <= 0:
+        return sessions
+    return sessions.where(F.coalesce(F.try_to_timestamp("created") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"), F.lit(True)))
+
+
+def all_mentions(texts: DataFrame, notes: DataFrame, terms: DataFrame, suffixes=NAME_SUFFIXES) -> DataFrame:
+    """session, name of every note that a session's text mentions: linked, meant by a term(term) it holds, or by a word shaped like a name.
+
+    Terms and name-shaped words stand for the note that fits them best, by ``fuzzy_match``.
+    """
+    shaped = "[\\p{L}\\p{N}_一-鿿]{2,30}(?:" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")"
+    by_shape = texts.select("session", F.explode(F.array_distinct(found(F.col("text"), shaped))).alias("query"))
+    held = contained(terms.select(F.col("term").alias("n"), F.lower("term").alias("s")), texts.select(F.col("session").alias("h"), F.lower("text").alias("t")))
+    asked = by_shape.unionByName(held.select(F.col("h").alias("session"), F.col("n").alias("query"))).distinct()
+    meant = asked.join(fuzzy_match(asked.select("query").distinct(), notes).select("query", "name"), "query").select("session", "name")
+    return link_mentions(texts, notes).unionByName(meant).distinct()
+
+
+def import_state(first: DataFrame, second: DataFrame, merged: DataFrame, edges: DataFrame, when: str) -> DataFrame:
+    """One row about an import: relations of either source, merged ones by type, and the graph's edges after it."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    by_type = merged.agg(F.count("*").alias("merged_relations"), F.count_if(F.col("type") == "prerequisite").alias("prerequisite_added"), F.count_if(F.col("type") == "similarity").alias("similarity_added"))
+    total = edges.agg(F.count_if(F.col("kind") == "pre").alias("prerequisite_total"), F.count_if(F.col("kind") == "sim").alias("similarity_total"))
+    return n(first, "sdk_relations").crossJoin(n(second, "fallback_relations")).crossJoin(by_type).crossJoin(total).select(F.lit(when).alias("last_import"), "*")
+
+
 def pairs(mentioned: DataFrame, most: int = 15) -> DataFrame:
     """session, a, b (a < b) within sessions of at most ``most`` notes, numbered by pair_ord."""
     sets = mentioned.groupBy("session").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") <= most)

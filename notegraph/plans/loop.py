@@ -64,6 +64,35 @@ def cold_decay(spark, d):
     return out.select("src", "dst", "weight", F.col("decayed_at").isNotNull().alias("decayed"))
 
 
+@query(S.with_(S.EVENTS, S.WEIGHTS) + f"SELECT count(*) AS total_weights, count(*) FILTER ({_COLD}) AS decayed FROM event_weights")
+def decay_stats(spark, d):
+    from dataclasses import replace
+
+    return feedback.decay_stats(feedback.cold_decay(tables.event_weights(spark, d), replace(DEFAULT, cold_days=20)))
+
+
+_RECENT = "recent_events AS (SELECT * FROM edge_events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00')"
+
+
+@query(S.with_(S.EVENTS, S.WEIGHTS, _RECENT, DELTAS.replace("FROM edge_events", "FROM recent_events"), APPLIED) + f"""SELECT (SELECT count(*) FROM recent_events) AS records, count(*) FILTER (change <> 'created') AS updated, count(*) FILTER (change = 'created') AS created,
+  count(*) FILTER (change = 'capped_max') AS capped_max, count(*) FILTER (change = 'capped_min') AS capped_min, count(*) AS total_weights, count(*) FILTER ({_COLD}) AS decayed FROM applied""")
+def feedback_cycle(spark, d):
+    """The report of one run over the last 15 days: events as records of one edge each."""
+    e = tables.edge_events(spark, d)
+    edge = F.array(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit("sim").alias("type")))
+    of = lambda *kinds: F.when(F.col("event").isin(*kinds), edge)
+    records = e.select(F.col("ord.ts").cast("timestamp").alias("ts"), (F.col("event") != "consumed_unsatisfied").alias("satisfied"), of("consumed", "consumed_unsatisfied").alias("consumed_edges"), of("ignored").alias("ignored_edges"), of("legacy").alias("edges_used"))
+    return feedback.cycle(tables.event_weights(spark, d), records, since_days=15, decay_days=20)[1]
+
+
+@query(f"SELECT event_id, CASE event_id % 3 WHEN 2 THEN 0.5::DOUBLE ELSE floor(value)::DOUBLE END AS weight FROM events")
+def stored_weights(spark, d):
+    """Weights as stored over time: plain numbers, objects, and objects without a weight."""
+    v = F.floor("value").cast("string")
+    json = F.when(F.col("event_id") % 3 == 0, v).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"use_count": 1, "weight": '), v, F.lit("}"))).otherwise(F.lit('{"use_count": 1}'))
+    return tables.table(spark, d, "events").select("event_id", feedback.stored_weight(json).alias("weight"))
+
+
 @query(S.with_(S.EVENTS) + "SELECT event, count(*) AS n FROM edge_events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
 def feedback_window(spark, d):
     e = tables.edge_events(spark, d).withColumn("ts", F.col("ord.ts").cast("timestamp"))
@@ -103,12 +132,31 @@ def auto_feedback_map(spark, d):
 @query(S.with_(S.EVENTS, S.WEIGHTS) + f"""SELECT w.src, w.dst, CASE WHEN use_count % 2 = 0 THEN last_touch ELSE coalesce(greatest(a.m, b.m), {NOW}::DOUBLE) END AS last_touch FROM event_weights w
 LEFT JOIN (SELECT 'u' || doc_id AS name, 1.7e9::DOUBLE + n_chars AS m FROM documents) a ON a.name = w.src LEFT JOIN (SELECT 'k' || doc_id AS name, 1.7e9::DOUBLE + n_chars AS m FROM documents WHERE n_chars > 2000) b ON b.name = w.dst""")
 def backfill_touch(spark, d):
+    return _backfilled(spark, d).select("src", "dst", "last_touch")
+
+
+def _backfilled(spark, d):
     docs = tables.table(spark, d, "documents")
     m = (F.lit(1.7e9) + F.col("n_chars")).alias("mtime")
     i = F.col("doc_id").cast("string")
     files = docs.select(F.concat(F.lit("u"), i).alias("name"), m).unionByName(docs.where("n_chars > 2000").select(F.concat(F.lit("k"), i).alias("name"), m))
     w = tables.event_weights(spark, d).withColumn("last_touch", F.when(F.col("use_count") % 2 == 0, F.col("last_touch")))
-    return feedback.backfill(w, files).select("src", "dst", "last_touch")
+    return feedback.backfill(w, files)
+
+
+@query(S.with_(S.EVENTS, S.WEIGHTS) + """SELECT count(*) AS total, count(*) FILTER (use_count % 2 = 1 AND coalesce(a.m, b.m) IS NOT NULL) AS filled_mtime, count(*) FILTER (use_count % 2 = 1 AND coalesce(a.m, b.m) IS NULL) AS filled_now, count(*) FILTER (use_count % 2 = 0) AS skipped
+FROM event_weights w LEFT JOIN (SELECT 'u' || doc_id AS name, n_chars AS m FROM documents) a ON a.name = w.src LEFT JOIN (SELECT 'k' || doc_id AS name, n_chars AS m FROM documents WHERE n_chars > 2000) b ON b.name = w.dst""")
+def backfill_stats(spark, d):
+    return feedback.backfill_stats(_backfilled(spark, d))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS at FROM orders""")
+def loose_dates(spark, d):
+    """Times in three forms, and texts that are none."""
+    form = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, form("yyyy-MM-dd")).when(k == 1, F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123"))).when(k == 2, form("yyyy-MM-dd HH:mm:ss")).otherwise(F.concat(F.lit("on "), form("yyyy-MM-dd")))
+    return tables.table(spark, d, "orders").select("o_orderkey", F.date_format(readers.loose_date(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 # -------------------------------------------------------------------- sessions
@@ -141,7 +189,29 @@ def session_promote(spark, d):
     return sessions.relations(_pairs(spark, d))
 
 
-_FUZZY = """fq AS (SELECT DISTINCT query, lower(query) AS ql FROM (SELECT substr(text, 1, 12) AS query FROM benchmark UNION ALL SELECT name || ' and more' FROM notes WHERE note_ord < 30 UNION ALL SELECT name FROM notes WHERE note_ord BETWEEN 30 AND 40
+_HALF = """halves AS (SELECT a, b, type, s % 2 AS half FROM (SELECT a, b, 'similarity' AS type, session AS s FROM pairs WHERE pair_ord <= 20))"""
+
+
+@query(S.with_(S.PAGES, S.PAGE_EDGES, _TEXTS, _MENTION, _HALF) + """SELECT '2024-02-01' AS last_import, count(DISTINCT (a, b)) FILTER (half = 0) AS sdk_relations, count(DISTINCT (a, b)) FILTER (half = 1) AS fallback_relations, count(DISTINCT (a, b)) AS merged_relations, 0::BIGINT AS prerequisite_added,
+  count(DISTINCT (a, b)) AS similarity_added, (SELECT count(*) FROM page_edges WHERE kind = 'pre') AS prerequisite_total, (SELECT count(*) FROM page_edges WHERE kind = 'sim') AS similarity_total FROM halves""")
+def import_state(spark, d):
+    """The state row of an import from two sources: sessions of even and of odd number."""
+    p = _pairs(spark, d)
+    first, second = (sessions.relations(p.where(F.col("session") % 2 == k), promote=1 << 30) for k in (0, 1))
+    return sessions.import_state(first, second, sessions.merge_relations(first, second), tables.page_edges(tables.pages(spark, d)), "2024-02-01")
+
+
+@query("""SELECT conv_id AS session, CASE conv_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'some day' ELSE strftime(DATE '2024-01-01' + conv_id::INT % 60, '%Y-%m-%d') || 'T00:00:00Z' END AS created FROM conversations
+WHERE conv_id % 5 < 2 OR DATE '2024-01-01' + conv_id::INT % 60 >= DATE '2024-01-22' GROUP BY conv_id""")
+def recent_sessions(spark, d):
+    """Sessions of the last ten days; some have no time, or none that can be read."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 60).cast("int"))
+    created = F.when(F.col("conv_id") % 5 == 0, None).when(F.col("conv_id") % 5 == 1, "some day").otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    c = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), created.alias("created")).distinct()
+    return sessions.recent(c, "2024-02-01 00:00:00+00:00", 10)
+
+
+_FUZZY = """fq AS (SELECT DISTINCT query, lower(query) AS ql FROM (SELECT substr(text, 1, 12) AS query FROM benchmark UNION ALL SELECT name || ' and more' FROM notes WHERE note_ord % 20 = 0 UNION ALL SELECT name FROM notes WHERE note_ord % 20 = 0
   UNION ALL SELECT 'src3/000003' UNION ALL SELECT 'the and attion')),
 nn AS MATERIALIZED (SELECT name, note_ord, lower(name) AS nl, lower(path) AS pl, list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]{2,}')) AS w FROM notes),
 tiers AS (SELECT query, name, note_ord, CASE WHEN nl = ql THEN 1 WHEN contains(nl, ql) THEN 2 WHEN length(nl) >= 4 AND contains(ql, nl) THEN 3 WHEN contains(pl, ql) THEN 4
@@ -152,7 +222,7 @@ tiers AS (SELECT query, name, note_ord, CASE WHEN nl = ql THEN 1 WHEN contains(n
 def fuzzy_match(spark, d):
     n = tables.notes(spark, d)
     q = tables.table(spark, d, "benchmark").select(F.substring("text", 1, 12).alias("query"))
-    q = q.union(n.where("note_ord < 30").select(F.concat("name", F.lit(" and more")))).union(n.where("note_ord between 30 and 40").select("name"))
+    q = q.union(n.where("note_ord % 20 = 0").select(F.concat("name", F.lit(" and more")))).union(n.where("note_ord % 20 = 0").select("name"))
     return sessions.fuzzy_match(q.union(spark.createDataFrame([("src3/000003",), ("the and attion",)], "query string")), n)
 
 
@@ -171,21 +241,60 @@ def judge(spark, d):
     return ingest.judge(t, tables.notes(spark, d), KEYWORDS)
 
 
-_NEW = f"""fresh AS MATERIALIZED (SELECT 'c' || conv_id AS name, list_sort({S.tokens('substr(text, 1, 60)')})[1:4] AS tags, substr(text, 1, 500) AS summary, string_split(text, ' ')[1] AS link FROM conversations WHERE turn = 0),
-fs AS MATERIALIZED (SELECT name, tags, {S.tokens('summary')} AS tok, {S.clean_grams('summary')} AS g FROM fresh), ns AS MATERIALIZED (SELECT name, tags, {S.tokens('summary')} AS tok, {S.clean_grams('summary')} AS g FROM notes),
-m AS (SELECT f.name AS src, n.name AS dst, {S.jaccard('f.tags', 'n.tags')} AS jac, {S.overlap('f.tok', 'n.tok')} AS ov, {S.jaccard('f.g', 'n.g')} AS ng FROM fs f, ns n),
-sims AS (SELECT src, dst, greatest(0.35::DOUBLE, least(jac * 0.7::DOUBLE + least(ov / 20.0::DOUBLE, 0.3::DOUBLE), 1.0::DOUBLE)) AS weight, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM m WHERE jac >= 0.4 OR (jac >= 0.25 AND ov >= 5) OR ng >= 0.15),
+#: Similar notes of fresh ones: 2-grams and words are counted by joins, tags by lists.
+def similar_sql(fresh: str) -> str:
+    both = lambda c, out: f"{out} AS MATERIALIZED (SELECT f.name AS src, n.name AS dst, count(*) AS c FROM (SELECT name, unnest({c}) AS x FROM fs) f JOIN (SELECT name, unnest({c}) AS x FROM ns) n USING (x) GROUP BY ALL)"
+    return f"""fs AS MATERIALIZED (SELECT name, tags, {S.tokens('summary')} AS tok, {S.clean_grams('summary')} AS g FROM {fresh}), ns AS MATERIALIZED (SELECT name, tags, {S.tokens('summary')} AS tok, {S.clean_grams('summary')} AS g FROM notes),
+{both('g', 'shared_g')}, {both('tok', 'shared_tok')},
+m AS (SELECT f.name AS src, n.name AS dst, {S.jaccard('f.tags', 'n.tags')} AS jac, coalesce(t.c, 0) AS ov, coalesce(g.c::DOUBLE / (len(f.g) + len(n.g) - g.c), 0) AS ng FROM fs f CROSS JOIN ns n
+  LEFT JOIN shared_g g ON g.src = f.name AND g.dst = n.name LEFT JOIN shared_tok t ON t.src = f.name AND t.dst = n.name),
+sims AS MATERIALIZED (SELECT src, dst, greatest(0.35::DOUBLE, least(jac * 0.7::DOUBLE + least(ov / 20.0::DOUBLE, 0.3::DOUBLE), 1.0::DOUBLE)) AS weight, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM m WHERE jac >= 0.4 OR (jac >= 0.25 AND ov >= 5) OR ng >= 0.15)"""
+
+
+_NEW = f"""fresh AS MATERIALIZED (SELECT 'c' || conv_id || '-' || turn AS name, list_sort({S.tokens('substr(text, 1, 60)')})[1:4] AS tags, substr(text, 1, 500) AS summary, string_split(text, ' ')[1] AS link FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)),
+{similar_sql('fresh')},
 pres AS (SELECT DISTINCT f.name AS src, n.name AS dst FROM fresh f JOIN notes n ON link <> '' AND (contains(lower(n.name), lower(link)) OR contains(lower(link), lower(n.name))))"""
 
 
 @query(S.with_(S.NOTES, _NEW) + f"SELECT src, dst, 'pre' AS kind, row_number() OVER (PARTITION BY src ORDER BY dst) AS edge_ord, 1.0::DOUBLE AS weight FROM pres UNION ALL SELECT src, dst, 'sim', CASE WHEN r <= 5 THEN r END, {S.round4('weight')} FROM sims")
 def increment_edges(spark, d):
-    c = tables.table(spark, d, "conversations").where("turn = 0")
-    new = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), F.slice(F.array_sort(T.tokens(F.substring("text", 1, 60))), 1, 4).alias("tags"), F.substring("text", 1, 500).alias("summary"), F.get(F.split("text", " "), F.lit(0)).alias("target"))
+    """Every turn of every conversation as a new note."""
+    c = tables.table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    new = c.select(name.alias("name"), F.slice(F.array_sort(T.tokens(F.substring("text", 1, 60))), 1, 4).alias("tags"), F.substring("text", 1, 500).alias("summary"), F.get(F.split("text", " "), F.lit(0)).alias("target"))
     out = ingest.new_edges(new, new.select(F.col("name").alias("src"), "target").where("target <> ''"), tables.notes(spark, d))
     return out.select("src", "dst", "kind", F.col("edge_ord").cast("long"), T.round4(F.col("weight")).alias("weight"))
 
 
+GENERIC, STAMP = ["und", "the"], "20240201-000000"
+_WORDY = "list_filter(list_filter(list_filter(string_split(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g'), ' '), lambda w: length(w) >= 2), lambda w: NOT list_contains(%s, lower(w))), lambda w: NOT list_contains(%s, w))" % (S.items(GENERIC), S.items(KEYWORDS))
+_NAMED = f"named AS MATERIALIZED (SELECT text_id, base || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS name, text FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY text_id) AS r FROM (SELECT text_id, text, substr(coalesce({_WORDY}[1], 'decree'), 1, 16) || '-{STAMP}' AS base FROM asked_)))"
+
+
+def _turns(spark, d):
+    return tables.table(spark, d, "conversations").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id")).agg(F.min("text").alias("text"))
+
+
+_TURNS = "turns_ AS (SELECT conv_id * 1000 + turn AS text_id, min(text) AS text FROM conversations GROUP BY 1)"
+
+
+@query(S.with_(_TURNS, "asked_ AS (SELECT * FROM turns_)", _NAMED) + "SELECT text_id, name, 'decrees/' || name || '.md' AS path, '# ' || name || chr(10) || chr(10) || '#decree' || chr(10) || chr(10) || text || chr(10) AS text FROM named")
+def decree_files(spark, d):
+    """Every turn as the note file that an ingest would write."""
+    return ingest.decree_notes(_turns(spark, d), "decrees", STAMP, GENERIC, KEYWORDS)
+
+
+_JUDGED = ORACLE["judge"].replace("conv_id * 1000 + turn AS text_id, text,", "text_id, text,").replace("FROM conversations)", "FROM turns_)")
+
+
+@query(S.with_(S.NOTES, _TURNS, f"verdicts AS MATERIALIZED (SELECT * FROM ({_JUDGED}))", "asked_ AS (SELECT text_id, text FROM turns_ WHERE text_id IN (SELECT text_id FROM verdicts WHERE decree))", _NAMED,
+    "fresh AS MATERIALIZED (SELECT name, ['decree'] AS tags, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 500) AS summary FROM named)", similar_sql("fresh"))
+    + "SELECT v.text_id, decree AS judged, n.name, CASE WHEN decree THEN (SELECT count(*) FROM sims WHERE src = n.name) END AS edges_added FROM verdicts v LEFT JOIN named n USING (text_id)")
+def ingest_notes(spark, d):
+    """The whole ingest over every turn: judged, written, extracted, linked; a row a turn."""
+    return ingest.increment(_turns(spark, d), tables.notes(spark, d), KEYWORDS, "decrees", STAMP, GENERIC)[2]
+
+
 # --------------------------------------------------------------------- streams
 
 
@@ -196,7 +305,26 @@ def turn_dedupe(spark, d):
     return streams.injections(c).select("session", "turn", "text")
 
 
-@query(S.with_(S.EVENTS, DELTAS) + "SELECT src, dst, delta FROM deltas")
+@query(S.with_(S.EVENTS, DELTAS) + f"SELECT src, dst, 'unknown' AS type, {S.round4('greatest(0.05::DOUBLE, least(2.0::DOUBLE, 0.5::DOUBLE + delta))')} AS weight, use_count_delta AS use_count FROM deltas")
 def feedback_stream(spark, d):
-    """The batch form of the feedback stream's fold."""
-    return feedback.deltas(tables.edge_events(spark, d)).select("src", "dst", "delta")
+    """The batch form of the feedback stream: the snapshot after all events are folded into no weights."""
+    none = spark.createDataFrame([], "src string, dst string, type string, weight double, use_count int, last_updated double, last_touch double")
+    return feedback.apply_deltas(none, feedback.deltas(tables.edge_events(spark, d))).select("src", "dst", "type", "weight", "use_count")
+
+
+_MESSAGES = """messages AS (SELECT conv_id AS session, turn * 2 AS seq, CASE role WHEN 'system' THEN 'end' ELSE role END AS role, text, CASE WHEN role = 'user' THEN [string_split(text, ' ')[1], ''] END AS titles FROM (SELECT conv_id, turn, m.role AS role, m.text AS text FROM (SELECT conv_id, turn, min({'role': role, 'text': text}) AS m FROM conversations GROUP BY ALL))
+  UNION ALL SELECT DISTINCT conv_id, turn * 2 + 1, 'end', '', NULL FROM conversations WHERE turn % 4 = 3),
+opened AS (SELECT *, CASE WHEN role = 'user' OR lag(role) OVER (PARTITION BY session ORDER BY seq) = 'end' THEN 1 ELSE 0 END AS o FROM messages),
+numbered AS (SELECT *, sum(o) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS t FROM opened),
+ends AS (SELECT session, coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (role = 'assistant'), '') AS text, coalesce(first(titles) FILTER (role = 'user'), []) AS titles FROM numbered GROUP BY session, t HAVING bool_or(role = 'end'))"""
+
+
+@query(S.with_(_MESSAGES) + "SELECT session, text, length(text) >= 20 AS ingest, array_to_string(list_filter(titles, lambda x: x <> '' AND contains(text, x)), ',') AS cited FROM ends")
+def turn_ends(spark, d):
+    """The batch form of the turn-end stream: what was said in each turn, and which of its titles it cites."""
+    c = tables.table(spark, d, "conversations")
+    one = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
+    said = one.select(F.col("conv_id").alias("session"), (F.col("turn") * 2).alias("seq"), F.when(F.col("m.role") == "system", "end").otherwise(F.col("m.role")).alias("role"), F.col("m.text").alias("text"),
+                      F.when(F.col("m.role") == "user", F.array(F.get(F.split("m.text", " "), F.lit(0)), F.lit(""))).alias("titles"))
+    ends = c.where("turn % 4 = 3").select(F.col("conv_id").alias("session"), (F.col("turn") * 2 + 1).alias("seq"), F.lit("end").alias("role"), F.lit("").alias("text"), F.lit(None).cast("array<string>").alias("titles")).distinct()
+    return streams.turn_ends(said.unionByName(ends)).withColumn("cited", F.array_join("cited", ","))

@@ -139,6 +139,23 @@ def _hybrid(spark, d):
     return n, router.hybrid(iterate._cut(merged), hits)
 
 
+_OPEN = f"open_ AS (SELECT query_id, query FROM raw WHERE {_COMMON} AND query_id IN (SELECT query_id FROM summary WHERE routing = 'none'))"
+_SHOWN = """fb AS (SELECT h.query_id, n.path FROM ngram_hits h JOIN notes n USING (note_ord) WHERE h.query_id IN (SELECT query_id FROM open_)),
+shown AS (SELECT query_id, path FROM merged UNION ALL SELECT query_id, path FROM fb),
+fresh_hits AS (SELECT query_id, least(count(*), 5) AS n FROM ngram_hits JOIN notes n USING (note_ord) WHERE (query_id, n.path) NOT IN (SELECT query_id, path FROM shown) GROUP BY 1)"""
+
+
+@query(S.with_(*ROUTED, base.INDEX, ngram_sql("q", 8), _OPEN, _SHOWN) + """SELECT s.query_id, CASE WHEN f.n > 0 THEN 'high' WHEN s.query_id IN (SELECT query_id FROM fb) THEN 'medium' ELSE confidence END AS confidence,
+  CASE WHEN s.query_id IN (SELECT query_id FROM fb) THEN 'vector_fallback' ELSE routing END AS routing, (SELECT count(*) FROM shown x WHERE x.query_id = s.query_id) + coalesce(f.n, 0) AS merged_total, coalesce(f.n, 0) AS vector_hits
+FROM summary s LEFT JOIN fresh_hits f ON f.query_id = s.query_id""")
+def hybrid_summary(spark, d):
+    """What the hybrid search says of each query: any new vector hit makes it confident."""
+    n, merged, summary = routed(spark, d)
+    index, merged = iterate._cut(search.postings(n)), iterate._cut(merged)
+    hits = search.ngram_search(index, n, asked(spark), 8).join(n.select("note_ord", "name", "path"), "note_ord")
+    return router.hybrid_answer(merged, summary, router.fallback(n, index, asked(spark), summary), hits)[1]
+
+
 @query(S.with_(*ROUTED) + f"""SELECT query_id, edge_from AS src, name AS dst, CASE WHEN source = '{router.PRE}' THEN 'pre' ELSE 'sim' END AS type, row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 3 AS consumed FROM merged WHERE edge_from IS NOT NULL""")
 def implicit_feedback(spark, d):
     return router.implicit_feedback(routed(spark, d)[1])
@@ -240,7 +257,8 @@ def rest_merge(spark, d):
 
 # ------------------------------------------------------------------ evaluation
 
-# Benchmark passages as queries: relevant are the notes that hold them; returned, those of their n-gram search.
+# A benchmark passage stands for a question, as its first 60 characters would be typed: relevant are the notes that hold
+# the whole passage; returned, those of the question's n-gram search.
 _BENCH = "bq AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query, text FROM benchmark)"
 _RELEVANT = "relevant AS MATERIALIZED (SELECT query_id, note_ord FROM bq JOIN notes ON contains(notes.text, bq.text))"
 _METRICS = f"""metrics AS MATERIALIZED (SELECT query_id, tp, first_hit_rank, {S.round3('p')} AS precision, {S.round3('r')} AS recall, {S.round3('2 * p * r / greatest(0.001::DOUBLE, p + r)')} AS f1, {S.round3('coalesce(1.0::DOUBLE / first_hit_rank, 0)')} AS mrr FROM (
@@ -254,7 +272,7 @@ _EVAL = (S.NOTES, base.INDEX, _BENCH, _RELEVANT, ngram_sql("bq", 5), _METRICS)
 def _evaluated(spark, d):
     n = tables.notes(spark, d)
     b = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"), "text")
-    rel = n.select(F.col("note_ord").alias("name"), F.col("text").alias("t")).crossJoin(F.broadcast(b)).where(F.contains("t", "text")).select("query_id", "name")
+    rel = evaluate.holders(n.select(F.col("note_ord").alias("name"), F.col("text").alias("t")), b.select("query_id", "text"))
     got = search.ngram_search(search.postings(n), n, b.select("query_id", "query"), 5).select("query_id", "rank", F.col("note_ord").alias("name"))
     return evaluate.metrics(got, rel)
 
@@ -273,19 +291,41 @@ def eval_by_type(spark, d):
     return evaluate.averages(_evaluated(spark, d).withColumn("type", kind), "type")
 
 
+def _averages_sql(mode: str, hits: str) -> str:
+    return f"""SELECT '{mode}' AS mode, {_AVG} FROM (SELECT query_id, tp, {S.round3('p')} AS precision, {S.round3('r')} AS recall, {S.round3('2 * p * r / greatest(0.001::DOUBLE, p + r)')} AS f1, {S.round3('coalesce(1.0::DOUBLE / first_hit_rank, 0)')} AS mrr FROM (
+  SELECT *, CASE WHEN n_got > 0 THEN tp / least(5, n_got)::DOUBLE ELSE 0.0::DOUBLE END AS p, tp / n_want::DOUBLE AS r FROM (
+    SELECT w.query_id, n_want, coalesce(n_got, 0) AS n_got, coalesce(tp, 0) AS tp, first_hit_rank FROM (SELECT query_id, count(*) AS n_want FROM wanted GROUP BY 1) w
+    LEFT JOIN (SELECT query_id, count(*) AS n_got FROM {hits} WHERE rank <= 5 GROUP BY 1) USING (query_id)
+    LEFT JOIN (SELECT h.query_id, count(DISTINCT name) AS tp, min(rank) AS first_hit_rank FROM {hits} h JOIN wanted USING (query_id, name) WHERE rank <= 5 GROUP BY 1) USING (query_id))))"""
+
+
+_HYBRID_ROWS = """new_rows AS (SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS r, n.name FROM ngram_hits h JOIN notes n USING (note_ord)
+  WHERE (h.query_id, n.path) NOT IN (SELECT query_id, path FROM merged) QUALIFY r <= 5),
+hybrid_rows AS (SELECT query_id, rank, name FROM merged UNION ALL SELECT query_id, coalesce(m.m, 0) + r, name FROM new_rows LEFT JOIN (SELECT query_id, max(rank) AS m FROM merged GROUP BY 1) m USING (query_id)),
+wanted AS (SELECT query_id, name FROM raw JOIN notes ON query <> '' AND contains(lower(text), lower(query)))"""
+
+
+@query(S.with_(*ROUTED, base.INDEX, ngram_sql("q", 8), _HYBRID_ROWS) + _averages_sql("Graph-only", "merged") + " UNION ALL " + _averages_sql("Hybrid", "hybrid_rows"))
+def eval_compare(spark, d):
+    """The graph's answers against the hybrid's: relevant are the notes that hold the query."""
+    n, merged, _ = routed(spark, d)
+    merged = iterate._cut(merged)
+    hits = search.ngram_search(search.postings(n), n, asked(spark), 8).join(n.select("note_ord", "name", "path"), "note_ord")
+    wanted = n.crossJoin(asked(spark)).where(F.contains(F.lower("text"), F.lower("query"))).select("query_id", "name")
+    return evaluate.compare({"Graph-only": merged, "Hybrid": router.hybrid(merged, hits)}, iterate._cut(wanted))
+
+
 # --------------------------------------------------------------------- fusion
 
 _FUSE = (*graph.ACTIVATION, "sem AS (SELECT query_id, name, score - 0.2::DOUBLE AS sem FROM anchors)", f"act AS (SELECT query_id, name, {S.round4('a')} AS act FROM a3 WHERE a > 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {S.round4('a')} DESC, name) <= 10)",
-    "pr_ AS (SELECT src AS name, floor(1e4::DOUBLE * count(*) / 1000 + 0.5::DOUBLE) / 1e4::DOUBLE AS pr FROM adj GROUP BY 1)", "qs AS (SELECT query_id FROM sem UNION SELECT query_id FROM act)",
+    *graph.PAGERANK, "pr_ AS (SELECT name, pagerank AS pr FROM ranked_)", "qs AS (SELECT query_id FROM sem UNION SELECT query_id FROM act)",
     "both_scores AS MATERIALIZED (SELECT query_id, name, coalesce(sem, 0) AS sem, coalesce(act, 0) AS act, coalesce(pr, 0) AS pr FROM sem FULL JOIN act USING (query_id, name) FULL JOIN (SELECT * FROM pr_, qs) USING (query_id, name))")
 
 
 def _scores(spark, d):
     anchors, edges = graph._anchors(spark, d)
     sem = anchors.select("query_id", "name", (F.col("score") - 0.2).alias("score"))
-    share = T.round4(F.count("*") / 1000)
-    pr = iterate.adjacency(edges).groupBy(F.col("src").alias("name")).agg(share.alias("pagerank"))
-    return iterate.joined_scores(sem, iterate.activate(anchors, edges), pr), sem
+    return iterate.joined_scores(sem, iterate.activate(anchors, edges), iterate.pagerank(edges)), sem
 
 
 @query(S.with_(*_FUSE) + f"""SELECT query_id, rank, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM (SELECT query_id, name, {S.round4('0.4::DOUBLE * sem + 0.4::DOUBLE * act + 0.2::DOUBLE * pr')} AS score FROM both_scores WHERE 0.4 * sem + 0.4 * act + 0.2 * pr > 0)) WHERE rank <= 10""")
@@ -293,6 +333,15 @@ def fusion(spark, d):
     return iterate.fuse(_scores(spark, d)[0]).select("query_id", "rank", "name", "score")
 
 
+@query(S.with_(*_FUSE) + f"""SELECT f.*, 'p-' || s.name AS payload FROM (SELECT query_id, rank, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM (SELECT query_id, name, {S.round4('0.4::DOUBLE * sem + 0.4::DOUBLE * act + 0.2::DOUBLE * pr')} AS score FROM both_scores WHERE 0.4 * sem + 0.4 * act + 0.2 * pr > 0)) WHERE rank <= 10) f
+LEFT JOIN sem s ON s.query_id = f.query_id AND s.name = f.name""")
+def fusion_structured(spark, d):
+    """Fusion of the engines' own outputs; what came from the vector engine carries its payload."""
+    anchors, edges = graph._anchors(spark, d)
+    hits = anchors.select("query_id", F.col("name").alias("id"), (F.col("score") - 0.2).alias("score"), F.concat(F.lit("p-"), "name").alias("payload"))
+    return iterate.fuse_structured(hits, iterate.activate(anchors, edges), iterate.pagerank(edges)).select("query_id", "rank", "name", "score", "payload")
+
+
 @query(S.with_(*_FUSE) + f""", mixes AS (SELECT a, b, 10 - a - b AS c FROM range(0, 11) x(a), range(0, 11) y(b) WHERE a + b <= 10),
 mixed AS (SELECT a, b, query_id, name, {S.round4('raw')} AS score FROM (SELECT a, b, query_id, name, (a * sem + b * act + c * pr) / 10 AS raw FROM both_scores, mixes) WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY a, b, query_id ORDER BY {S.round4('raw')} DESC, name) <= 10),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b, query_id ORDER BY score DESC, name) AS rank FROM mixed),

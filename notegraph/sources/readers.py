@@ -53,6 +53,23 @@ def feedback_window(feedback: DataFrame, now, days: int = 30, last_applied=None)
     return feedback.where(F.col("ts") >= floor)
 
 
+def read_eval(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation queries from a JSON array: id, query, type, relevant (names), notes."""
+    return spark.read.schema("id int, query string, type string, relevant array<string>, notes string").option("multiLine", True).json(path)
+
+
+def relevant_names(queries: DataFrame) -> DataFrame:
+    """Evaluation queries to query_id, name, a row for each relevant note."""
+    return queries.select(F.col("id").cast("long").alias("query_id"), F.explode("relevant").alias("name"))
+
+
+def loose_date(text):
+    """A time from the first 19 characters, in one of three forms; null if it fits none."""
+    t = F.substring(text, 1, 19)
+    forms = (("^\\d{4}-\\d{2}-\\d{2}$", "yyyy-MM-dd"), ("^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"), ("^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}$", "yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(*(F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(form))) for shape, form in forms))
+
+
 def listing_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, change (added, removed, changed) between two listings (path, modified, length)."""
     a, b = old.select("path", F.struct("modified", "length").alias("a")), new.select("path", F.struct("modified", "length").alias("b"))

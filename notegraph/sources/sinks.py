@@ -38,6 +38,50 @@ def save_report(metrics: DataFrame, folder: str, stamp: str) -> str:
     return path
 
 
+def save_prompts(prompts: DataFrame, folder: str) -> str:
+    """Prompts for a provider that is not at hand, as JSON lines."""
+    path = f"{folder.rstrip('/')}/prompts"
+    prompts.write.mode("overwrite").json(path)
+    return path
+
+
+def save_state(state: DataFrame, folder: str, name: str = "import-state") -> str:
+    """A one-row state as JSON, over the last one."""
+    path = f"{folder.rstrip('/')}/{name}"
+    state.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def write_notes(files: DataFrame, root: str) -> int:
+    """New notes(path below root, text) as files in any file system that Spark writes; one that is there is not touched."""
+    spark, n = files.sparkSession, 0
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for r in files.select("path", "text").toLocalIterator():  # a few notes a run
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{r['path']}")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            out = fs.create(path, False)
+            out.write(bytearray(r["text"].encode()))
+            out.close()
+            n += 1
+    return n
+
+
+def feedback_report(report: Row, edges: Row, dry_run: bool = False) -> str:
+    """Text of feedback.cycle's report and graph.stats' row."""
+    head = f"===== {'[DRY-RUN] ' if dry_run else ''}weights after feedback ====="
+    lines = [head, *(f"  {label + ':':<16}{report[c]}" for label, c in (("records", "records"), ("updated", "updated"), ("created", "created"), ("capped at most", "capped_max"), ("capped at least", "capped_min"), ("weights", "total_weights"), ("decayed", "decayed")))]
+    return "\n".join([*lines, f"  {'edges:':<16}{edges['prerequisite_edges']} prerequisite, {edges['similarity_edges']} similarity"])
+
+
+def eval_report(rows: list[Row], averages: Row, mode: str) -> str:
+    """Text of evaluate.metrics' collected rows and evaluate.averages' row."""
+    mark = lambda r: "ok " if r["f1"] >= 0.5 else "low" if r["f1"] > 0 else "-- "
+    lines = [f"{mark(r)} [{r['query_id']}] mrr {r['mrr']:.2f}  p {r['precision']:.2f}  r {r['recall']:.2f}  {'rank ' + str(r['first_hit_rank']) if r['first_hit_rank'] else 'not found'}" for r in sorted(rows, key=lambda r: r["query_id"])]
+    a = averages
+    return "\n".join([*lines, f"{mode}: precision {a['mean_precision']:.3f}  recall {a['mean_recall']:.3f}  mrr {a['mean_mrr']:.3f}  f1 {a['mean_f1']:.3f}  hits {a['hits']}/{a['n']}  without recall {a['zero_recall']}/{a['n']}"])
+
+
 def listing(rows: list[Row]) -> str:
     """Collected search rows, one a line: rank, score, title, source."""
     line = lambda r: f"{r['rank']:>2}. {r['score']:.3f}  {r['title']}  [{r['source']}]"

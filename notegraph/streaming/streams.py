@@ -62,10 +62,16 @@ class Snapshots:
         if self.current() == version:
             return version
         table.write.mode("overwrite").parquet(f"{self.root}/{version}")
+        # Written beside and renamed over, so that readers find the old pointer or the new one.
         path, fs = self._pointer()
-        out = fs.create(path, True)
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsparkSession.sessionState().newHadoopConf()
+        part = hadoop.Path(f"{self.root}/.{uuid.uuid4().hex}.tmp")
+        out = fs.create(part, True)
         out.write(bytearray(version.encode()))
         out.close()
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(path.toUri(), conf).rename(part, fs.makeQualified(path), over)
         return version
 
 
@@ -128,8 +134,27 @@ class TurnEnd(StatefulProcessor):
         pass
 
 
+def _turn_ends(messages: DataFrame) -> DataFrame:
+    order = Window.partitionBy("session").orderBy("seq")
+    # A turn begins with a user's message and after an end.
+    opens = F.when((F.col("role") == "user") | (F.lag("role").over(order) == "end"), 1).otherwise(0)
+    turns = messages.withColumn("_opens", opens).withColumn("_turn", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("seq", "text"))))
+    one = turns.groupBy("session", "_turn").agg(
+        F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"), F.bool_or(F.col("role") == "end").alias("ended"),
+        F.coalesce(F.first(F.when(F.col("role") == "user", F.col("titles")), True), F.array().cast("array<string>")).alias("titles"),
+    )
+    cited = F.filter("titles", lambda t: (t != "") & F.contains(F.col("text"), t))
+    return one.where("ended").select("session", "text", (F.length("text") >= LEAST_ANSWER).alias("ingest"), cited.alias("cited"))
+
+
 def turn_ends(messages: DataFrame) -> DataFrame:
-    """A stream of messages(session, seq, role, text, titles) to session, text, ingest, cited."""
+    """messages(session, seq, role, text, titles) to session, text, ingest, cited, a row for every end of a turn.
+
+    On a stream the open turn is state; a table is cut into turns by a window.
+    """
+    if not messages.isStreaming:
+        return _turn_ends(messages)
     return messages.groupBy("session").transformWithStateInPandas(
         TurnEnd(), outputStructType="session string, text string, ingest boolean, cited array<string>", outputMode="Append", timeMode="None"
     )

@@ -231,7 +231,7 @@ def test_the_registered_pagerank_converges(spark):
     from notegraph.sources import tables
 
     d = "/root/testdata/sf0.001"
-    got = {r["name"]: r["pagerank"] for r in catalog.queries()["pagerank_converged"](spark, d).collect()}
+    got = {r["name"]: r["pagerank"] for r in catalog.queries()["pagerank"](spark, d).collect()}
     edges = {(r["src"], r["dst"]) for r in tables.page_edges(tables.pages(spark, d)).select("src", "dst").collect()}
     names = sorted({x for e in edges for x in e})
     at = {x: i for i, x in enumerate(names)}
