@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from notegraph.llm import common, jaccard, simhash
 
 from . import brute
@@ -52,6 +54,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert jaccard.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_blocks_join_what_all_pairs_join(monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(jaccard, "_COLUMNS", 64)
+    for _ in range(40):
+        base = [rng.randrange(1 << 60) for _ in range(40)]
+        sets = []
+        for _ in range(rng.randint(2, 30)):
+            sets.append(np.unique(np.array([x if rng.random() > rng.choice([0, 0.05, 0.1, 0.3]) else rng.randrange(1 << 60) for x in base], np.uint64)))
+        label = np.array([rng.randrange(rng.choice([1, 3, 30])) for _ in sets])
+        near = lambda x, y: 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y))
+        every = [(int(label[i]), int(label[j])) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+        got = [(int(label[i]), int(label[j])) for i, j in jaccard.joined(label, sets)]
+        assert brute.components(set(label.tolist()), got) == brute.components(set(label.tolist()), every)
+
+
 def test_the_stage_drops_a_near_copy_of_distant_fingerprint(spark):
     import corpus_pipeline
 
