@@ -20,8 +20,6 @@ than doc_id and text are ignored, whatever they are called.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -84,14 +82,18 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return held[ranks_path, pattern]
 
 
-def _encode_whole(ranks_path: str, pattern: str):
+def _result(c: Codec, doc_ids: pa.Array, ids: list[bytes], decoded: bool) -> pa.RecordBatch:
+    more = {"decoded": pa.array([c.decode(x) for x in ids], pa.binary())} if decoded else {}
+    return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "ids": pa.array(ids, pa.binary()), **more})
+
+
+def _encode_whole(ranks_path: str, pattern: str, decoded: bool):
     def run(batches):
         c = codec(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [b"".join(c.encode(c.pieces(t.as_py() or ""))) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                yield _result(c, part.column(0), [b"".join(c.encode(c.pieces(t.as_py() or ""))) for t in part.column(1)], decoded)
 
     return run
 
@@ -149,24 +151,29 @@ def stitch(chunks: list[dict], c: Codec) -> bytes:
     return b"".join(out)
 
 
-def _stitch_group(ranks_path: str, pattern: str):
-    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def _stitch_group(ranks_path: str, pattern: str, decoded: bool):
+    def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["chunk", "start", "text", "lens", "sizes", "ids"]).to_pylist(), key=lambda r: r["chunk"])
         copies = sum(r["chunk"] == 0 for r in rows)  # rows that repeat share a group
-        ids = stitch(rows[::copies], codec(ranks_path, pattern))
+        c = codec(ranks_path, pattern)
+        ids = stitch(rows[::copies], c)
         doc = table.column("doc_id")[0].as_py()
-        return pa.table({"doc_id": pa.array([doc] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())})
+        return pa.Table.from_batches([_result(c, pa.array([doc] * copies, pa.int64()), [ids] * copies, decoded)])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, ids binary (little-endian unsigned 32-bit)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decoded: bool = False) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, ids binary (little-endian unsigned 32-bit).
+
+    With ``decoded`` the ids are decoded by the worker that made them, as ``decode`` would.
+    """
     if not _LOOKAHEAD < overlap_chars < chunk_chars:
         raise ValueError("chunks must be longer than their overlap")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = F.length("text")
-    whole = rows.where(n <= chunk_chars).mapInArrow(_encode_whole(ranks_path, pattern), "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", decoded binary" * decoded
+    whole = rows.where(n <= chunk_chars).mapInArrow(_encode_whole(ranks_path, pattern, decoded), schema)
     chunks = (
         rows.where(n > chunk_chars)
         .withColumns({"text_key": text_key(F.col("text")), "n_chunks": F.ceil((n - overlap_chars) / (chunk_chars - overlap_chars)).cast("int")})
@@ -179,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
             "doc_id long, text_key long, n_chunks int, chunk int, start long, text string, lens binary, sizes binary, ids binary",
         )
     )
-    long = chunks.groupBy("doc_id", "text_key").applyInArrow(_stitch_group(ranks_path, pattern), "doc_id long, ids binary")
+    long = chunks.groupBy("doc_id", "text_key").applyInArrow(_stitch_group(ranks_path, pattern, decoded), schema)
     return whole.unionByName(long)
 
 

@@ -192,6 +192,25 @@ def map_blocks(f: Callable, text: str = "text", most: int = BLOCK_BYTES) -> Call
     return run
 
 
+def kept_rows(docs: DataFrame, text: str, verdict: Callable) -> DataFrame:
+    """The rows of docs for whose texts verdict(offsets, bytes) holds, block by block.
+
+    Columns go through by number, so that no name clashes, and each value once.
+    """
+    names = docs.columns
+    at, plain = names.index(text), docs.toDF(*(f"c{i}" for i in range(len(names))))
+
+    def run(batches):
+        for batch in batches:
+            off, data = text_buffers(batch.column(at))
+            for i, j in blocks(off):
+                out = batch.slice(i, j - i).filter(pa.array(verdict(off[i : j + 1] - off[i], data[off[i] : off[j]])))
+                if out.num_rows:
+                    yield out
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 # -------------------------------------------------------------------- hashing
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import LOWER, Roller, map_blocks, packed, stored, text_buffers, words
+from notegraph.llm.common import LOWER, Roller, kept_rows, map_blocks, packed, stored, text_buffers, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -212,6 +212,21 @@ def _judge(ids: list, texts: list, window: int):
     return map_blocks(block)
 
 
+class _Clean:
+    """Whether each text of a block holds no window of any item. The items are numbered where they are used."""
+
+    def __init__(self, *block):
+        self.block, self.items = block, None
+
+    def __call__(self, off: np.ndarray, data: np.ndarray) -> np.ndarray:
+        if self.items is None:
+            ids, texts, window = self.block
+            self.items = Items(ids, pa.array(texts, pa.string()), window)
+        shard = Shard(self.items, data, off)
+        pos = shard.origin[shard.search(self.items)[1]]
+        return np.bincount(np.searchsorted(shard.first, pos, "right") - 1, minlength=len(shard.per)) == 0
+
+
 _OUT = "n_words long, n_hit long, matches array<struct<item:long,doc_word:long,item_word:long,n_words:long>>"
 
 
@@ -268,6 +283,10 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without those that hold any window of any item."""
+    blocks = item_blocks(items, block_bytes)
+    ids, texts = next(blocks)
+    if next(blocks, None) is None:
+        return kept_rows(docs, "text", _Clean(ids, texts, window))
     return find_matches(packed(docs, "text"), items, window, block_bytes).where("n_hit = 0").select("_row.*")
 
 

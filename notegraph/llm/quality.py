@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import WHITE, Roller, map_blocks, mix, owners, packed, segment_sum, text_buffers, words
+from notegraph.llm.common import WHITE, Roller, kept_rows, map_blocks, mix, owners, segment_sum, text_buffers, words
 
 FIT_ROWS = 4_000
 THRESHOLD = 0.25
@@ -240,7 +240,13 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the rules or the model reject."""
-    return judge(packed(docs, "text"), model, threshold).where("kept").select("_row.*")
+
+    def verdict(off, data):
+        x = Features(off, data)
+        failed = base_failed(base_counts(x))
+        return ~failed & (model.scores(x) >= threshold) if model else ~failed
+
+    return kept_rows(docs, "text", verdict)
 
 
 def digest(judged: DataFrame) -> DataFrame:
