@@ -32,7 +32,7 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern, decoded=True))
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Exact substring deduplication by distributed prefix doubling.
+"""Exact substring deduplication by ranks of ever longer prefixes.
 
 A byte goes if some string of ``length`` bytes that covers it starts anywhere else.
 Prefix doubling ranks the strings that start at each position by ever longer prefixes:
-Spark groups (rank, position) rows, positions whose rank nobody shares drop out, and
-the others are ranked anew over a longer string, until unique or past the threshold.
-Ranks are hashes of what they rank, equal for equal strings, so ranks of longer
-strings come from the text at any position and in any task.
+Spark sorts (rank, position) rows, positions whose rank nobody shares drop out, and
+the others are ranked anew by the pair of their rank and the one as far ahead as the
+prefix is long, until unique or past the threshold. ``repeated_by_doubling`` is that, a
+row for each byte of text in the first round, which fits small tables only (the README
+has figures). ``remove_repeats``, for tables of any size, keeps the rounds and their
+sorts but not the doubling of offsets: its ranks are hashes, equal for equal strings, so
+the rank of a longer string comes from the text at any position and in any task, and
+the first rounds rank samples and ranges of positions.
 
 Three rounds do, as neighbouring positions share most of their strings:
 
@@ -227,6 +231,38 @@ def _remove(length: int, seed: int):
     return map_blocks(block)
 
 
+def _first_ranks(size: int):
+    def block(batch, off, data):
+        roller = Roller(0)
+        count = np.maximum(np.diff(off) - size + 1, 0)
+        start = np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        doc = np.repeat(np.arange(len(count)), count)
+        if not len(doc):
+            return None
+        rank = mix(roller.windows(roller.prefix(data), size))[start]
+        take = pa.array(doc)
+        cols = [*(batch.column(i).take(take) for i in range(4)), pa.array(start - off[doc]), pa.array(rank.view(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, names=[*ROW_KEY, "copies", "pos", "rank"])
+
+    return map_blocks(block)
+
+
+def repeated_by_doubling(docs: DataFrame, length: int = LENGTH, first: int = 25) -> DataFrame:
+    """(row key, pos) of every string of ``length`` bytes in docs(doc_id, text) that starts elsewhere, too; length is first, doubled some times."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(*row_key(F.col("doc_id"), text), text.alias("text")).groupBy(*ROW_KEY).agg(F.count("*").cast("int").alias("copies"), F.first("text").alias("text"))
+    ranks, size = texts.mapInArrow(_first_ranks(first), f"{ROW_KEY_SCHEMA}, copies int, pos long, rank long"), first
+    while True:
+        ranks = stored(ranks)
+        shared = stored(ranks.groupBy("rank").agg(F.sum("copies").alias("c")).where("c > 1").select("rank"))
+        ranks = ranks.join(shared, "rank")
+        if size >= length:
+            return ranks.select(*ROW_KEY, "pos")
+        ahead = ranks.select(*ROW_KEY, (F.col("pos") - size).alias("pos"), F.col("rank").alias("ahead"))
+        ranks = ranks.join(ahead, [*ROW_KEY, "pos"]).select(*ROW_KEY, "copies", "pos", F.xxhash64("rank", "ahead").alias("rank"))
+        size *= 2
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_bytes, removed (byte spans), kept (the other bytes)."""
     if not 1 <= seed <= length // 2:

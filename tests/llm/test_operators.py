@@ -5,6 +5,7 @@ import re
 import textwrap
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -65,6 +66,8 @@ def test_bpe_matches_the_library(spark, sf, chunk, overlap):
     have = sorted((r["doc_id"] or -1, bytes(r["ids"]), bytes(r["decoded"])) for r in got.collect())
     want = sorted((i or -1, np.array(bpe_.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
     assert have == want
+    both = bpe.encode(frame(spark, rows), RANKS, PATTERN, chunk, overlap, decoded=True)
+    assert sorted((r["doc_id"] or -1, bytes(r["ids"]), bytes(r["decoded"])) for r in both.collect()) == want
 
 
 def test_bpe_empty(spark):
@@ -362,6 +365,18 @@ def test_substrings(spark, length, seed, alphabet):
     assert [got[i] for i in range(len(texts))] == brute.remove_substrings(texts, length)
 
 
+def test_prefix_doubling(spark):
+    rng = random.Random(21)
+    base = words_of(rng, 150, "ab c")
+    texts = [base[a : a + rng.randint(0, 60)] + words_of(rng, rng.randint(0, 20), "xyz") for a in rng.sample(range(100), 25)] + ["", None, "a" * 60]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4]), (None, "zz")]
+    every = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(b[k : k + 24] for _, b in every for k in range(len(b) - 23))
+    want = sorted({(i is None, i or 0, k) for i, b in every for k in range(len(b) - 23) if count[b[k : k + 24]] > 1})
+    got = suffix_dedup.repeated_by_doubling(frame(spark, rows), 24, 3).collect()
+    assert sorted((r["no_id"], 0 if r["no_id"] else r["id"], r["pos"]) for r in got) == want
+
+
 def test_substrings_of_documents(spark, sf):
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(frame(spark, sf))).collect()}
     assert [got[i] for i, _ in sf] == brute.remove_substrings([t for _, t in sf], 200)
