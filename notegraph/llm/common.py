@@ -99,6 +99,12 @@ def consumed(df: DataFrame) -> None:
         df.select("*").write.format("noop").mode("overwrite").save()
 
 
+def gathered(df: DataFrame) -> list:
+    """Rows of a bounded result; the shuffles that made it go at the end."""
+    with _shuffles_let_go(df.sparkSession):
+        return df.select("*").collect()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again; the shuffles that made it go with the write.
 

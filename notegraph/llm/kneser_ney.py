@@ -1,10 +1,11 @@
 """An interpolated modified Kneser-Ney language model, and texts' log-probabilities.
 
 The model is of any order from two on (``ORDER`` by default). Counting takes a pass over
-the texts for words and one for n-grams, and a shuffle for each order:
+the texts for words and one for n-grams, then a step for each lower order:
 
 1. word counts, dealt out by ranges of the words' 64-bit hashes. Each range is written
-   as a sorted array, and a word's number is its place in all of them;
+   as a sorted array, and numbers its words by frequency, in steps of the number of
+   ranges, so that frequent words have small numbers and n-grams pack well;
 2. n-grams of word numbers, dealt out by ranges of their hashes and written as sorted
    hash arrays with their counts. Each range sends on, for every n-gram, that its last
    words follow one word more, and what its first words lead to;
@@ -13,7 +14,8 @@ the texts for words and one for n-grams, and a shuffle for each order:
 
 Tasks count locally and ship each range as one compressed block of numbers, so a
 shuffle row is a block and not a word; an n-gram's range depends on all its words, so
-no frequent word weighs on one range. Ranges hold about ``RANGE_TOKENS`` tokens at any
+no frequent word weighs on one range. What one order sends to the next lies beside the
+arrays until it is read, so that the larger shuffle before it can go. Ranges hold about ``RANGE_TOKENS`` tokens at any
 size of the corpus. The arrays lie in the folder that driver and executors share;
 workers map them into memory, look up the distinct n-grams of a block of texts in
 sorted order and add up log-probabilities. That folder must be mounted as a path.
@@ -44,7 +46,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import LOWER, WHITE, Roller, consumed, map_blocks, mix, owners, segment_sum, shared_dir, text_buffers, words
+from notegraph.llm.common import LOWER, WHITE, Roller, consumed, gathered, map_blocks, mix, owners, segment_sum, shared_dir, text_buffers, words
 from notegraph.llm.common import blocks as text_blocks
 
 ORDER = 3
@@ -120,15 +122,14 @@ def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # -------------------------------------------------------------------- counting
 
 
-def _shipped(hashes: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+def _dealt(hashes: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray], ranges: int) -> dict[int, bytes]:
     """Rows of distinct hashes as one block a range."""
     r = range_of(hashes, ranges)
     # Like numbers side by side are smaller; the order within a block means nothing.
     near = columns[0].astype(np.uint64) if len(columns) == 1 else (columns[0].astype(np.uint64) << _U32) ^ columns[1].astype(np.uint64)
     order = np.lexsort((near, r))
     cuts = np.searchsorted(r[order], np.arange(ranges + 1))
-    rows = [(i, order[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(np.diff(cuts))]
-    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([pack([c[x] for c in (*columns, *counts)]) for _, x in rows], pa.binary())], names=["range", "block"])
+    return {int(i): pack([c[order[cuts[i] : cuts[i + 1]]] for c in (*columns, *counts)]) for i in np.flatnonzero(np.diff(cuts))}
 
 
 class _Tally:
@@ -155,7 +156,8 @@ class _Tally:
         if self.parts:
             self._merge()
             (part,), self.parts, self.size = self.parts, [], 0
-            yield _shipped(*part, self.ranges)
+            blocks = _dealt(*part, self.ranges)
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary())], names=["range", "block"])
 
 
 def _text_blocks(batches):
@@ -223,13 +225,16 @@ def _write_words(folder: str):
         for r, (hashes,), counts in _by_range(batches, 1):
             hashes, _, counts = add_up(hashes, [], counts)
             _save_table(folder, 0, r, hashes, counts)
+            rank = np.empty(len(hashes), np.uint32)
+            rank[np.argsort(-counts[0], kind="stable")] = np.arange(len(hashes))
+            _save(folder, f"rank-{r:06d}", rank)
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([len(hashes)]), pa.array([int(counts[0].sum())])], names=["range", "size", "tokens"])
 
     return run
 
 
-def _shorter(columns: list[np.ndarray], count: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """What distinct n-grams tell of those shorter by one.
+def _shorter(columns: list[np.ndarray], count: np.ndarray, ranges: int) -> dict[int, bytes]:
+    """What distinct n-grams tell of those shorter by one, as blocks by range.
 
     Counts: different words before them, all that follows them, and how many different
     words follow them once, twice, and more often.
@@ -240,21 +245,48 @@ def _shorter(columns: list[np.ndarray], count: np.ndarray, ranges: int) -> pa.Re
     add = lambda i, w=None: np.bincount(i, w, len(hashes)).astype(np.int64)
     leads, kind = back[n:], np.minimum(count, 3)
     counts = [add(back[:n]), add(leads, count), *(add(leads[kind == k]) for k in (1, 2, 3))]
-    return _shipped(hashes, [c[at] for c in both], counts, ranges)
+    return _dealt(hashes, [c[at] for c in both], counts, ranges)
 
 
-def _write_level(folder: str, level: int, ranges: int):
-    """Writes the arrays of one order, and sends on what they tell of the next lower one."""
+def _write(folder: str, level: int, r: int, columns: list[np.ndarray], counts: list[np.ndarray], ranges: int) -> None:
+    """Writes a range's arrays of one order, and beside them what they tell of the next lower one."""
+    hashes, columns, counts = add_up(gram_hash(columns), columns, counts)
+    _save_table(folder, level, r, hashes, counts)
+    c = counts[0]
+    _save(folder, f"sums-{level}-{r:06d}", np.array([c.sum(), *((c == k).sum() for k in (1, 2, 3, 4)), (c >= 3).sum()], np.int64))
+    if level > 1:
+        seen = c > 0  # what only leads on, like the beginning of a text, is no n-gram of its own
+        blocks = _shorter([x[seen] for x in columns], c[seen], ranges)
+        ends = np.cumsum([len(blocks.get(i, b"")) for i in range(ranges)])
+        _save(folder, f"told-{level - 1}-{r:06d}", np.frombuffer(b"".join(blocks[i] for i in sorted(blocks)), np.uint8))
+        _save(folder, f"ends-{level - 1}-{r:06d}", np.concatenate([[0], ends]))
 
+
+def _write_top(folder: str, level: int, ranges: int):
     def run(batches):
         for r, columns, counts in _by_range(batches, level):
-            hashes, columns, counts = add_up(gram_hash(columns), columns, counts)
-            _save_table(folder, level, r, hashes, counts)
-            c = counts[0]
-            _save(folder, f"sums-{level}-{r:06d}", np.array([c.sum(), *((c == k).sum() for k in (1, 2, 3, 4)), (c >= 3).sum()], np.int64))
-            if level > 1:
-                seen = c > 0  # what only leads on, like the beginning of a text, is no n-gram of its own
-                yield _shorter([x[seen] for x in columns], c[seen], ranges)
+            _write(folder, level, r, columns, counts, ranges)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64())], names=["range"])
+
+    return run
+
+
+def _write_lower(folder: str, level: int, ranges: int):
+    """For each range, what all ranges of the order above tell of it."""
+
+    def told(r: int) -> Iterator[bytes]:
+        for source in range(ranges):
+            if os.path.exists(path := f"{folder}/ends-{level}-{source:06d}.npy"):
+                lo, hi = np.load(path, mmap_mode="r")[r : r + 2].tolist()
+                if lo < hi:
+                    yield np.load(f"{folder}/told-{level}-{source:06d}.npy", mmap_mode="r")[lo:hi].tobytes()
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                if every := [np.concatenate(c) for c in zip(*map(unpack, told(r)))]:
+                    _write(folder, level, r, every[:level], every[level:], ranges)
+            yield pa.RecordBatch.from_arrays(batch.columns, names=["range"])
 
     return run
 
@@ -279,38 +311,35 @@ class Model:
     ranges: int
     tokens: int = 0
     types: int = 0
+    bound: int = 0  # over all words' numbers: it stands for the beginning of a text, the next one for an unknown word
     discounts: list[tuple] = field(default_factory=list)  # from single words up
     followed: int = 0
     rest: float = 1.0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("files", "starts")}
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
 
     @cached_property
     def files(self) -> dict[tuple[int, int], tuple | None]:
         return {}
 
-    @cached_property
-    def starts(self) -> np.ndarray:
-        """The number of each range's first word."""
-        return np.load(f"{self.folder}/starts.npy")
-
     def table(self, level: int, r: int) -> tuple | None:
         """A range's arrays, mapped into memory; None if it holds nothing."""
         if (level, r) not in self.files:
             paths = [f"{self.folder}/{name}-{level}-{r:06d}.npy" for name in ("hash", "small", "large")]
+            paths += [f"{self.folder}/rank-{r:06d}.npy"] * (level == 0)
             got = tuple(np.load(p, mmap_mode="r") for p in paths) if os.path.exists(paths[0]) else None
             self.files[level, r] = got if got and len(got[0]) else None
         return self.files[level, r]
 
     def find(self, level: int, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted hashes: their places in all ranges' arrays of words (-1: absent), and their counts."""
-        place, counts = np.full(len(hashes), -1, np.int64), np.zeros((len(hashes), width), np.int64)
+        """For sorted hashes: their numbers, if they are words, and their counts."""
+        number, counts = np.full(len(hashes), self.bound + 1, np.int64), np.zeros((len(hashes), width), np.int64)
         cuts = np.searchsorted(range_of(hashes, self.ranges), np.arange(self.ranges + 1))
         for r in np.flatnonzero(np.diff(cuts)):
             if (held := self.table(level, r)) is None:
                 continue
-            keys, small, large = held
+            keys, small, large, *rank = held
             part = slice(cuts[r], cuts[r + 1])
             at = np.minimum(np.searchsorted(keys, hashes[part]), len(keys) - 1)
             found = np.flatnonzero(keys[at] == hashes[part])
@@ -320,23 +349,21 @@ class Model:
             if len(i):
                 rows[i, j] = large[1][np.searchsorted(large[0], at[i] * width + j)]
             counts[part.start + found] = rows
-            if level == 0:
-                place[part.start + found] = at + self.starts[r]
-        return place, counts
+            if rank:
+                number[part.start + found] = rank[0][at].astype(np.int64) * self.ranges + r
+        return number, counts
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers (that of no word if unknown) and counts."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        place, counts = self.find(0, distinct, 1)
-        place[place < 0] = self.types + 1
-        small = np.uint32 if self.types + 2 < 1 << 32 else np.uint64
-        return place.astype(small)[back], counts[back, 0]
+        number, counts = self.find(0, distinct, 1)
+        return number.astype(np.uint32 if self.bound + 2 < 1 << 32 else np.uint64)[back], counts[back, 0]
 
     def padded(self, number: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts with the mark of their beginning before them, once less than the order; and where the tokens then are."""
         ahead = self.order - 1
         place = np.arange(len(number)) + (owners(per) + 1) * ahead
-        out = np.full(len(number) + len(per) * ahead, self.types, number.dtype)
+        out = np.full(len(number) + len(per) * ahead, self.bound, number.dtype)
         out[place] = number
         return out, place
 
@@ -376,19 +403,18 @@ def fit(docs: DataFrame, learn: Column, order: int = ORDER, range_tokens: int =
     ranges = max(1, -(-((size[0] or 0) // 6 + size[1]) // range_tokens))
     model = Model(folder, order, ranges, discounts=[discounts([0] * 4)] * order)
     dealt = lambda shipped: shipped.repartitionById(ranges, F.col("range"))
-    starts = np.zeros(ranges + 1, np.int64)
-    for r in dealt(rows.mapInArrow(_ship_words(ranges), _BLOCKS)).mapInArrow(_write_words(folder), "range int, size long, tokens long").collect():
-        starts[r["range"] + 1] = r["size"]
+    for r in gathered(dealt(rows.mapInArrow(_ship_words(ranges), _BLOCKS)).mapInArrow(_write_words(folder), "range int, size long, tokens long")):
         model.tokens += r["tokens"]
-    starts = np.cumsum(starts)
-    model.types = int(starts[-1])
-    _save(folder, "starts", starts[:-1])
+        model.types += r["size"]
+        model.bound = max(model.bound, r["size"] * ranges)
     if not size[1]:
         return model
-    grams = rows.mapInArrow(_ship_grams(model), _BLOCKS)
-    for level in range(order, 0, -1):
-        grams = dealt(grams).mapInArrow(_write_level(folder, level, ranges), _BLOCKS)
-    consumed(grams)
+    consumed(dealt(rows.mapInArrow(_ship_grams(model), _BLOCKS)).mapInArrow(_write_top(folder, order, ranges), "range long"))
+    for level in range(order - 1, 0, -1):
+        consumed(spark.range(0, ranges, 1, ranges).mapInArrow(_write_lower(folder, level, ranges), "range long"))
+        for name in os.listdir(folder):
+            if name.startswith((f"told-{level}-", f"ends-{level}-")):
+                os.remove(f"{folder}/{name}")
     for level in range(1, order + 1):
         paths = [f"{folder}/sums-{level}-{r:06d}.npy" for r in range(ranges)]
         sums = np.sum([np.load(p) for p in paths if os.path.exists(p)], axis=0)
