@@ -179,9 +179,9 @@ def bm25(skills: DataFrame, queries: DataFrame, k: int = 8, k1: float = 1.2, b:
     return top(rounded, k, tie="skill_id")
 
 
-def point_read(notes: DataFrame, path: str, max_chars: int = 8000) -> DataFrame:
-    """One note by its path, which must stay below the root: path, text of 100 to 30,000 characters at most."""
+def point_read(notes: DataFrame, path: str, max_chars: int = 8000, clamp: bool = False) -> DataFrame:
+    """One note by its path, which must stay below the root: path, text. With ``clamp`` the most is held within 100 and 30,000 characters."""
     parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
     if ".." in parts or path.startswith(("/", "~")):
         raise ValueError(f"{path} is outside the notes")
-    return notes.where(F.col("path") == "/".join(parts)).select("path", F.substring("text", 1, min(max(max_chars, 100), 30_000)).alias("text"))
+    return notes.where(F.col("path") == "/".join(parts)).select("path", F.substring("text", 1, min(max(max_chars, 100), 30_000) if clamp else max_chars).alias("text"))

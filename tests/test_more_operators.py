@@ -57,7 +57,7 @@ def test_skills_fall_back_to_every_text_column(spark):
 
 def test_point_reads_are_clamped(spark):
     notes = spark.createDataFrame([("a.md", "x" * 40_000)], "path string, text string")
-    assert [len(search.point_read(notes, "a.md", n).first()["text"]) for n in (1, 500, 99_999)] == [100, 500, 30_000]
+    assert [len(search.point_read(notes, "a.md", n, clamp=True).first()["text"]) for n in (1, 500, 99_999)] == [100, 500, 30_000]
 
 
 def test_contained_with_frequent_beginnings(spark):
