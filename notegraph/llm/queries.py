@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, decontam, kneser_ney, licenses, pii, quality, sentence_spans, simhash, suffix_dedup, toxicity
+from notegraph.llm import bpe, conversations, decontam, kneser_ney, licenses, pii, quality, schema_drift, sentence_spans, simhash, suffix_dedup, toxicity, url_filter
 from notegraph.llm.common import crc_mod, cut, shipping
 
 #: Documents as files: each source a tree, every tenth a licence file of its own directory, every hundredth of the one above.
 FILES_SQL = """SELECT doc_id, text, source || '/' || CAST(floor(doc_id / 100) AS BIGINT) ||
   CASE WHEN doc_id % 100 = 0 THEN '/LICENSE' WHEN doc_id % 10 = 0 THEN '/' || CAST(floor(doc_id / 10) AS BIGINT) || '/LICENSE.txt'
   ELSE '/' || CAST(floor(doc_id / 10) AS BIGINT) || '/' || doc_id || '.md' END AS path FROM documents"""
+#: (verdict, host, path) for urls.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -73,8 +75,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_components(cut(simhash.fingerprints(_table(spark, sf_dir, "documents")))))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, URL_RULES, html="html").select("page_id", "host", "path", "rule", "verdict", "block_odds")
+
+
+def op12_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.rewrite_clients(_table(spark, sf_dir, "clients"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = _table(spark, sf_dir, "conversations")
+    return conversations.digest(original, conversations.repair(conversations.damaged(original)))
+
+
+OPERATORS = (
+    op1_toxicity, op2_sentence_spans, op3_byte_bpe, op4_kneser_ney, op5_licenses, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash,
+    op11_url_filters, op12_schema_drift, op13_conversations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: shipping(f) for f in (op1_toxicity, op2_sentence_spans, op3_byte_bpe, op4_kneser_ney, op5_licenses, op6_pii, op7_suffix_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
+    return {f.__name__: shipping(f) for f in OPERATORS}
 
 
 def oracle_sql() -> dict:
