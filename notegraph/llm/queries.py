@@ -77,7 +77,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, URL_RULES, html="html").select("page_id", "host", "path", "rule", "verdict", "block_odds")
+    return url_filter.judge(pages.select("page_id", "url"), URL_RULES, texts=pages.select("html")).select("page_id", "host", "path", "rule", "verdict", "block_odds")
 
 
 def op12_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:

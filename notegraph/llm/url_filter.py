@@ -139,14 +139,15 @@ def scored_urls(urls: DataFrame, texts: DataFrame | None, seeds: list[str] = SEE
     return urls.select("u1", "u2").join(told, ["u1", "u2"], "left").select("u1", "u2", F.coalesce("block_odds", F.lit(prior)).alias("block_odds"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str | None = None, seeds: list[str] = SEEDS) -> DataFrame:
-    """pages with host, path, rule, block_odds and verdict (allow or block) of their urls; html names the column whose words are counted."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", texts: DataFrame | None = None, seeds: list[str] = SEEDS) -> DataFrame:
+    """pages with host, path, rule, block_odds and verdict (allow or block) of their urls; the words of texts(html) are counted."""
     parts = with_parts(packed(pages, url).withColumnRenamed(url, "_url"), "_url")
     shape = F.regexp_replace("path", "[0-9]+", "#")
     masked = F.regexp_replace("host", "[0-9]+", "#")
     keyed = parts.select("_row", "host", "path", shape.alias("shape"), F.xxhash64(masked, shape).alias("u1"), F.xxhash64(F.lit("url"), masked, shape).alias("u2"))
     urls = keyed.select("u1", "u2", F.regexp_replace("host", "[0-9]+", "#").alias("host"), "shape").dropDuplicates(["u1", "u2"])
-    odds = scored_urls(stored(urls), pages.select(pages[html].alias("html")) if html else None, seeds)
+    # stored, so that the join below meets two plain exchanges, of which Spark can split what one url fills
+    odds = stored(scored_urls(stored(urls), texts, seeds))
     rule, said = rule_of(rules)
     verdict = F.coalesce(said, F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
     new = {"host": F.col("host"), "path": F.col("path"), "rule": rule, "verdict": verdict, "block_odds": F.col("block_odds")}

@@ -94,7 +94,7 @@ URLS = [
 
 def judged(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"u1": F.lit(1), "run": F.lit("x"), "words": F.lit("y"), "host": F.lit("z"), "shape": F.lit(0)})
-    return url_filter.judge(df, queries.URL_RULES, html="html")
+    return url_filter.judge(df, queries.URL_RULES, texts=df.select("html"))
 
 
 def test_urls_against_a_plain_model(spark):
