@@ -5,28 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.functions.text import bind
-from notegraph.operators.graph import contained
-
-
-_WINDOW = 4
+from notegraph.operators.substrings import contained
 
 
 def holders(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """texts(name, t), passages(query_id, text) -> query_id, name of every text that holds a passage verbatim.
-
-    A passage's inner words stand whole in any text that holds it, so both join on a run of
-    them, and the exact test follows; passages too short for a run join on their rarest gram.
-    """
-    words = lambda c: F.split(c, "\\s+")
-    run = lambda w, at: F.xxhash64(F.slice(w, at, _WINDOW))
-    split = passages.where("text <> ''").withColumn("w", words(F.col("text")))
-    long = split.where(F.size("w") >= _WINDOW + 2).select("query_id", "text", run(F.col("w"), F.lit(2)).alias("k"))
-    windows = bind(words(F.col("t")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - _WINDOW + 1, F.lit(1))), lambda i: run(w, i))))
-    found = texts.select("name", "t", F.explode(windows).alias("k")).join(long, "k").where(F.contains("t", "text")).select("query_id", "name")
-    short = split.where(F.size("w") < _WINDOW + 2)
-    rest = contained(short.select(F.col("query_id").alias("n"), F.col("text").alias("s")), texts.select(F.col("name").alias("h"), "t")) if not short.isEmpty() else None
-    return found if rest is None else found.unionAll(rest.select(F.col("n").alias("query_id"), F.col("h").alias("name")))
+    """texts(name, t), passages(query_id, text) -> query_id, name of every text that holds a passage verbatim; texts stay where they lie."""
+    found = contained(passages.select(F.col("query_id").alias("n"), F.col("text").alias("s")), texts.select(F.col("name").alias("h"), "t"))
+    return found.select(F.col("n").alias("query_id"), F.col("h").alias("name"))
 
 
 def round3(c):

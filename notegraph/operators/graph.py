@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.decay import tag_of
-from notegraph.functions.text import grams, jaccard, overlap, tokens
+from notegraph.functions.text import jaccard, overlap, tokens
+from notegraph.operators.substrings import contained
 from notegraph.settings import DEFAULT, Settings
 
-_KEY = 3
-
-
 def last_by_name(notes: DataFrame) -> DataFrame:
     """One note a name: the last wins, at the place of the first."""
     w = Window.partitionBy("name")
@@ -23,21 +21,6 @@ def last_by_name(notes: DataFrame) -> DataFrame:
     return ranked.where("_r = 1").drop("_r", "note_ord").withColumnRenamed("_first", "note_ord")
 
 
-def contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
-    """needles(n, s) and hay(h, t) -> (n, h) where t contains s, neither empty.
-
-    An equi-join on each needle's rarest gram, counted over the hay, then the exact test:
-    no pair is lost, and a frequent beginning meets nobody.
-    """
-    every = F.flatten(F.array(*(grams(F.col("t"), i) for i in range(1, _KEY + 1))))
-    spread = hay.where("t <> ''").select("h", "t", F.explode(F.array_distinct(every)).alias("k"))
-    often = spread.groupBy("k").agg(F.count("*").alias("c"))
-    own = F.when(F.length("s") >= _KEY, grams(F.col("s"), _KEY)).otherwise(F.array("s"))
-    keyed = needles.where("s <> ''").select("n", "s", F.explode(own).alias("k")).join(often, "k")
-    rarest = keyed.groupBy("n", "s").agg(F.min_by("k", F.struct("c", "k")).alias("k"))
-    return rarest.join(spread, "k").where(F.contains("t", "s")).select("n", "h")
-
-
 def exact_links(links: DataFrame, names: DataFrame) -> DataFrame:
     """links(src, target) whose target is a note's name."""
     return links.join(names.select(F.col("name").alias("target")).distinct(), "target", "left_semi").select("src", F.col("target").alias("dst")).distinct()

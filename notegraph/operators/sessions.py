@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import found
-from notegraph.operators.graph import contained
+from notegraph.operators.substrings import contained
 from notegraph.settings import NAME_SUFFIXES
 
 WORD = "[\\p{L}\\p{N}_一-鿿]{2,}"
