@@ -204,7 +204,27 @@ def p_expand_set(spark, d):
     return expand.expand_prerequisites(starts, e).select("query_id", "name", "depth", "caller", "weight", T.round4(F.col("rank_score")).alias("rank_score"))
 
 
-@query()
+def exact_sql(starts: str, we: str) -> list[str]:
+    """CTEs of the depth-first expansion, ending in ``expanded``: all ways, folded in order over what was seen."""
+    kind = "STRUCT(key BIGINT[], name VARCHAR, depth INT, caller VARCHAR, w DOUBLE, seen VARCHAR[], open BIGINT[][], live BIGINT[][])"
+    fresh = "(x.depth = 0 OR h.open[x.depth] = x.key[1:x.depth]) AND NOT list_contains(h.seen, x.name)"
+    step = "{'key': x.key, 'name': x.name, 'depth': x.depth, 'caller': x.caller, 'w': x.w, 'seen': list_append(h.seen, x.name), 'open': list_append(h.open[1:x.depth], x.key), 'live': list_append(h.live, x.key)}"
+    return [
+        f"""ways AS (SELECT query_id, name, 0 AS depth, NULL::VARCHAR AS caller, 0.5::DOUBLE AS w, [start_ord::BIGINT] AS key FROM {starts}
+  UNION ALL SELECT k.query_id, p.dst, k.depth + 1, k.name, p.w, list_append(k.key, p.edge_ord::BIGINT) FROM ways k JOIN {we} p ON p.src = k.name AND p.kind = 'pre' WHERE k.depth < 3)""",
+        f"""listed AS (SELECT query_id, list({{'key': key, 'name': name, 'depth': depth, 'caller': caller, 'w': w, 'seen': []::VARCHAR[], 'open': []::BIGINT[][], 'live': []::BIGINT[][]}}::{kind} ORDER BY key) AS ways FROM ways GROUP BY query_id)""",
+        f"""folded AS MATERIALIZED (SELECT query_id, unnest(list_reduce(ways, lambda h, x: CASE WHEN {fresh} THEN {step}::{kind} ELSE h END,
+  {{'key': []::BIGINT[], 'name': '', 'depth': 0, 'caller': '', 'w': 0, 'seen': []::VARCHAR[], 'open': []::BIGINT[][], 'live': []::BIGINT[][]}}::{kind}).live) AS key FROM listed)""",
+        f"""expanded AS (SELECT query_id, name, depth, caller, {S.round4('w')} AS weight, {S.round4('w')} / (depth + 1) AS rank_score, row_number() OVER (PARTITION BY query_id ORDER BY list_append(key, 9223372036854775807)) - 1 AS ord
+  FROM ways JOIN folded USING (query_id, key) WHERE caller IS NULL OR w >= 0.05)""",
+    ]
+
+
+def recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+
+@query(recursive(S.with_(S.PAGES, S.PAGE_EDGES, _STARTS, _WEIGHED_PAGES, *exact_sql("starts", "we"))) + f"SELECT query_id, name, depth, caller, weight, {S.round4('rank_score')} AS rank_score FROM expanded")
 def p_expand_exact(spark, d):
     starts, e = page_graph(spark, d)
     return expand.expand_prerequisites_exact(starts, e).select("query_id", "name", "depth", "caller", "weight", T.round4(F.col("rank_score")).alias("rank_score"))

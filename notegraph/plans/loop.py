@@ -226,6 +226,26 @@ def fuzzy_match(spark, d):
     return sessions.fuzzy_match(q.union(spark.createDataFrame([("src3/000003",), ("the and attion",)], "query string")), n)
 
 
+_SAID = """said AS MATERIALIZED (SELECT session, t.text || ' [[' || coalesce(n.name, 'nobody') || '|see]] ' || split_part(t.text, ' ', 2) || '.md' AS text FROM texts t LEFT JOIN notes n ON n.note_ord = session * 3),
+terms_ AS (SELECT DISTINCT unnest(links)[:8] AS term FROM pages_ WHERE page_id % 10 = 0),
+linked AS (SELECT DISTINCT session, name FROM (SELECT session, unnest(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:[#|][^\\]]+)?\\]\\]', 1)) AS name FROM said) WHERE name IN (SELECT name FROM notes)),
+asked AS MATERIALIZED (SELECT DISTINCT session, query FROM (SELECT session, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_一-鿿]{2,30}(?:\\.md|架构|分析|设计|方案|手册|报告|指南|矩阵|系统|框架|编辑器|工具|计划|对比|索引|模板)')) AS query FROM said
+  UNION ALL SELECT session, term FROM said, terms_ WHERE term <> '' AND contains(lower(text), lower(term)))),
+fq AS (SELECT DISTINCT query, lower(query) AS ql FROM asked)"""
+_BEST = """best AS (SELECT query, name FROM tiers WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN tier = 5 THEN -c ELSE 0 END, note_ord) = 1)"""
+
+
+@query(S.with_(S.NOTES, S.PAGES, _TEXTS, _SAID, _FUZZY[_FUZZY.index("nn AS") :], _BEST) + "SELECT session, name FROM linked UNION SELECT session, name FROM asked JOIN best USING (query)")
+def session_mentions(spark, d):
+    """Notes that sessions mention: by link, by a term of the pages that they hold, and by a word shaped like a file."""
+    n, t = tables.notes(spark, d), sessions.session_texts(tables.sessions(spark, d))
+    linked = n.where("note_ord % 3 = 0").select((F.col("note_ord") / 3).cast("long").alias("session"), "name")
+    said = t.join(linked, "session", "left")
+    text = F.concat("text", F.lit(" [["), F.coalesce("name", F.lit("nobody")), F.lit("|see]] "), F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")), F.lit(".md"))
+    terms = tables.pages(spark, d).where("page_id % 10 = 0").select(F.explode("links").alias("term")).select(F.substring("term", 1, 8).alias("term")).distinct()
+    return sessions.all_mentions(said.select("session", text.alias("text")), n, terms)
+
+
 # ---------------------------------------------------------------------- ingest
 
 KEYWORDS = ["idiot", "heatly", "und"]

@@ -98,7 +98,10 @@ def router_summary(spark, d):
     return routed(spark, d)[2]
 
 
-@query()
+_EXACT = (*graph.BUILT, graph.TOUCHED, graph.WEIGHED, _ASK_SQL, _ASKED, SCORED, MATCHED, STATE, *graph.exact_sql("starts", "weighed"), graph.similar_sql("starts", "weighed"), graph.FALLBACK, MERGED)
+
+
+@query(graph.recursive(S.with_(*_EXACT)) + _SHOW + "merged")
 def router_exact(spark, d):
     return _merged(routed(spark, d, exact=True)[1])
 

@@ -159,13 +159,23 @@ def recursive(starts, out, limit=3):
     return rows
 
 
-def test_walk_is_depth_first():
+def test_exact_expansion_is_a_depth_first_walk(spark):
+    """Many random graphs at once, cycles, loops, repeated starts and dead edges included: names are by graph, ids too."""
     rng = random.Random(4)
-    for _ in range(200):
-        names = "abcdefgh"[: rng.randint(1, 8)]
+    starts, edges, want = [], [], {}
+    for q in range(120):
+        names = [f"{q}{c}" for c in "abcdefgh"[: rng.randint(1, 8)]]
         out = {n: [(rng.choice(names), rng.choice([0.01, 1.0])) for _ in range(rng.randint(0, 3))] for n in names}
-        starts = [rng.choice(names) for _ in range(rng.randint(1, 3))]
-        assert [r[:3] for r in expand.walk(starts, out)] == recursive(starts, out)
+        first = [rng.choice(names) for _ in range(rng.randint(1, 3))]
+        starts += [(q, n, i) for i, n in enumerate(first)]
+        edges += [(n, d, "pre", i, w) for n, to in out.items() for i, (d, w) in enumerate(to)]
+        want[q] = recursive(first, out)
+    got = {}
+    found = expand.expand_prerequisites_exact(spark.createDataFrame(starts, "query_id long, name string, start_ord int"), spark.createDataFrame(edges, "src string, dst string, kind string, edge_ord int, w double"))
+    assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
+    for r in found.orderBy("query_id", "ord").collect():
+        got.setdefault(r.query_id, []).append((r.name, r.depth, r.caller))
+    assert got == want
 
 
 def test_depth_first_and_level_order_differ(spark):
