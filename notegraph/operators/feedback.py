@@ -31,26 +31,35 @@ def parse_edge(text: Column) -> Column:
     return F.when(good, F.struct(F.get(p, F.lit(0)).alias("from"), F.get(p, F.lit(1)).alias("to"), F.get(p, F.lit(2)).alias("type")))
 
 
-def edge_events(records: DataFrame) -> DataFrame:
-    """Records to one row an edge: src, dst, event, ord (log order)."""
+def edge_rows(records: DataFrame) -> DataFrame:
+    """Records, of a table or a stream, to one row an edge: ts, pos, src, dst, event."""
     none = F.array().cast("array<struct<`from`:string,`to`:string,`type`:string>>")
     arm = lambda c, event: F.transform(F.coalesce(c, none), lambda e: F.struct(e["from"].alias("src"), e["to"].alias("dst"), event.alias("event")))
     happy = F.when(F.coalesce("satisfied", F.lit(True)), "consumed").otherwise("consumed_unsatisfied")
     every = F.concat(arm(F.col("consumed_edges"), happy), arm(F.col("ignored_edges"), F.lit("ignored")), arm(F.col("edges_used"), F.lit("legacy")))
-    rows = records.select("ts", F.posexplode(every).alias("pos", "e")).select("e.src", "e.dst", "e.event", F.struct("ts", "pos").alias("ord"))
+    rows = records.select("ts", F.posexplode(every).alias("pos", "e")).select("ts", "pos", "e.src", "e.dst", "e.event")
     return rows.where((F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != ""))
 
 
+def edge_events(records: DataFrame) -> DataFrame:
+    """Records to one row an edge: src, dst, event, ord (log order)."""
+    return edge_rows(records).select("src", "dst", "event", F.struct("ts", "pos").alias("ord"))
+
+
+def amount_of(e: Column, s: Settings = DEFAULT) -> Column:
+    """What one event adds to a weight."""
+    return (
+        F.when(e == "consumed", s.consumed_delta).when(e == "legacy", s.consumed_delta)
+        .when(e == "consumed_unsatisfied", -s.ignored_delta / 2).otherwise(-s.ignored_delta)
+    )
+
+
 def deltas(events: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """events(src, dst, event, ord) -> src, dst, delta, use_count_delta, source.
 
     The label is the last consumption's, else the first other event's.
     """
-    e = F.col("event")
-    amount = (
-        F.when(e == "consumed", s.consumed_delta).when(e == "legacy", s.consumed_delta)
-        .when(e == "consumed_unsatisfied", -s.ignored_delta / 2).otherwise(-s.ignored_delta)
-    )
+    e, amount = F.col("event"), amount_of(F.col("event"), s)
     consumed = e.isin("consumed", "consumed_unsatisfied")
     label = F.coalesce(
         F.max_by(F.when(consumed, e), F.when(consumed, F.col("ord"))),

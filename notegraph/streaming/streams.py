@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from notegraph.functions.text import round4
 from notegraph.operators import feedback
 from notegraph.settings import DEFAULT, Settings
 from notegraph.sources.readers import FEEDBACK, event_time, list_notes, listing_diff
@@ -34,8 +37,35 @@ def feedback_source(spark: SparkSession, folder: str, days: int = 30) -> DataFra
     return raw.withColumn("ts", event_time(F.coalesce("timestamp", "ts"))).drop("timestamp").where("ts is not null").withWatermark("ts", f"{days} days")
 
 
+def feedback_days(records: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """A stream of feedback (``feedback_source``) by day and edge: day, src, dst, consumed, ignored, delta.
+
+    A day's row is given once, when the watermark has passed its end; its state goes then. A
+    record of a closed day, later than the source's bound, is dropped and counted in the query's progress (``late_rows``).
+    """
+    rows = feedback.edge_rows(records)
+    used = F.col("event") != "ignored"
+    by_day = rows.groupBy(F.window("ts", "1 day").alias("day"), "src", "dst").agg(
+        F.count_if(used).alias("consumed"), F.count_if(~used).alias("ignored"), round4(F.sum(feedback.amount_of(F.col("event"), s))).alias("delta")
+    )
+    return by_day.select(F.to_date("day.start").alias("day"), "src", "dst", "consumed", "ignored", "delta")
+
+
+def start_feedback_days(records: DataFrame, out: str, checkpoint: str, s: Settings = DEFAULT):
+    """Starts a query that appends closed days to the Parquet folder ``out``."""
+    return feedback_days(records, s).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def late_rows(query) -> int:
+    """Rows that a query's state has dropped as too late, over all its progress."""
+    return sum(x.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for x in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"])
+
+
 class Snapshots:
-    """Versions of a table as folders, with a one-row pointer; readers see whole versions only."""
+    """Versions of a table as folders, with a one-row pointer; readers see whole versions only.
+
+    The pointer also keeps what the writer says of the version (``note``).
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -45,18 +75,21 @@ class Snapshots:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
         return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def read(self) -> DataFrame | None:
+    def _said(self) -> dict:
         path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        version = self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-        return self.spark.read.parquet(f"{self.root}/{version}")
+        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0]) if fs.exists(path) else {}
+
+    def read(self) -> DataFrame | None:
+        version = self.current()
+        return None if version is None else self.spark.read.parquet(f"{self.root}/{version}")
 
     def current(self) -> str | None:
-        path, fs = self._pointer()
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(path) else None
+        return self._said().get("version")
 
-    def write(self, table: DataFrame, version: str | None = None) -> str:
+    def note(self) -> dict:
+        return self._said().get("note", {})
+
+    def write(self, table: DataFrame, version: str | None = None, note: dict | None = None) -> str:
         """Writes a version, then moves the pointer; writing the current version again does nothing."""
         version = version or uuid.uuid4().hex
         if self.current() == version:
@@ -67,7 +100,7 @@ class Snapshots:
         hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsparkSession.sessionState().newHadoopConf()
         part = hadoop.Path(f"{self.root}/.{uuid.uuid4().hex}.tmp")
         out = fs.create(part, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps({"version": version, "note": note or {}}).encode()))
         out.close()
         over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
         over[0] = hadoop.Options.Rename.OVERWRITE
@@ -76,16 +109,26 @@ class Snapshots:
 
 
 def fold_feedback(records: DataFrame, store: Snapshots, checkpoint: str, s: Settings = DEFAULT):
-    """Starts a query that folds every batch of records into the next snapshot of the weights, once."""
+    """Starts a query that folds every batch of records into the next snapshot of the weights, once.
+
+    Snapshots are named by the query's id, which its checkpoint keeps, and the batch, so that a replayed batch
+    is known. A query with another checkpoint that takes the store over reads the log from its
+    beginning: it leaves out records no later than the last that was folded before.
+    """
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        version = f"v{epoch:09d}"
-        before = store.read()
+        spark = batch.sparkSession
+        owner = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        version, before, said = f"{owner}-{epoch:09d}", store.read(), store.note()
         if store.current() == version:
             return
-        delta = feedback.deltas(feedback.edge_events(batch), s)
-        empty = batch.sparkSession.createDataFrame([], "src string, dst string, type string, weight double, use_count int, last_updated double, last_touch double")
-        store.write(feedback.apply_deltas(before if before is not None else empty, delta, s).drop("change"), version)
+        floor = said.get("floor") if said.get("owner") == owner else said.get("until")
+        fresh = batch if floor is None else batch.where(F.unix_micros("ts") > floor)
+        last = fresh.agg(F.max(F.unix_micros("ts"))).first()[0]
+        until = max((x for x in (last, said.get("until")) if x is not None), default=None)
+        delta = feedback.deltas(feedback.edge_events(fresh), s)
+        empty = spark.createDataFrame([], "src string, dst string, type string, weight double, use_count int, last_updated double, last_touch double")
+        store.write(feedback.apply_deltas(before if before is not None else empty, delta, s).drop("change"), version, {"owner": owner, "floor": floor, "until": until})
 
     return records.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -107,29 +150,45 @@ class TurnEnd(StatefulProcessor):
     """Joins a turn's assistant texts and says whether to ingest them and what they cite.
 
     Rows of a session: role (user, assistant, end), text, titles (retrieved, on user rows).
-    State is the open turn: texts since it began and the titles shown to it.
+    State is the open turn: texts since it began and the titles shown to it. With ``idle`` seconds and rows
+    that have an event time ts, a session without rows for so long by the watermark is abandoned: its open turn goes.
     """
 
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "text string, titles array<string>")
+        self.handle, self.open = handle, handle.getValueState("open", "text string, titles array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         held = self.open.get() if self.open.exists() else None
         text, titles = (held[0], list(held[1])) if held else ("", [])
+        said = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a session's rows of one batch
         out = []
-        for part in rows:
-            for r in part.sort_values("seq").itertuples():
-                if r.role == "user":
-                    text, titles = "", list(r.titles) if r.titles is not None else []
-                elif r.role == "assistant":
-                    text = f"{text}\n{r.text}" if text else r.text
-                else:
-                    cited = [t for t in titles if t and t in text]
-                    out.append((key[0], text, len(text) >= LEAST_ANSWER, cited))
-                    text, titles = "", []
-        self.open.update((text, titles))
+        for r in said.itertuples():
+            if r.role == "user":
+                text, titles = "", list(r.titles) if r.titles is not None else []
+            elif r.role == "assistant":
+                text = f"{text}\n{r.text}" if text else r.text
+            else:
+                cited = [t for t in titles if t and t in text]
+                out.append((key[0], text, len(text) >= LEAST_ANSWER, cited))
+                text, titles = "", []
+        if text or titles:
+            self.open.update((text, titles))
+        else:
+            self.open.clear()
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if text or titles:
+                self.handle.registerTimer(int(said["at_ms"].max()) + self.idle * 1000)
         yield pd.DataFrame(out, columns=["session", "text", "ingest", "cited"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.open.clear()
+        yield pd.DataFrame([], columns=["session", "text", "ingest", "cited"])
+
     def close(self) -> None:
         pass
 
@@ -148,13 +207,36 @@ def _turn_ends(messages: DataFrame) -> DataFrame:
     return one.where("ended").select("session", "text", (F.length("text") >= LEAST_ANSWER).alias("ingest"), cited.alias("cited"))
 
 
-def turn_ends(messages: DataFrame) -> DataFrame:
+_ENDS = "session string, text string, ingest boolean, cited array<string>"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def turn_ends(messages: DataFrame, idle: int | None = None) -> DataFrame:
     """messages(session, seq, role, text, titles) to session, text, ingest, cited, a row for every end of a turn.
 
-    On a stream the open turn is state; a table is cut into turns by a window.
+    On a stream the open turn is state, and rows of a session must not come in a batch before one with
+    rows of lower seq; ``idle`` seconds, on a stream with a watermark on ts, close abandoned sessions. A table is cut
+    into turns by a window.
     """
     if not messages.isStreaming:
         return _turn_ends(messages)
-    return messages.groupBy("session").transformWithStateInPandas(
-        TurnEnd(), outputStructType="session string, text string, ingest boolean, cited array<string>", outputMode="Append", timeMode="None"
-    )
+    timed = messages if idle is None else messages.withColumn("at_ms", F.unix_millis("ts"))
+    keyed = timed.withColumn("session", F.col("session").cast("string")).groupBy("session")
+    return keyed.transformWithStateInPandas(TurnEnd(idle), outputStructType=_ENDS, outputMode="Append", timeMode="None" if idle is None else "EventTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Within, queries start with the state store that keyed state needs."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def start_turn_ends(messages: DataFrame, out: str, checkpoint: str, idle: int | None = None):
+    """Starts a query that appends the ends of turns to the Parquet folder ``out``."""
+    with keyed_state(messages.sparkSession):
+        return turn_ends(messages, idle).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
