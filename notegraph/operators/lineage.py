@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The URI of a folder of its own under the shared one, for what a call writes and leaves."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpointed in the shared folder, so that lineage stays short."""
     shared_dir(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
-from notegraph.operators import feedback, ingest, sessions
+from notegraph.operators import feedback, ingest, lineage, sessions
 from notegraph.plans import sql as S
 from notegraph.settings import DEFAULT
 from notegraph.sources import readers, tables
@@ -327,9 +327,18 @@ def turn_dedupe(spark, d):
 
 @query(S.with_(S.EVENTS, DELTAS) + f"SELECT src, dst, 'unknown' AS type, {S.round4('greatest(0.05::DOUBLE, least(2.0::DOUBLE, 0.5::DOUBLE + delta))')} AS weight, use_count_delta AS use_count FROM deltas")
 def feedback_stream(spark, d):
-    """The batch form of the feedback stream: the snapshot after all events are folded into no weights."""
-    none = spark.createDataFrame([], "src string, dst string, type string, weight double, use_count int, last_updated double, last_touch double")
-    return feedback.apply_deltas(none, feedback.deltas(tables.edge_events(spark, d))).select("src", "dst", "type", "weight", "use_count")
+    """Events as a log of records, folded by a stream into snapshots of the weights; the last snapshot."""
+    edge = F.array(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit("pre").alias("type")))
+    of = lambda *kinds: F.when(F.col("event").isin(*kinds), edge)
+    records = tables.edge_events(spark, d).select(
+        F.col("src").alias("session_id"), F.date_format("ord.ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), (F.col("event") != "consumed_unsatisfied").alias("satisfied"),
+        of("consumed", "consumed_unsatisfied").alias("consumed_edges"), of("ignored").alias("ignored_edges"), of("legacy").alias("edges_used"),
+    )
+    folder = lineage.new_folder(spark, "feedback")
+    records.write.json(f"{folder}/log")
+    store = streams.Snapshots(spark, f"{folder}/weights")
+    streams.fold_feedback(streams.feedback_source(spark, f"{folder}/log"), store, f"{folder}/checkpoint").awaitTermination()
+    return store.read().select("src", "dst", "type", "weight", "use_count")
 
 
 _MESSAGES = """messages AS (SELECT conv_id AS session, turn * 2 AS seq, CASE role WHEN 'system' THEN 'end' ELSE role END AS role, text, CASE WHEN role = 'user' THEN [string_split(text, ' ')[1], ''] END AS titles FROM (SELECT conv_id, turn, m.role AS role, m.text AS text FROM (SELECT conv_id, turn, min({'role': role, 'text': text}) AS m FROM conversations GROUP BY ALL))
@@ -342,9 +351,25 @@ ends AS (SELECT session, coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER
 @query(S.with_(_MESSAGES) + "SELECT session, text, length(text) >= 20 AS ingest, array_to_string(list_filter(titles, lambda x: x <> '' AND contains(text, x)), ',') AS cited FROM ends")
 def turn_ends(spark, d):
     """The batch form of the turn-end stream: what was said in each turn, and which of its titles it cites."""
+    return streams.turn_ends(_messages(spark, d)).withColumn("cited", F.array_join("cited", ","))
+
+
+@query(ORACLE["turn_ends"].replace("SELECT session, text,", "SELECT session::VARCHAR AS session, text,"))
+def turn_ends_stream(spark, d):
+    """The same from a stream: messages come in three parts, and each time the query is started anew from its checkpoint."""
+    messages, folder = _messages(spark, d), lineage.new_folder(spark, "turns")
+    for least, most in ((-1, 3), (3, 9), (9, None)):
+        part = messages.where(F.col("seq") > least)
+        (part if most is None else part.where(F.col("seq") <= most)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(messages.schema).parquet(f"{folder}/in")
+        streams.start_turn_ends(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("session string, text string, ingest boolean, cited array<string>").parquet(f"{folder}/out").withColumn("cited", F.array_join("cited", ","))
+
+
+def _messages(spark, d):
     c = tables.table(spark, d, "conversations")
     one = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
     said = one.select(F.col("conv_id").alias("session"), (F.col("turn") * 2).alias("seq"), F.when(F.col("m.role") == "system", "end").otherwise(F.col("m.role")).alias("role"), F.col("m.text").alias("text"),
                       F.when(F.col("m.role") == "user", F.array(F.get(F.split("m.text", " "), F.lit(0)), F.lit(""))).alias("titles"))
     ends = c.where("turn % 4 = 3").select(F.col("conv_id").alias("session"), (F.col("turn") * 2 + 1).alias("seq"), F.lit("end").alias("role"), F.lit("").alias("text"), F.lit(None).cast("array<string>").alias("titles")).distinct()
-    return streams.turn_ends(said.unionByName(ends)).withColumn("cited", F.array_join("cited", ","))
+    return said.unionByName(ends)
