@@ -6,7 +6,8 @@ suffix of every benchmark item is then binary-searched in each shard's array; wh
 shares at least a window of words with it is a verbatim match, which is extended to
 its longest form and reported with its location. A training suffix that leaves the
 benchmark's word pairs before a window is full can match none, so only the others
-enter the array; that changes no result.
+enter the array; that changes no result. Windows that are equal, in one item or in many, are one query, so that
+what is found grows with the words of the texts and not with how often the benchmark repeats itself.
 
 The benchmark is the stated query set. It goes to the workers in blocks of at most
 ``block_bytes`` of text (a longer item is a block of its own), which are read one after
@@ -17,7 +18,7 @@ stored, one row a text and match, and put together by text.
 Edge cases: null or word-less texts have no words and are never contaminated; null
 items match nothing. A very long text is a shard of its own. An item of fewer than
 ``window`` words is one window of its own length. Items that repeat in text (a tie) are
-each reported under their own id; an item whose id is null still hits but has no id to
+all listed in ``items``, and the first one's places in ``matches``; an item whose id is null still hits but has no id to
 list. Rows of documents that repeat are judged row by row. Empty tables give empty
 results, and an empty benchmark contaminates nothing. ``find_matches`` puts its columns
 over those of their names and leaves others alone; ``drop_contaminated`` passes all
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import LOWER, Roller, kept_rows, map_blocks, packed, stored, text_buffers, words
+from notegraph.llm.common import LOWER, Roller, kept_rows, map_blocks, mix, packed, stored, text_buffers, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -70,7 +71,9 @@ class Items:
                 lengths.append(np.full(len(s), size))
                 owner.append(np.full(len(s), i))
         cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-        self.start, self.length, self.owner, self.first, self.ids = cat(starts), cat(lengths), cat(owner), first, ids
+        self.first, self.ids = first, pa.array(ids, pa.int64())
+        self.start, self.length, self.owner = cat(starts), cat(lengths), cat(owner)
+        self._windows_once()
         v = max(len(self.vocab), 1)
         inside = np.ones(max(len(self.word) - 1, 0), bool)
         inside[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(self.word))] - 1] = False
@@ -79,6 +82,23 @@ class Items:
         self.width = int(self.length.max()) if len(self.length) else 1
         self.shortest = int(self.length.min()) if len(self.length) else 1 << 60
 
+    def _windows_once(self) -> None:
+        """Equal windows become one query, at its first place; ``holders`` lists the items of each."""
+        name, live = self.length.astype(np.uint64), np.ones(len(self.start), bool)
+        for j in range(int(self.length.max()) if len(self.length) else 0):
+            live = self.length > j
+            name[live] = mix(name[live] * np.uint64(0x9E3779B97F4A7C15) + self.word[self.start[live] + j].astype(np.uint64))
+        _, place, of = np.unique(name, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([of, self.owner], 1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+        self.holders = np.searchsorted(pairs[:, 0], np.arange(len(place) + 1)), pairs[:, 1]
+        self.start, self.length, self.owner = self.start[place], self.length[place], self.owner[place]
+
+    def ids_of(self, queries: np.ndarray) -> np.ndarray:
+        """The ids, without null, of all items that hold any of the windows."""
+        offsets, owner = self.holders
+        held = np.unique(np.concatenate([owner[offsets[q] : offsets[q + 1]] for q in queries])) if len(queries) else np.zeros(0, np.int64)
+        return np.unique(self.ids.take(pa.array(held)).drop_null().to_numpy(zero_copy_only=False))
+
 
 class Shard:
     """Suffix array of a block of texts over the benchmark's vocabulary.
@@ -169,11 +189,11 @@ class Shard:
         return (result < 0) | (or_equal & (result == 0))
 
 
-_MATCHES = pa.list_(pa.struct([("item", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
+_MATCH = [("item", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]
 
 
 def _extend(items: Items, query: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest matches: each occurrence that the one before it does not already cover, with its full length."""
+    """Longest matches at the windows' first places: each occurrence that the one before it does not already cover, with its full length."""
     diag = np.stack([items.owner[query], pos - items.start[query]], 1)
     order = np.lexsort((pos, diag[:, 1], diag[:, 0]))
     query, pos, diag = query[order], pos[order], diag[order]
@@ -181,7 +201,17 @@ def _extend(items: Items, query: np.ndarray, pos: np.ndarray) -> tuple[np.ndarra
     starts[1:] = (diag[1:] != diag[:-1]).any(1) | (pos[1:] != pos[:-1] + 1)
     at = np.flatnonzero(starts)
     ends = np.append(at[1:], len(pos)) - 1
-    return query[at], pos[at], pos[ends] - pos[at] + items.length[query[ends]]
+    query, pos, length = query[at], pos[at], pos[ends] - pos[at] + items.length[query[ends]]
+    order = np.lexsort((query, -length, pos))
+    query, pos, length = query[order], pos[order], length[order]
+    reach = np.maximum.accumulate(pos + length)
+    longer = np.ones(len(pos), bool)
+    longer[1:] = pos[1:] + length[1:] > reach[:-1]  # not within another
+    return query[longer], pos[longer], length[longer]
+
+
+def _lists(per: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), values)
 
 
 def _judge(ids: list, texts: list, window: int):
@@ -198,15 +228,18 @@ def _judge(ids: list, texts: list, window: int):
         hit = np.cumsum(delta)[: shard.n] > 0
         words_hit = np.concatenate([[0], np.cumsum(hit)])
         n_hit = words_hit[shard.first[1:]] - words_hit[shard.first[:-1]]
-        matches: list[list] = [[] for _ in range(n_docs)]
-        if len(query):
-            q, p, length = _extend(items, query, pos)
-            doc = np.searchsorted(shard.first, p, "right") - 1
-            for d, i, w, iw, n in zip(doc, items.owner[q], p - shard.first[doc], items.start[q] - items.first[items.owner[q]], length):
-                matches[d].append({"item": items.ids[i], "doc_word": w, "item_word": iw, "n_words": n})
+        of_doc = lambda at: np.searchsorted(shard.first, at, "right") - 1
+        q, p, length = _extend(items, query, pos) if len(query) else (query, pos, pos)
+        doc = of_doc(p)
+        values = [items.ids.take(pa.array(items.owner[q])), pa.array(p - shard.first[doc]), pa.array(items.start[q] - items.first[items.owner[q]]), pa.array(length)]
+        matches = _lists(np.bincount(doc, minlength=n_docs), pa.StructArray.from_arrays(values, fields=[pa.field(*f) for f in _MATCH]))
+        met = np.unique(of_doc(pos) * len(items.start) + query) if len(query) else query  # a window once a text
+        cuts = np.searchsorted(met, np.arange(n_docs + 1) * len(items.start))
+        held = [items.ids_of(met[a:b] % len(items.start)) if a < b else () for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids_held = _lists(np.array([len(h) for h in held], np.int64), pa.array(np.concatenate([np.zeros(0, np.int64), *held]), pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(shard.per, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(matches, _MATCHES)],
-            names=[*batch.schema.names, "n_words", "n_hit", "matches"],
+            [*batch.columns, pa.array(shard.per, pa.int64()), pa.array(n_hit, pa.int64()), matches, ids_held],
+            names=[*batch.schema.names, "n_words", "n_hit", "matches", "items"],
         )
 
     return map_blocks(block)
@@ -227,7 +260,8 @@ class _Clean:
         return np.bincount(np.searchsorted(shard.first, pos, "right") - 1, minlength=len(shard.per)) == 0
 
 
-_OUT = "n_words long, n_hit long, matches array<struct<item:long,doc_word:long,item_word:long,n_words:long>>"
+_MATCHES_SQL = "array<struct<item:long,doc_word:long,item_word:long,n_words:long>>"
+_OUT = f"n_words long, n_hit long, matches {_MATCHES_SQL}, items array<long>"
 
 
 def _schema(df: DataFrame) -> str:
@@ -254,12 +288,13 @@ def _text_name(text) -> list:
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: its columns (but those named as follows), n_words, n_hit, and the longest verbatim matches of at least a window.
+    """Per row of docs: its columns (but those named as follows), n_words, n_hit, the longest verbatim matches of at least a window, and items.
 
-    matches: item (id), doc_word and item_word (where they start), n_words. With more
-    than one block, hit words are counted from the union of all blocks' matches.
+    matches: item (id), doc_word and item_word (where they start), n_words; of items that share a window
+    the first is named, at its first place, and what lies within another match is left out. items: the ids of
+    all items of which a window occurs. With more than one block, hit words are counted from the union of all blocks' matches.
     """
-    docs = docs.drop("n_words", "n_hit", "matches")
+    docs = docs.drop("n_words", "n_hit", "matches", "items")
     judged = lambda df, block: df.mapInArrow(_judge(*block, window), f"{_schema(df)}, {_OUT}")
     blocks = item_blocks(items, block_bytes)
     first, second = next(blocks), next(blocks, None)
@@ -267,18 +302,23 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
         return judged(docs, first)
     texts, found = docs.select("text"), None
     for block in chain((first, second), blocks):
-        hits = judged(texts, block).select(*_text_name(F.col("text")), F.explode("matches").alias("m"))
-        one = stored(hits.distinct())
+        hits = judged(texts, block).where("n_hit > 0").select(*_text_name(F.col("text")), "matches", "items")
+        one = stored(hits.dropDuplicates(["_k1", "_k2"]))
         found = one if found is None else found.unionAll(one)
-    every = stored(found.groupBy("_k1", "_k2").agg(F.collect_list("m").alias("_m")))
-    counted = judged(docs, ([], [])).drop("n_hit", "matches").select("*", *_text_name(F.col("text")))
-    out = counted.join(every, ["_k1", "_k2"], "left").withColumn("matches", F.coalesce("_m", F.array().cast(_OUT.rpartition("matches ")[2]))).drop("_k1", "_k2", "_m")
-    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("s"), (m["doc_word"] + m["n_words"]).alias("e"))))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
-    step = lambda a, x: F.struct(
-        (a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["at"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["at"], x["e"]).alias("at")
-    )
-    return out.withColumn("n_hit", F.aggregate(spans, zero, step, lambda a: a["n"]))
+    every = stored(found.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("matches")).alias("_m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_i")))
+    counted = judged(docs, ([], [])).drop("n_hit", "matches", "items").select("*", *_text_name(F.col("text")))
+    out = counted.join(every, ["_k1", "_k2"], "left")
+    # the longest at each place first, then the least item
+    order = F.array_sort(F.transform(F.coalesce("_m", F.array().cast(_MATCHES_SQL)), lambda m: F.struct(m["doc_word"].alias("s"), (-m["n_words"]).alias("n"), m["item"].alias("i"), m["item_word"].alias("w"))))
+    zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("at"), F.array().cast(_MATCHES_SQL).alias("kept"))
+    told = lambda x: F.struct(x["i"].alias("item"), x["s"].alias("doc_word"), x["w"].alias("item_word"), (-x["n"]).alias("n_words"))
+
+    def step(a, x):
+        end = x["s"] - x["n"]
+        return F.when(end <= a["at"], a).otherwise(F.struct((a["hit"] + end - F.greatest(x["s"], a["at"])).alias("hit"), end.alias("at"), F.concat(a["kept"], F.array(told(x))).alias("kept")))
+
+    folded = out.withColumn("_f", F.aggregate(order, zero, step))
+    return folded.select(*(folded[c] for c in docs.columns), "n_words", F.col("_f.hit").alias("n_hit"), F.col("_f.kept").alias("matches"), F.coalesce("_i", F.array().cast("array<long>")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -291,7 +331,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, b
 
 
 def digest(matched: DataFrame) -> DataFrame:
-    ids = F.array_sort(F.array_distinct(F.transform(F.filter("matches", lambda m: m["item"].isNotNull()), lambda m: m["item"].cast("string"))))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return matched.select(
         "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )

@@ -1,11 +1,13 @@
 """Each operator against its plain version, with nulls, ties, repeats, empty tables and clashing columns."""
 
+import os
 import random
 import re
 import textwrap
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -199,7 +201,10 @@ def test_quality_scores_against_a_plain_model(spark, sf):
 def judged(docs, items, window=10):
     f = decontam._judge([i for i, _ in items], [t for _, t in items], window)
     rows = [x for b in f([pa.RecordBatch.from_arrays([pa.array(docs, pa.string())], names=["text"])]) for x in b.to_pylist()]
-    return [(x["n_words"], x["n_hit"], sorted({str(m["item"]) for m in x["matches"]})) for x in rows]
+    for x in rows:  # the matches cover what is hit, and name items that are listed
+        covered = {w for m in x["matches"] for w in range(m["doc_word"], m["doc_word"] + m["n_words"])}
+        assert len(covered) == x["n_hit"] and {m["item"] for m in x["matches"]} <= set(x["items"])
+    return [(x["n_words"], x["n_hit"], sorted(map(str, x["items"]))) for x in rows]
 
 
 def test_decontamination_against_all_windows(sf, spark):
@@ -220,13 +225,34 @@ def test_longest_matches_and_blocks_of_items(spark):
     items = spark.createDataFrame([(7, f"pre {long} post"), (8, "tiny one"), (9, None), (10, long)], "item_id long, text string")
     for block in (1 << 20, 10):
         got = decontam.find_matches(docs.select("doc_id", "text"), items, block_bytes=block)
-        rows = sorted((r["doc_id"], r["n_hit"], sorted((m["item"], m["doc_word"], m["item_word"], m["n_words"]) for m in r["matches"])) for r in got.collect())
-        assert rows == [(1, 30, [(7, 2, 1, 30), (10, 2, 0, 30)]), (1, 30, [(7, 2, 1, 30), (10, 2, 0, 30)]), (2, 0, []), (3, 0, []), (4, 2, [(8, 0, 0, 2)])]
+        rows = sorted((r["doc_id"], r["n_hit"], r["items"], sorted((m["item"], m["doc_word"], m["item_word"], m["n_words"]) for m in r["matches"])) for r in got.collect())
+        assert rows == [(1, 30, [7, 10], [(7, 2, 1, 30)]), (1, 30, [7, 10], [(7, 2, 1, 30)]), (2, 0, [], []), (3, 0, [], []), (4, 2, [8], [(8, 0, 0, 2)])]
     assert [r["doc_id"] for r in decontam.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [2, 3]
     assert decontam.drop_contaminated(docs, items).columns == docs.columns
     assert decontam.find_matches(docs, items.limit(0)).where("n_hit > 0").count() == 0 and decontam.find_matches(none(spark), items).count() == 0
 
 
+def test_repeats_do_not_multiply():
+    """Ten thousand equal items, and as many that share a window, against a text of equal words: memory stays under 1 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa
+from notegraph.llm import decontam
+items = [f"{'w ' * 12}x{i}" if i % 2 else "w" for i in range(20_000)]
+f = decontam._judge(list(range(20_000)), items, 10)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = [b for b in f([pa.RecordBatch.from_arrays([pa.array(["w " * 100_000, "none"])], names=["text"])])]
+rows = [r for b in out for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4))]
+assert [r[:2] for r in rows] == [(100_000, 100_000), (1, 0)] and [len(r[2]) for r in rows] == [20_000, 0]
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_000_000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 # -------------------------------------------------------------------- simhash
 
 
