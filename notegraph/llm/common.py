@@ -105,6 +105,31 @@ def gathered(df: DataFrame) -> list:
         return df.select("*").collect()
 
 
+#: Folders of stored tables, oldest first.
+_tables: list[str] = []
+
+
+def hadoop(spark: SparkSession, path: str, f: Callable):
+    """f(file system, path), of Hadoop's."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return f(at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at)
+
+
+@contextmanager
+def tables_let_go(spark: SparkSession):
+    """Within, settle(df) stores df, after which all tables that were stored within before go."""
+    began = len(_tables)
+
+    def settle(df: DataFrame) -> DataFrame:
+        old, out = _tables[began:], stored(df)
+        for path in old:
+            hadoop(spark, path, lambda fs, at: fs.delete(at, True))
+            _tables.remove(path)
+        return out
+
+    yield settle
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again; the shuffles that made it go with the write.
 
@@ -115,8 +140,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     with _shuffles_let_go(spark):
         df.select("*").write.parquet(path)  # a new plan, which takes the setting
-    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    held.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(held)
+    hadoop(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import consumed, shared_dir, stored
+from notegraph.llm.common import consumed, hadoop, shared_dir, stored
 
 RENAMED, REORDERED, MISSING, NARROWED = 1, 2, 4, 8
 ID = b"PARQUET:field_id"
@@ -193,12 +193,6 @@ def rewrite(spark: SparkSession, folder: str, evolved: pa.Schema, defaults: dict
     return done
 
 
-def hadoop(spark: SparkSession, path: str, f: Callable):
-    """f(file system, path), of Hadoop's."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return f(at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at)
-
-
 def _uri(path: str) -> str:
     """file:/x, as Hadoop writes it, is file:///x."""
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path

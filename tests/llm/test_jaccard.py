@@ -1,8 +1,13 @@
 """Near-duplicates by Jaccard similarity against all pairs of texts."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from notegraph.llm import common, jaccard, simhash
 
@@ -83,3 +88,49 @@ def test_the_stage_drops_a_near_copy_of_distant_fingerprint(spark):
             break
     docs = spark.createDataFrame([(1, a), (2, b), (3, "something else altogether, by far")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, "").collect()) == [1, 3]
+
+
+def test_tiles_of_long_sets_are_bounded_in_bytes(spark):
+    """2,000 sets of 20,000 shingles in one bucket: no tile holds more than three times a half's bytes, and every two nodes meet."""
+    common.ship(spark)
+    open_ = spark.range(2000).select(F.lit(1).alias("key"), F.xxhash64("id").alias("node"), F.lit(20_000).alias("n"), F.col("id").alias("label"))
+    dealt = jaccard._dealt(open_)
+    assert dealt.groupBy("key", "i", "j").agg((F.sum("n") * 8).alias("b")).agg(F.max("b")).first()[0] <= 3 * jaccard.TILE_BYTES
+    halves = dealt.select("i").union(dealt.select("j")).distinct().count()
+    assert dealt.select("i", "j").distinct().count() == halves * (halves + 1) // 2
+    code = """
+import resource, numpy as np
+from notegraph.llm import jaccard
+rng = np.random.default_rng(1)
+base = rng.integers(0, 2**63, 21_000, dtype=np.uint64)
+sets = [np.unique(np.where(rng.random(20_000) < 0.3, rng.integers(0, 2**63, 20_000, dtype=np.uint64), base[:20_000])) for _ in range(3 * jaccard.TILE_BYTES // 160_000)]
+assert jaccard.joined(np.arange(len(sets)), sets) == [] and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_200_000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+"""
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2])}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_small_tiles_join_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    base = edited(rng, 60, 0)
+    rows = []
+    for c in range(90):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            copy[rng.randrange(60)] = f"e{rng.randint(0, 99999)}"
+        rows.append((c, " ".join(copy)))
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 2000)
+    common.ship(spark)
+    want = plain_groups(rows)
+    kept = sorted(r["doc_id"] for r in jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted({min(i for i in want if want[i] == c) for c in set(want.values())})
+
+
+def test_tables_of_earlier_stages_go(spark):
+    kept = common.stored(spark.range(3))
+    with common.tables_let_go(spark) as settle:
+        began = len(common._tables)
+        a = settle(common.stored(spark.range(5)).where("id > 0"))
+        b = settle(common.stored(a).where("id > 1"))
+        assert len(common._tables) == began + 1 and b.count() == 3
+    assert kept.count() == 3
