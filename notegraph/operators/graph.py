@@ -60,54 +60,60 @@ def _measured(a: DataFrame, b: DataFrame, on: Column, once) -> DataFrame:
     return pairs.select(left["name"].alias("src"), right["name"].alias("dst"), jaccard(left["tags"], right["tags"]).alias("tag_jaccard"), overlap(left["tokens"], right["tokens"]).alias("token_overlap"))
 
 
+def _by_tags(t: DataFrame, least: float, *within: str) -> DataFrame:
+    """Pairs of different notes of which the Jaccard index of tags is at least ``least``: src, dst, tag_jaccard, token_overlap.
+
+    Sets of tags are compared once each, however many notes have them. An index of t takes t / (1 + t) of both
+    sizes in shared tags. Where one is enough both sets are small: such a key carries both sizes, so that a tag
+    meets only sets it can suffice for. Where it is not, the key is two tags. Each pair of sets comes from its first
+    shared tag, or two, and then names its notes.
+    """
+    tags, none = F.col("tags"), F.array().cast("array<struct<key:array<string>,own:int,other:int>>")
+    share = least / (1 + least)
+    most = int(1 / share + 1e-9)
+    partners = F.sequence(F.lit(1), F.lit(most) - F.size(tags))
+    post = lambda key, own, other: F.struct(key.alias("key"), own.cast("int").alias("own"), other.cast("int").alias("other"))
+    single = F.flatten(F.transform(tags, lambda x: F.transform(partners, lambda m: post(F.array(x), F.size(tags), m))))
+    double = F.flatten(F.transform(tags, lambda x, i: F.transform(F.slice(tags, i + 2, F.size(tags)), lambda y: post(F.array(x, y), F.lit(0), F.lit(0)))))
+    every = F.concat(F.when(F.size(tags) < most, single).otherwise(none), F.when(F.size(tags) > 1, double).otherwise(none))
+    posted = t.select(*within, "tags").distinct().select(*within, "tags", F.explode(every).alias("p")).select(*within, "tags", "p.*")
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
+    for c in within:
+        on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    left, right = F.col("l.tags"), F.col("r.tags")
+    needed = F.when(F.size(left) + F.size(right) <= most, 1).otherwise(2)
+    once = (F.size("l.key") == needed) & (F.slice(F.array_intersect(left, right), 1, needed) == F.col("l.key"))
+    sets = posted.alias("l").join(posted.alias("r"), on & once & (jaccard(left, right) >= least))
+    pairs = sets.select(*(F.col(f"l.{c}").alias(c) for c in within), left.alias("a"), right.alias("b"), jaccard(left, right).alias("tag_jaccard"))
+    side = lambda key, note: t.select(*within, F.col("tags").alias(key), F.struct("name", "tokens").alias(note))
+    both = pairs.join(side("a", "x"), [*within, "a"]).join(side("b", "y"), [*within, "b"]).where("x.name <> y.name")
+    return both.select(F.col("x.name").alias("src"), F.col("y.name").alias("dst"), "tag_jaccard", overlap(F.col("x.tokens"), F.col("y.tokens")).alias("token_overlap"))
+
+
 def same_dir_pairs(notes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Pairs of one directory with common words or tags: src, dst, tag_jaccard, token_overlap.
 
     Pairs with enough common words share one that is not among either note's most frequent
-    ones, and come from their rarest shared word; others come from their first shared tag.
+    ones, and come from their rarest shared word; others come from their first shared tag, or two.
     """
     t = _rare_first(with_tokens(notes))
     note = F.struct("name", "tags", "tokens").alias("n")
     most = s.same_dir_overlap
     by_word = t.select("dir", F.explode(F.slice("tokens", 1, F.greatest(F.size("tokens") - (most - 1), F.lit(0)))).alias("key"), note)
-    by_tag = t.select("dir", F.explode("tags").alias("key"), note)
     on = (F.col("l.dir") == F.col("r.dir")) & (F.col("l.key") == F.col("r.key"))
 
     def words(left, right):
         shared = F.array_intersect(left["tokens"], right["tokens"])
         return (F.size(shared) >= most) & (F.get(shared, F.lit(0)) == F.col("l.key"))
 
-    def tags(left, right):
-        first = F.get(F.array_intersect(left["tags"], right["tags"]), F.lit(0)) == F.col("l.key")
-        return first & (jaccard(left["tags"], right["tags"]) >= s.same_dir_jaccard) & (overlap(left["tokens"], right["tokens"]) < most)
-
-    return _measured(by_word, by_word, on, words).unionAll(_measured(by_tag, by_tag, on, tags))
+    few = _by_tags(t, s.same_dir_jaccard, "dir").where(F.col("token_overlap") < most)
+    return _measured(by_word, by_word, on, words).unionAll(few)
 
 
 def tag_pairs(notes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Pairs of like tags, from any directory.
-
-    A Jaccard index of t takes t / (1 + t) of both sets' sizes in shared tags. Where that
-    is more than one tag, pairs are joined on two tags at once, so that a tag that most
-    notes have joins nobody by itself; where one is enough both sets are small. Each pair
-    comes from its first shared tag, or two.
-    """
-    t = with_tokens(notes)
-    share = s.tag_jaccard_low / (1 + s.tag_jaccard_low)
-    tags = F.col("tags")
-    single = F.when(F.size(tags) * share <= 1, F.transform(tags, lambda x: F.array(x))).otherwise(F.array().cast("array<array<string>>"))
-    double = F.flatten(F.transform(tags, lambda x, i: F.transform(F.slice(tags, i + 2, F.size(tags)), lambda y: F.array(x, y))))
-    posted = t.select(F.explode(F.concat(single, F.when(F.size(tags) > 1, double).otherwise(F.array().cast("array<array<string>>")))).alias("key"), F.struct("name", "tags", "tokens").alias("n"))
-
-    def once(left, right):
-        both = F.size(left["tags"]) + F.size(right["tags"])
-        needed = F.when(both * share <= 1 + 1e-9, 1).otherwise(2)
-        shared = F.array_intersect(left["tags"], right["tags"])
-        close = jaccard(left["tags"], right["tags"])
-        near = (close >= s.tag_jaccard) | ((close >= s.tag_jaccard_low) & (overlap(left["tokens"], right["tokens"]) >= s.tag_overlap))
-        return (F.size("l.key") == needed) & (F.slice(shared, 1, needed) == F.col("l.key")) & near
-
-    return _measured(posted, posted, F.col("l.key") == F.col("r.key"), once)
+    """Pairs of like tags, from any directory."""
+    close = (F.col("tag_jaccard") >= s.tag_jaccard) | (F.col("token_overlap") >= s.tag_overlap)
+    return _by_tags(with_tokens(notes), s.tag_jaccard_low).where(close)
 
 
 def dated_links(names: DataFrame, years: tuple) -> DataFrame:

@@ -140,14 +140,31 @@ WORD_SQL = f"q(query_id, query) AS (VALUES {_VALUES}), raw AS (SELECT query_id::
 KEPT_SQL = f"kept AS (SELECT *, list_filter(t, lambda x: NOT list_contains({S.items(COMMON_QUERY_WORDS)}, x) AND NOT regexp_matches(x, '^[{FILLER_CHARS}]+$')) AS k FROM raw), asked AS (SELECT query_id, query, CASE WHEN len(k) > 0 THEN k ELSE t END AS terms FROM kept)"
 
 
-@query(S.with_(WORD_SQL) + f"SELECT query_id, len(t) >= 3 AND len(list_filter(t, lambda x: NOT list_contains({S.items(COMMON_QUERY_WORDS)}, x))) = 0 AS common FROM raw")
+# What turns of conversations and benchmark texts ask, with common words before some and around others.
+_PRE = ["ai 视频 工具", "数据 模型 ", "怎么 the ", ""]
+_ASKS_SQL = f"""asks AS (SELECT 't' || conv_id || '-' || turn AS ask, {S.items(_PRE)}[1 + (conv_id + turn) % 4] || CASE WHEN (conv_id + turn) % 8 = 0 THEN '' ELSE text END AS query FROM conversations
+  UNION ALL SELECT 'b' || item_id, {S.items(_PRE)}[1 + item_id % 4] || text || ' 可以' FROM benchmark),
+raw AS (SELECT ask, query, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '') AS t FROM asks)"""
+
+
+def _asks(spark, d):
+    pre = lambda i: F.get(T.strings(_PRE), (i % 4).cast("int"))
+    c, at = tables.table(spark, d, "conversations"), F.col("conv_id") + F.col("turn")
+    turns = c.select(F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("ask"), F.concat(pre(at), F.when(at % 8 == 0, "").otherwise(F.col("text"))).alias("query"))
+    b = tables.table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("ask"), F.concat(pre(F.col("item_id")), "text", F.lit(" 可以")).alias("query"))
+    return turns.unionAll(b)
+
+
+@query(S.with_(_ASKS_SQL) + f"SELECT ask, len(t) >= 3 AND len(list_filter(t, lambda x: NOT list_contains({S.items(COMMON_QUERY_WORDS)}, x))) = 0 AS common FROM raw")
 def common_gate(spark, d):
-    return search.query_frame(spark, list(enumerate(WORDS))).select("query_id", T.all_common(F.col("query")).alias("common"))
+    """Of every turn and benchmark text, whether it says common words only."""
+    return _asks(spark, d).select("ask", T.all_common(F.col("query")).alias("common"))
 
 
-@query(S.with_(WORD_SQL, KEPT_SQL) + "SELECT query_id, array_to_string(terms, ' ') AS terms FROM asked")
+@query(S.with_(_ASKS_SQL) + f"SELECT ask, md5(array_to_string(CASE WHEN len(k) > 0 THEN k ELSE t END, ' ')) AS terms_md5 FROM (SELECT *, list_filter(t, lambda x: NOT list_contains({S.items(COMMON_QUERY_WORDS)}, x) AND NOT regexp_matches(x, '^[{FILLER_CHARS}]+$')) AS k FROM raw)")
 def filler_filter(spark, d):
-    return search.query_frame(spark, list(enumerate(WORDS))).select("query_id", F.array_join(T.search_terms(F.col("query")), " ").alias("terms"))
+    """What is left of every turn and benchmark text without common and filler words."""
+    return _asks(spark, d).select("ask", F.md5(F.array_join(T.search_terms(F.col("query")), " ").cast("binary")).alias("terms_md5"))
 
 
 @query(S.with_(S.PAGES) + "SELECT DISTINCT src, target AS dst FROM page_links WHERE target IN (SELECT target FROM page_links) AND target IN (SELECT unnest(string_split(name, ' ')) FROM pages_)")
