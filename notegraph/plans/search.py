@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
-from notegraph.operators import evaluate, iterate, resolve, router, search
+from notegraph.operators import evaluate, index, iterate, lineage, resolve, router, search
 from notegraph.plans import base, graph
 from notegraph.plans import sql as S
 from notegraph.settings import LINE_SOURCE, OTHER_SOURCE_WEIGHT, SKILL_SOURCE, SOURCE_WEIGHTS
@@ -120,6 +120,13 @@ def ngram_search(spark, d):
     return search.ngram_search(search.postings(n), n, asked(spark)).select("query_id", "rank", "note_ord", "score")
 
 
+@query(ORACLE["ngram_search"])
+def ngram_search_stored(spark, d):
+    """The same from a stored index, of which only the asked features are read."""
+    held = index.write(tables.notes(spark, d), lineage.new_folder(spark, "index"))
+    return index.ngram_search(held, asked(spark))
+
+
 @query(S.with_(*ROUTED, base.INDEX, f"open_ AS (SELECT query_id, query FROM raw WHERE {_COMMON} AND query_id IN (SELECT query_id FROM summary WHERE routing = 'none'))", ngram_sql("open_", 8)) + "SELECT query_id, rank, name, score AS match_score, floor(score / 100 * 1e4 + 0.5) / 1e4 AS rank_score FROM ngram_hits JOIN notes USING (note_ord)")
 def router_fallback(spark, d):
     n, _, summary = routed(spark, d)
