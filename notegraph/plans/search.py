@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
-from notegraph.operators import evaluate, index, iterate, lineage, resolve, router, search
+from notegraph.operators import evaluate, index, iterate, lineage, resolve, router, search, sqlsearch
 from notegraph.plans import base, graph
 from notegraph.plans import sql as S
 from notegraph.settings import LINE_SOURCE, OTHER_SOURCE_WEIGHT, SKILL_SOURCE, SOURCE_WEIGHTS
@@ -127,6 +127,14 @@ def ngram_search_stored(spark, d):
     return index.ngram_search(held, asked(spark))
 
 
+@query(ORACLE["ngram_search"])
+def search_sql(spark, d):
+    """The same by a table function of SQL, once a query."""
+    sqlsearch.register(spark, index.write(tables.notes(spark, d), lineage.new_folder(spark, "index")))
+    found = spark.sql("SELECT a.query_id, s.rank, s.note_ord, s.score FROM {asked} a, LATERAL search(a.query, 10) AS s", asked=asked(spark))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(S.with_(*ROUTED, base.INDEX, f"open_ AS (SELECT query_id, query FROM raw WHERE {_COMMON} AND query_id IN (SELECT query_id FROM summary WHERE routing = 'none'))", ngram_sql("open_", 8)) + "SELECT query_id, rank, name, score AS match_score, floor(score / 100 * 1e4 + 0.5) / 1e4 AS rank_score FROM ngram_hits JOIN notes USING (note_ord)")
 def router_fallback(spark, d):
     n, _, summary = routed(spark, d)
