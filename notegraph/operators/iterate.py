@@ -107,18 +107,35 @@ def mixture(semantic: float = 0.4, activation: float = 0.4, pagerank: float = 0.
     return (semantic, activation, pagerank) if abs(total - 1) <= 0.01 else (semantic / total, activation / total, pagerank / total)
 
 
-def joined_scores(semantic: DataFrame, activation: DataFrame, pagerank: DataFrame) -> DataFrame:
-    """query_id, name, sem, act, pr with 0 for what is missing; every query sees all of pagerank."""
-    queries = semantic.select("query_id").union(activation.select("query_id")).distinct()
+def pagerank_heads(pagerank: DataFrame, n: int, shares: list[float], tenths: bool = False) -> DataFrame:
+    """name, pagerank of the n first notes by each share's part of a score, as it is rounded, and then name; with ``tenths`` by each tenth too."""
+    parts = [s * F.col("pagerank") for s in shares] + [F.lit(c) * F.col("pagerank") / 10 for c in range(1, 11)] * tenths
+    tops = [pagerank.select("name", "pagerank").orderBy(round4(x).desc(), "name").limit(n) for x in parts]
+    out = tops[0]
+    for t in tops[1:]:
+        out = out.unionAll(t)
+    return out.distinct()
+
+
+def joined_scores(semantic: DataFrame, activation: DataFrame, pagerank: DataFrame, shares: tuple[float, float, float] = (0.4, 0.4, 0.2), k: int = 10, tenths: bool = False) -> DataFrame:
+    """query_id, name, sem, act, pr with 0 for what is missing: all that can be among the k best of a query by these shares, or with ``tenths`` by any in tenths.
+
+    These are the notes that the query's own lists name, and of the others, which have PageRank alone, the head of one list for
+    all queries: k notes of it, and as many more as a query's own lists may take from it.
+    """
     a = semantic.select("query_id", "name", F.col("score").alias("sem"))
     b = activation.select("query_id", "name", F.col("activation").alias("act"))
-    c = pagerank.crossJoin(F.broadcast(queries)).select("query_id", "name", F.col("pagerank").alias("pr"))
     on = ["query_id", "name"]
-    return a.join(b, on, "full").join(c, on, "full").fillna(0.0, ["sem", "act", "pr"])
+    named = _cut(a.join(b, on, "full"))
+    longest = named.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    heads = F.broadcast(pagerank_heads(pagerank, k + longest, [mixture(*shares)[2]], tenths))  # of a length that one query's lists bound
+    own = named.join(pagerank.select("name", F.col("pagerank").alias("pr")), "name", "left")
+    rest = named.select("query_id").distinct().crossJoin(heads).join(named.select(*on), on, "left_anti").select(*on, F.lit(0.0).alias("sem"), F.lit(0.0).alias("act"), F.col("pagerank").alias("pr"))
+    return own.select(*on, "sem", "act", "pr").unionByName(rest).fillna(0.0, ["sem", "act", "pr"])
 
 
 def fuse(scores: DataFrame, shares: tuple[float, float, float] = (0.4, 0.4, 0.2), k: int = 10) -> DataFrame:
-    """query_id, rank, name, score of the best by weighted sum."""
+    """query_id, rank, name, score of the best by weighted sum; scores are those joined for these shares."""
     s1, s2, s3 = mixture(*shares)
     combined = round4(s1 * F.col("sem") + s2 * F.col("act") + s3 * F.col("pr"))
     raw = s1 * F.col("sem") + s2 * F.col("act") + s3 * F.col("pr")
@@ -132,12 +149,12 @@ def fuse_structured(semantic: DataFrame, activation: DataFrame, pagerank: DataFr
     The best carry the payload of their semantic hit, where there is one; an id that repeats has its last payload by score.
     """
     hits = semantic.groupBy("query_id", F.col("id").alias("name")).agg(F.max_by(F.struct("score", "payload"), "score").alias("h")).select("query_id", "name", "h.score", "h.payload")
-    fused = fuse(joined_scores(hits.select("query_id", "name", "score"), activation, pagerank), shares, k)
+    fused = fuse(joined_scores(hits.select("query_id", "name", "score"), activation, pagerank, shares, k), shares, k)
     return fused.join(hits.select("query_id", "name", "payload"), ["query_id", "name"], "left")
 
 
 def grid(scores: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """Mean reciprocal rank of every mixture in tenths: l1, l2, l3, mrr. relevant(query_id, name)."""
+    """Mean reciprocal rank of every mixture in tenths: l1, l2, l3, mrr. scores are those joined with ``tenths``; relevant(query_id, name)."""
     spark = scores.sparkSession
     shares = [(i, a, b, 10 - a - b) for i, (a, b) in enumerate((a, b) for a in range(11) for b in range(11 - a))]
     mixes = F.broadcast(spark.createDataFrame(shares, "mix int, a int, b int, c int"))

@@ -340,10 +340,10 @@ _FUSE = (*graph.ACTIVATION, "sem AS (SELECT query_id, name, score - 0.2::DOUBLE
     "both_scores AS MATERIALIZED (SELECT query_id, name, coalesce(sem, 0) AS sem, coalesce(act, 0) AS act, coalesce(pr, 0) AS pr FROM sem FULL JOIN act USING (query_id, name) FULL JOIN (SELECT * FROM pr_, qs) USING (query_id, name))")
 
 
-def _scores(spark, d):
+def _scores(spark, d, tenths=False):
     anchors, edges = graph._anchors(spark, d)
     sem = anchors.select("query_id", "name", (F.col("score") - 0.2).alias("score"))
-    return iterate.joined_scores(sem, iterate.activate(anchors, edges), iterate.pagerank(edges)), sem
+    return iterate.joined_scores(sem, iterate.activate(anchors, edges), iterate.pagerank(edges), tenths=tenths), sem
 
 
 @query(S.with_(*_FUSE) + f"""SELECT query_id, rank, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM (SELECT query_id, name, {S.round4('0.4::DOUBLE * sem + 0.4::DOUBLE * act + 0.2::DOUBLE * pr')} AS score FROM both_scores WHERE 0.4 * sem + 0.4 * act + 0.2 * pr > 0)) WHERE rank <= 10""")
@@ -367,5 +367,5 @@ rel AS (SELECT query_id, name FROM sem WHERE ascii(name) % 2 = 0),
 rr AS (SELECT a, b, query_id, 1.0::DOUBLE / min(rank) AS rr FROM ranked JOIN rel USING (query_id, name) GROUP BY ALL)
 SELECT m.a / 10::DOUBLE AS l1, m.b / 10::DOUBLE AS l2, m.c / 10::DOUBLE AS l3, {S.round4('coalesce(s, 0) / (SELECT count(DISTINCT query_id) FROM rel)')} AS mrr FROM mixes m LEFT JOIN (SELECT a, b, sum(rr) AS s FROM rr GROUP BY ALL) USING (a, b)""")
 def fusion_grid(spark, d):
-    scores, sem = _scores(spark, d)
+    scores, sem = _scores(spark, d, tenths=True)
     return iterate.grid(iterate._cut(scores), sem.where(F.ascii("name") % 2 == 0).select("query_id", "name"))

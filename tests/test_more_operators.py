@@ -1,6 +1,7 @@
 """Ingest, dispatch, cycles, mentions, encoders and reports on small literal inputs."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -163,3 +164,20 @@ def test_readers_and_sinks(spark, tmp_path):
     rows = evaluate.metrics(spark.createDataFrame([(1, 1, "a")], "query_id long, rank int, name string"), spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, name string"))
     text = sinks.eval_report(rows.collect(), evaluate.averages(rows).first(), "Hybrid")
     assert text.splitlines()[0].startswith("ok  [1]") and "hits 1/2" in text and "not found" in text
+
+
+@pytest.mark.parametrize("shares", [(0.4, 0.4, 0.2), (0.1, 0.2, 0.7)])
+def test_fusion_of_list_heads_is_that_of_all_nodes(spark, shares):
+    """PageRanks that differ below the rounding tie by name, and a query's own notes take places at the head of the list."""
+    rng = random.Random(6)
+    pr = {f"n{i:03d}": round(rng.choice([0.2, 0.2001, 0.20015, 0.7, rng.random()]), 6) for i in range(300)}
+    best = sorted(pr, key=pr.get, reverse=True)
+    sem = [(q, n, rng.random()) for q in range(4) for n in rng.sample(best[:20], 6)]
+    act = [(q, n, rng.random()) for q in range(1, 5) for n in rng.sample(best, 5)]
+    frames = spark.createDataFrame(sem, "query_id long, name string, score double"), spark.createDataFrame(act, "query_id long, name string, activation double"), spark.createDataFrame([*pr.items()], "name string, pagerank double")
+    got = iterate.fuse(iterate.joined_scores(*frames, shares, 7), shares, 7).collect()
+    half = lambda x: math.floor(x * 1e4 + 0.5) / 1e4
+    a, b = {(q, n): s for q, n, s in sem}, {(q, n): s for q, n, s in act}
+    for q in range(5):
+        every = sorted((-half(shares[0] * a.get((q, n), 0) + shares[1] * b.get((q, n), 0) + shares[2] * p), n) for n, p in pr.items())
+        assert [(-r.score, r.name) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == every[:7]
