@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import LOWER, WHITE, Roller, consumed, gathered, map_blocks, mix, owners, segment_sum, shared_dir, text_buffers, words
+from notegraph.llm.common import LOWER, WHITE, Roller, gathered, map_blocks, mix, owners, segment_sum, shared_dir, text_buffers, words
 from notegraph.llm.common import blocks as text_blocks
 
 ORDER = 3
@@ -271,22 +271,23 @@ def _write_top(folder: str, level: int, ranges: int):
     return run
 
 
-def _write_lower(folder: str, level: int, ranges: int):
-    """For each range, what all ranges of the order above tell of it."""
+def _write_lower(folder: str, level: int, ranges: int, above: np.ndarray):
+    """For each range, what all ranges of the order above that hold anything tell of it; yields those that then hold something."""
 
     def told(r: int) -> Iterator[bytes]:
-        for source in range(ranges):
-            if os.path.exists(path := f"{folder}/ends-{level}-{source:06d}.npy"):
-                lo, hi = np.load(path, mmap_mode="r")[r : r + 2].tolist()
-                if lo < hi:
-                    yield np.load(f"{folder}/told-{level}-{source:06d}.npy", mmap_mode="r")[lo:hi].tobytes()
+        for source in np.flatnonzero(above).tolist():
+            lo, hi = np.load(f"{folder}/ends-{level}-{source:06d}.npy", mmap_mode="r")[r : r + 2].tolist()
+            if lo < hi:
+                yield np.load(f"{folder}/told-{level}-{source:06d}.npy", mmap_mode="r")[lo:hi].tobytes()
 
     def run(batches):
         for batch in batches:
+            held = []
             for r in batch.column(0).to_pylist():
                 if every := [np.concatenate(c) for c in zip(*map(unpack, told(r)))]:
                     _write(folder, level, r, every[:level], every[level:], ranges)
-            yield pa.RecordBatch.from_arrays(batch.columns, names=["range"])
+                    held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["range"])
 
     return run
 
@@ -315,6 +316,7 @@ class Model:
     discounts: list[tuple] = field(default_factory=list)  # from single words up
     followed: int = 0
     rest: float = 1.0
+    held: dict[int, np.ndarray] = field(default_factory=dict)  # by order, which ranges hold anything: their files must be there
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "files"}
@@ -324,12 +326,14 @@ class Model:
         return {}
 
     def table(self, level: int, r: int) -> tuple | None:
-        """A range's arrays, mapped into memory; None if it holds nothing."""
+        """A range's arrays, mapped into memory; None if it holds nothing. That its file is lost is an error."""
+        if level not in self.held or not self.held[level][r]:
+            return None
         if (level, r) not in self.files:
             paths = [f"{self.folder}/{name}-{level}-{r:06d}.npy" for name in ("hash", "small", "large")]
             paths += [f"{self.folder}/rank-{r:06d}.npy"] * (level == 0)
-            got = tuple(np.load(p, mmap_mode="r") for p in paths) if os.path.exists(paths[0]) else None
-            self.files[level, r] = got if got and len(got[0]) else None
+            got = tuple(np.load(p, mmap_mode="r") for p in paths)
+            self.files[level, r] = got if len(got[0]) else None
         return self.files[level, r]
 
     def find(self, level: int, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -407,17 +411,23 @@ def fit(docs: DataFrame, learn: Column, order: int = ORDER, range_tokens: int =
         model.tokens += r["tokens"]
         model.types += r["size"]
         model.bound = max(model.bound, r["size"] * ranges)
+        model.held.setdefault(0, np.zeros(ranges, bool))[r["range"]] = True
     if not size[1]:
         return model
-    consumed(dealt(rows.mapInArrow(_ship_grams(model), _BLOCKS)).mapInArrow(_write_top(folder, order, ranges), "range long"))
+
+    def held_by(written: DataFrame) -> np.ndarray:
+        out = np.zeros(ranges, bool)
+        out[[r["range"] for r in gathered(written)]] = True
+        return out
+
+    model.held[order] = held_by(dealt(rows.mapInArrow(_ship_grams(model), _BLOCKS)).mapInArrow(_write_top(folder, order, ranges), "range long"))
     for level in range(order - 1, 0, -1):
-        consumed(spark.range(0, ranges, 1, ranges).mapInArrow(_write_lower(folder, level, ranges), "range long"))
+        model.held[level] = held_by(spark.range(0, ranges, 1, ranges).mapInArrow(_write_lower(folder, level, ranges, model.held[level + 1]), "range long"))
         for name in os.listdir(folder):
             if name.startswith((f"told-{level}-", f"ends-{level}-")):
                 os.remove(f"{folder}/{name}")
     for level in range(1, order + 1):
-        paths = [f"{folder}/sums-{level}-{r:06d}.npy" for r in range(ranges)]
-        sums = np.sum([np.load(p) for p in paths if os.path.exists(p)], axis=0)
+        sums = np.sum([np.load(f"{folder}/sums-{level}-{r:06d}.npy") for r in np.flatnonzero(model.held[level])], axis=0)
         model.discounts[level - 1] = discounts(sums[1:5].tolist())
         if level == 1:
             model.followed = int(sums[0])

@@ -485,6 +485,20 @@ def test_kneser_ney(spark, sf, order, tokens):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], abs=1e-6)
 
 
+def test_kneser_ney_misses_no_range(spark, sf):
+    """A range's file that is lost after the fit is an error, not an empty range."""
+    docs = frame(spark, sf[:60])
+    model = kneser_ney.fit(docs, F.lit(True), 3, 3_000)
+    assert model.ranges > 1 and all(model.held[level].any() for level in range(4))
+    want = kneser_ney.score(docs, model).count()
+    lost = sorted(Path(model.folder).glob("hash-2-*.npy"))[0]
+    lost.rename(lost.with_suffix(".gone"))
+    with pytest.raises(Exception, match="No such file"):
+        kneser_ney.score(docs, model).collect()
+    lost.with_suffix(".gone").rename(lost)
+    assert kneser_ney.score(docs, model).count() == want
+
+
 def test_kneser_ney_without_training(spark):
     model = kneser_ney.fit(none(spark), F.lit(True))
     assert {tuple(r)[1:] for r in kneser_ney.score(odd(spark).where("doc_id in (1, 2)"), model).collect()} == {(1, 0, 0, 0.0, 0.0)}
