@@ -6,7 +6,8 @@ the whole text. Each is compared with every template: weights are (1 + ln tf) ti
 ln((N + 1) / (df + 1)) + 1, with df counted over all files; terms of no template weigh
 as terms of no file. A file's own licence is its best segment's, of those with a cosine
 of at least ``THRESHOLD``; a reservation of rights counts only where no licence is
-found, and an SPDX line counts before all. A file without one takes the licence of the
+found, and SPDX lines of known ids, whatever their case, count before all: an expression keeps its OR and AND, and
+loses brackets, exceptions and -only or -or-later; several lines are joined by AND. A file without one takes the licence of the
 licence file in the nearest directory above it: directories, not files, are joined with
 their ancestors, and files then join their directory.
 
@@ -100,13 +101,24 @@ TEMPLATES = [
     *((i, f"This program {_GNU_TERMS.format(name, v)} {_GNU_WARRANTY.format(name)}") for i, name, v, _ in _GNU), *((i, f"This program {_GNU_TERMS.format(name, v)}") for i, name, v, _ in _GNU),
     *((i, f"{name.upper()} Version {title}") for i, name, _, title in _GNU), *((i, f"This work is licensed under the {name}, version {v}.") for i, name, v, _ in _GNU),
     *((i, f"{verb} under {name}.") for i, name in _NAMES for verb in ("Licensed", "Released")),
+    ("Apache-2.0 OR MIT", "Licensed under either of the Apache License, Version 2.0 or the MIT license at your option."),
     (RESERVED, "All rights reserved."),
 ]
+SPDX_IDS = (
+    "0BSD AFL-3.0 AGPL-1.0 AGPL-3.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 "
+    "CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.0 LGPL-2.1 LGPL-3.0 LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL "
+    "NCSA ODbL-1.0 OFL-1.1 OSL-3.0 OpenSSL PostgreSQL Python-2.0 UPL-1.0 Unlicense Vim W3C WTFPL X11 ZPL-2.1 Zlib"
+).split()
 # ---- End of fixed values.
 
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 COMMENT = "^[ \\t\\r]*(#|//|/[*]|[*]|--|;|%|<!--|\"\"\"|'''|$)"
-SPDX = "SPDX-License-Identifier:"
+_ID = f"(?:{'|'.join(sorted((re.escape(i) for i in SPDX_IDS), key=lambda i: (-len(i), i)))})(?:-only|-or-later|[+])?"
+_UNIT = f"[(]*[ \\t]*{_ID}(?:[ \\t]+WITH[ \\t]+[A-Za-z0-9.-]+)?[ \\t]*[)]*"
+#: An SPDX line of known ids, whatever the case; what follows an id must not be of its kind.
+SPDX = f"(?i)SPDX-License-Identifier:[ \\t]*({_UNIT}(?:[ \\t]+(?:OR|AND)[ \\t]+{_UNIT})*)(?:[^A-Za-z0-9.+-]|$)"
+#: What an expression says besides ids, in the order in which it is taken away.
+_TIDY = [("[ \\t]+WITH[ \\t]+[A-Za-z0-9.-]+", ""), ("[()]", " "), ("-only|-or-later|[+]", ""), ("[ \\t]+", " "), ("^ | $", "")]
 _NOT_TERM = "[^a-z0-9]+"
 _SENTENCE = "([.!?])[ \\t\\r\\n]+([A-Z])"
 _PARAGRAPH = "\\n[ \\t\\r]*\\n"
@@ -187,6 +199,18 @@ def _matches(files: DataFrame, templates: list[tuple[str, str]], threshold: floa
     return best.groupBy(*_KEY).agg(F.max("b").alias("own"), F.count("*").alias("n_segments"))
 
 
+def _stated(text: Column) -> Column:
+    """The ids of a text's SPDX lines, each line's joined by its OR and AND, different lines' by AND; empty if there is none."""
+    names = F.create_map(*(F.lit(x) for i in SPDX_IDS for x in (i.lower(), i)))
+
+    def tidy(e: Column) -> Column:
+        for old, new in _TIDY:
+            e = F.regexp_replace(e, f"(?i){old}", new)
+        return F.array_join(F.transform(F.split(e, " "), lambda w: F.coalesce(F.element_at(names, F.lower(w)), F.upper(w))), " ")
+
+    return F.array_join(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), tidy)), " AND ")
+
+
 def _directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", ""))
 
@@ -198,7 +222,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     licence_file = F.coalesce(F.element_at(F.split(files["path"], "/"), -1).rlike(LICENCE_FILE), F.lit(False))
     named = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), text).alias("k2"), licence_file.alias("is_licence_file")]
     found = stored(_matches(files.select(*named, text.alias("text")), templates, threshold))
-    spdx = F.when(F.contains(text, F.lit(SPDX)), F.regexp_replace(F.regexp_extract(text, f"{SPDX}[ \\t]*([A-Za-z0-9.+-]+)", 1), "(-only|-or-later|[+])$", ""))
+    spdx = F.when(F.contains(F.lower(text), F.lit("spdx-license-identifier:")), _stated(text))
     rows = files.select(F.struct(F.lit(True).alias("_"), *kept).alias("_row"), files["path"], *named, spdx.alias("_spdx")).join(found, _KEY, "left")
     stated = F.struct(F.lit(2).alias("rank"), F.lit(1.0).alias("score"), F.col("_spdx").alias("license"))
     judged = cut(rows.select("_row", "path", "is_licence_file", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.when(F.col("_spdx") != "", stated).otherwise(F.col("own")).alias("own"), _directory(F.col("path")).alias("dir")))
@@ -220,6 +244,12 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
 def oracle(files_sql: str, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """DuckDB's version of ``scan`` over a query of (doc_id, path, text): every segment against every template."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
+    tidy = "e"
+    for old, new in _TIDY:
+        tidy = f"regexp_replace({tidy}, {q('(?i)' + old)}, {q(new)}, 'g')"
+    names = "map([" + ", ".join(q(i.lower()) for i in SPDX_IDS) + "], [" + ", ".join(map(q, SPDX_IDS)) + "])"
+    lines = f"list_transform(regexp_extract_all(text, {q(SPDX)}, 1), lambda e: array_to_string(list_transform(string_split({tidy}, ' '), lambda w: coalesce({names}[lower(w)], upper(w))), ' '))"
+    stated = f"CASE WHEN contains(lower(text), 'spdx-license-identifier:') THEN (SELECT coalesce(string_agg(x, ' AND ' ORDER BY i), '') FROM (SELECT x, min(i) AS i FROM (SELECT unnest({lines}) AS x, generate_subscripts({lines}, 1) AS i) GROUP BY x)) ELSE '' END"
     rows = ", ".join(f"({i}, {int(name != RESERVED)}, {q(name)}, {q(t)}, {k})" for i, (name, text) in enumerate(templates) for t, k in terms(text).items())
     return f"""
 WITH files AS MATERIALIZED (SELECT doc_id, path, coalesce(text, '') AS text, coalesce(regexp_matches(regexp_extract(path, '[^/]*$'), {q(LICENCE_FILE)}), false) AS is_licence_file FROM ({files_sql})),
@@ -241,8 +271,8 @@ scored AS (SELECT doc_id, k, {{'rank': rank, 'score': round(dot / norm, 6), 'lic
 best AS (SELECT doc_id, k, max(b) AS b FROM scored WHERE b.score >= {threshold} GROUP BY ALL),
 own AS (SELECT doc_id, max(b) AS own, count(*) AS n_segments FROM best GROUP BY doc_id),
 judged AS MATERIALIZED (SELECT f.doc_id, f.path, CASE WHEN contains(path, '/') THEN regexp_replace(f.path, '/[^/]*$', '') END AS dir, is_licence_file, coalesce(n_segments, 0) AS n_segments,
-  CASE WHEN regexp_extract(text, '{SPDX}[ \\t]*([A-Za-z0-9.+-]+)', 1) <> '' THEN {{'rank': 2, 'score': 1.0::DOUBLE, 'license': regexp_replace(regexp_extract(text, '{SPDX}[ \\t]*([A-Za-z0-9.+-]+)', 1), '(-only|-or-later|[+])$', '')}} ELSE own END AS own
-  FROM files f LEFT JOIN own USING (doc_id)),
+  CASE WHEN stated <> '' THEN {{'rank': 2, 'score': 1.0::DOUBLE, 'license': stated}} ELSE own END AS own
+  FROM (SELECT *, {stated} AS stated FROM files) f LEFT JOIN own USING (doc_id)),
 held AS (SELECT dir AS ancestor, max(own) AS held FROM judged WHERE is_licence_file AND own IS NOT NULL GROUP BY dir),
 nearest AS (
   SELECT doc_id, ancestor, held, row_number() OVER (PARTITION BY doc_id ORDER BY length(ancestor) DESC) AS r

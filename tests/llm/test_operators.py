@@ -631,6 +631,25 @@ def test_licence_texts_and_headers(spark):
     assert licence_of(spark, [(n, t) for n, t, _ in cases]) == [want for _, _, want in cases]
 
 
+SPDX_LINES = [
+    ("To say SPDX-License-Identifier: here is only an example", None), ("// SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("/* spdx-license-identifier: gpl-2.0-ONLY with Classpath-exception-2.0 */", "GPL-2.0"),
+    ("# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note)", "GPL-2.0"), ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "MIT OR Apache-2.0 AND BSD-3-Clause"), ("SPDX-License-Identifier: MIT-0", "MIT-0"),
+    ("SPDX-License-Identifier: MITX", None), ("SPDX-License-Identifier: MIT OR Nonsense", "MIT"), ("x\nSPDX-License-Identifier: lgpl-2.1+\ny\n# SPDX-License-Identifier: Zlib\n# SPDX-License-Identifier: LGPL-2.1-or-later\n", "LGPL-2.1 AND Zlib"),
+    ("SPDX-License-Identifier:", None), ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0 OR MIT"), ("This is not licensed under anything.", None),
+]
+
+
+def test_spdx_expressions(spark):
+    import duckdb
+
+    assert licence_of(spark, [("x.c", t) for t, _ in SPDX_LINES]) == [want for _, want in SPDX_LINES]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f (doc_id BIGINT, path VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO f VALUES (?, ?, ?)", [(i, f"{i}/x.c", t) for i, (t, _) in enumerate(SPDX_LINES)])
+    out = dict(con.execute(f"SELECT doc_id, own_license FROM ({licenses.oracle('SELECT * FROM f')})").fetchall())
+    assert [out[i] for i in range(len(SPDX_LINES))] == [want for _, want in SPDX_LINES]
+
+
 def test_licences_stay_in_the_jvm(spark):
     plan = queries.queries()["op5_licenses"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
