@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -53,18 +57,38 @@ def save_state(state: DataFrame, folder: str, name: str = "import-state") -> str
 
 
 def write_notes(files: DataFrame, root: str) -> int:
-    """New notes(path below root, text) as files in any file system that Spark writes; one that is there is not touched."""
-    spark, n = files.sparkSession, 0
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for r in files.select("path", "text").toLocalIterator():  # a few notes a run
-        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{r['path']}")
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
-            out = fs.create(path, False)
-            out.write(bytearray(r["text"].encode()))
-            out.close()
-            n += 1
-    return n
+    """New notes(path below root, text) as files, by the tasks that hold them; one that is there is not touched. How many were written.
+
+    Each is written under another name and moved into place, so that a task that fails leaves no half of one.
+    """
+    root = root if "://" in root else f"file://{root}"
+
+    def run(batches):
+        for batch in batches:
+            n = 0
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, at = pyarrow.fs.FileSystem.from_uri(f"{root.rstrip('/')}/{quote(path)}")
+                if fs.get_file_info(at).type == pyarrow.fs.FileType.NotFound:
+                    folder, _, name = at.rpartition("/")
+                    fs.create_dir(folder)
+                    part = f"{folder}/.{uuid.uuid4().hex}.tmp"
+                    with fs.open_output_stream(part) as out:
+                        out.write((text or "").encode())
+                    fs.move(part, f"{folder}/{name}")
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("path", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_pagerank(ranks: DataFrame, path: str) -> None:
+    """PageRank as a table of its own: name, pagerank, the greatest first, so that readers of the best read little."""
+    ranks.select("name", "pagerank").orderBy(F.col("pagerank").desc(), "name").write.mode("overwrite").parquet(path)
+
+
+def with_pagerank(notes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """notes with ``pagerank``, 0 for those that no edge touches."""
+    return notes.drop("pagerank").join(ranks.select("name", "pagerank"), "name", "left").fillna(0.0, ["pagerank"])
 
 
 def feedback_report(report: Row, edges: Row, dry_run: bool = False) -> str:
