@@ -124,6 +124,11 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
         near = one if near is None else cut(near).unionAll(one)
     if near is None:
         near = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, name string, score double")
+    return best_names(near, k)
+
+
+def best_names(near: DataFrame, k: int) -> DataFrame:
+    """Of near(query_id, vec_id, name, score) the best 2k of each query, of those one of each name, of those the best k."""
     near = top(near, 2 * k, tie="vec_id").drop("rank")
     once = F.row_number().over(Window.partitionBy("query_id", "name").orderBy(F.col("score").desc(), "vec_id"))
     return top(near.withColumn("_r", once).where("_r = 1").drop("_r"), k, tie="vec_id")
