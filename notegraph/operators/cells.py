@@ -122,6 +122,7 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, opened: np.ndarray, k: int):
 
 def dense_search(stored: Cells, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
     """As ``search.dense_search``, of the ``probes`` nearest cells of each query (as many as were measured): query_id, rank, vec_id, name, score."""
+    ship(stored.spark)
     spark, near, kind = stored.spark, None, "query_id long, vec_id long, name string, score double"
     for ids, matrix in search._query_blocks(queries):
         like = matrix @ stored.centroids.T if len(stored.centroids) else np.zeros((len(ids), 0))

@@ -16,6 +16,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringStartsWith
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
+from notegraph.shipping import ship
+
 ROWS = 10_000
 _COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
@@ -134,6 +136,7 @@ class SkillStore(DataSource):
 def read_skills(spark: SparkSession, path: str, table: str | None = None, parts: int = 8):
     """The skill store at path, with filters sent to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ship(spark)
     spark.dataSource.register(SkillStore)
     reader = spark.read.format("skillstore").option("path", path).option("parts", parts)
     return (reader.option("table", table) if table else reader).load()

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from notegraph.functions.text import round4
 from notegraph.operators import feedback
 from notegraph.settings import DEFAULT, Settings
+from notegraph.shipping import ship
 from notegraph.sources.readers import FEEDBACK, event_time, list_notes, listing_diff
 
 LEAST_QUERY, LEAST_ANSWER = 3, 20
@@ -220,6 +221,7 @@ def turn_ends(messages: DataFrame, idle: int | None = None) -> DataFrame:
     """
     if not messages.isStreaming:
         return _turn_ends(messages)
+    ship(messages.sparkSession)
     timed = messages if idle is None else messages.withColumn("at_ms", F.unix_millis("ts"))
     keyed = timed.withColumn("session", F.col("session").cast("string")).groupBy("session")
     return keyed.transformWithStateInPandas(TurnEnd(idle), outputStructType=_ENDS, outputMode="Append", timeMode="None" if idle is None else "EventTime")
