@@ -672,7 +672,13 @@ def test_query_matches_sql(spark, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, out.fetchall()))
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
-def test_a_row_a_document(spark, sf, name):
+#: What a query's rows stand for, if not documents; op12 has a row a file, tested elsewhere.
+ROWS_OF = {"op11_url_filters": ("pages", "page_id"), "op13_conversations": ("conversations", "conv_id")}
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op12_schema_drift"}))
+def test_a_row_a_document(spark, name):
+    table, key = ROWS_OF.get(name, ("documents", "doc_id"))
     got = queries.queries()[name](spark, SF)
-    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == [i for i, _ in sf]
+    want = spark.read.parquet(f"{SF}/{table}.parquet").select(key)
+    assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in (want.distinct() if name == "op13_conversations" else want).collect())
