@@ -87,7 +87,7 @@ def plain_urls(rows):
 URLS = [
     (1, None), (2, ""), (3, "no scheme/x"), (4, "http://"), (5, "HTTP://WWW.Casino-Win.example.NET"), (6, "https://org/x?y"), (7, "https://sub.org/"), (8, "https://notorg/"), (9, "https://a.example.org/es/1"),
     (10, "https://a.example.org/en/17#x"), (11, "https://a.example.org/en/27"), (12, "x://a.b?q=://"), (13, "http://cheapcasinobets.example.net/poker/best-odds"), (14, "http://quietgarden.example.net/plants/roses"),
-    (15, "http://h/" + "verylong" * 3000), (16, "http://" + "a" * 70 + ".net/" + "x1" * 400), (17, "http://Ünïcode.example.net/straße\nnext"), (18, "http://quietgarden.example.net/plants/roses"), (18, "http://quietgarden.example.net/plants/roses"),
+    (15, "http://h/" + "verylong" * 3000), (16, "http://" + "a" * 70 + ".net/" + "x1" * 4), (17, "http://Ünïcode.example.net/straße\nnext"), (18, "http://quietgarden.example.net/plants/roses"), (18, "http://quietgarden.example.net/plants/roses"),
     (None, "http://xxx-porn.example.net/a_b-c"), (20, "http://com/fr/"), (21, "http://x.com/de/?a"),
 ]
 
