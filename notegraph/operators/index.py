@@ -1,7 +1,7 @@
 """A stored inverted index: posting blocks by feature, read by the asked features alone, with an early stop.
 
-Postings lie in blocks of at most ``BLOCK`` note numbers each, so that a feature of all notes is many rows:
-kind, feature, block, and within it the sorted places of its notes as short numbers, in compressed Parquet files
+Postings lie in blocks of at most ``BLOCK`` note numbers each, so that a feature of all notes is many rows (of a block one or
+more): kind, feature, block, and within it the sorted places of its notes as short numbers, in compressed Parquet files
 that are dealt by range and sorted by feature. A search asks for its features by name, which
 the files' statistics answer page by page; beside them lies each feature's number of notes.
 
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import idf, round4
-from notegraph.operators import search
-from notegraph.operators.lineage import cut
+from notegraph.operators import inverted, search
+from notegraph.operators.lineage import cut, stored
 
 BLOCK = 1 << 14
 #: Postings of a query that set the floor, about.
@@ -48,10 +48,8 @@ class StoredIndex:
 
 def write(notes: DataFrame, root: str) -> StoredIndex:
     """The index of notes(note_ord, name, summary, tags, …) in the folder ``root``."""
-    made = search.postings(notes)
-    block, place = F.floor(F.col("note_ord") / BLOCK).cast("long"), F.pmod("note_ord", F.lit(BLOCK)).cast("short")
-    # what one task holds of a feature is a block at most
-    blocks = made.groupBy("kind", "feature", block.alias("block")).agg(F.array_sort(F.collect_set(place)).alias("places"))
+    # made once: a sort by range would make them again for its sample
+    blocks = stored(inverted.blocks(notes, search.indexed_text(notes), BLOCK))
     order = ["feature", "kind", "block"]
     files = lambda df, name: df.repartitionByRange(*[c for c in order if c in df.columns]).sortWithinPartitions(*[c for c in order if c in df.columns]).write.option("compression", "zstd").parquet(f"{root}/{name}")
     files(blocks, "blocks")
