@@ -30,12 +30,12 @@ def _prepared(dealt: DataFrame) -> DataFrame:
     return dealt.withColumn("clean", word_text(F.col("low"))).withColumn("words", F.filter(F.split("clean", " "), lambda w: F.length(w) >= 3))
 
 
-def _slices(batches) -> Iterator[pa.RecordBatch]:
+def _slices(batches, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ends = np.cumsum(pc.utf8_length(batch.column("low")).to_numpy())
         low = 0
         while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(ends, SLICE + (ends[low - 1] if low else 0), side="right")))
+            high = max(low + 1, int(np.searchsorted(ends, size + (ends[low - 1] if low else 0), side="right")))
             yield batch.slice(low, high - low)
             low = high
 
@@ -87,19 +87,24 @@ def _found(rows: pa.RecordBatch, owner: np.ndarray, n: int) -> Iterator[tuple[st
     yield "term", coded.dictionary.to_pylist(), *_pairs(coded.indices.to_numpy(), owner[pc.list_parent_indices(words).to_numpy()], n)
 
 
-def _counted(batches) -> Iterator[pa.RecordBatch]:
-    for rows in _slices(batches):
-        for kind, names, at, _ in _found(rows, np.arange(rows.num_rows), rows.num_rows):
-            df = np.bincount(at, minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(df, pa.int64())], names=["kind", "feature", "df"])
+def _counted(size: int):
+    """To kind, feature and the number of rows that have it, of each slice."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches, size):
+            for kind, names, at, _ in _found(rows, np.arange(rows.num_rows), rows.num_rows):
+                df = np.bincount(at, minlength=len(names))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(df, pa.int64())], names=["kind", "feature", "df"])
+
+    return run
 
 
-def _blocked(block: int):
+def _blocked(block: int, size: int):
     """To kind, feature, block and the sorted places in it. Rows come in order of note_ord; rows of one number are one note."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         last, held = None, {}
-        for rows in _slices(batches):
+        for rows in _slices(batches, size):
             ords, owner = np.unique(rows.column("note_ord").to_numpy(), return_inverse=True)
             told: dict[str, set] = {"gram": set(), "term": set()}
             for kind, names, at, of in _found(rows, owner, len(ords)):
@@ -129,11 +134,11 @@ def _parts(notes: DataFrame) -> int:
 def counts(notes: DataFrame, text: Column) -> DataFrame:
     """kind, feature, df: in how many rows of notes(note_ord, …) the text has each feature."""
     dealt = notes.select("note_ord", F.lower(text).alias("low")).repartition(_parts(notes), "note_ord")
-    return _prepared(dealt).mapInArrow(_counted, "kind string, feature string, df long").groupBy("kind", "feature").agg(F.sum("df").alias("df"))
+    return _prepared(dealt).mapInArrow(_counted(SLICE), "kind string, feature string, df long").groupBy("kind", "feature").agg(F.sum("df").alias("df"))
 
 
 def blocks(notes: DataFrame, text: Column, block: int) -> DataFrame:
     """kind, feature, block, places: sorted, in some rows a block, of which no two hold the same place."""
     known = notes.where("note_ord is not null").select(F.col("note_ord").cast("long").alias("note_ord"), F.lower(text).alias("low"))
     dealt = known.repartition(_parts(notes), F.floor(F.col("note_ord") / TOGETHER)).sortWithinPartitions("note_ord")
-    return _prepared(dealt).mapInArrow(_blocked(block), "kind string, feature string, block long, places array<smallint>")
+    return _prepared(dealt).mapInArrow(_blocked(block, SLICE), "kind string, feature string, block long, places array<smallint>")

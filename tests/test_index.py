@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from notegraph.operators import index, search
+from notegraph.operators import index, inverted, search, sqlsearch
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,16 @@ def test_only_asked_features_are_read(spark, notes, tmp_path):
     ends = held.blocks.groupBy(F.input_file_name().alias("f")).agg(F.min("feature").alias("a"), F.max("feature").alias("z")).orderBy("a").collect()
     assert all(x.z <= y.a for x, y in zip(ends, ends[1:]))
     assert held.blocks.agg(F.max(F.size("places"))).first()[0] <= index.BLOCK and held.n_notes.first()[0] == 700
+
+
+def test_table_function_over_blocks_in_parts(spark, notes, tmp_path, monkeypatch):
+    """Several rows a feature and block, as slices make them, change no answer of the table function."""
+    monkeypatch.setattr(inverted, "SLICE", 3000)
+    held = index.write(notes, str(tmp_path / "index"))
+    rows = held.blocks.groupBy("kind", "feature", "block").count()
+    assert rows.where("count > 1").count()
+    sqlsearch.register(spark, held, "search_in_parts")
+    q = search.query_frame(spark, QUERIES[:3])
+    got = spark.sql("SELECT a.query_id, s.rank, s.note_ord, s.score FROM {a} a, LATERAL search_in_parts(a.query, 5) AS s", a=q).collect()
+    want = search.ngram_search(search.postings(notes), notes, q, 5).select("query_id", "rank", "note_ord", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
