@@ -30,3 +30,10 @@ def test_no_posting_is_a_row(spark, notes):
     same = spark.range(0, 500, 1, 3).select(F.col("id").alias("note_ord"), F.lit("one text of all").alias("name"), F.lit("graph engine").alias("summary"), F.lit(None).cast("array<string>").alias("tags"))
     one = search.postings(same.where("note_ord = 7")).count()
     assert inverted.blocks(same, search.indexed_text(same), index.BLOCK).count() == one
+
+
+def test_counts_are_of_rows(spark, notes):
+    want = search.postings(notes).groupBy("kind", "feature").count()
+    got = search.feature_counts(notes)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString(), "no posting is a row"
