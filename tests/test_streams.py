@@ -150,3 +150,20 @@ def test_abandoned_sessions_leave_no_state(spark, tmp_path):
         q.awaitTermination(180)
         held = [json.loads(p.json)["stateOperators"] for p in q.recentProgress]
     assert held[-1][0]["numRowsTotal"] <= 3 * 20, "the open turns of the last sessions and their timers"
+
+
+def test_turns_are_plain_rows_and_keep_empty_texts(spark, tmp_path):
+    """As the batch form where a turn begins with an empty or missing text; no frame is made for a session."""
+    rows = [(1, 0, "user", "q", ["x"]), (1, 1, "assistant", "", None), (1, 2, "assistant", "x", None), (1, 3, "end", "", None), (2, 0, "assistant", None, None), (2, 1, "assistant", "y", None), (2, 2, "end", "", None), (3, 0, "user", "q", [""]), (3, 1, "assistant", "", None)]
+    later = [(3, 2, "assistant", "z", None), (3, 3, "end", "", None)]
+    table = lambda x: messages_of(spark, [(*r, "2024-01-01 10:00:00") for r in x])
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    for part in (rows, later):
+        table(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(MESSAGES).parquet(source).drop("ts")
+        assert "InPandas" not in streams.turn_ends(stream)._jdf.queryExecution().analyzed().toString()
+        q = streams.start_turn_ends(stream, out, checkpoint)
+        q.awaitTermination(180)
+    plain = lambda df: sorted((str(r.session), r.text, r.ingest, tuple(r.cited)) for r in df.collect())
+    want = plain(streams.turn_ends(table(rows + later).drop("ts")))
+    assert plain(spark.read.parquet(out)) == want and ("1", "\nx", False, ("x",)) in want and ("3", "\nz", False, ()) in want
