@@ -1,8 +1,8 @@
 """Features of notes, counted many notes at a time within a task: no posting becomes a row.
 
-Character n-grams are numbers of 21 bits a character, words are Arrow dictionaries. Of each slice of about
-``SLICE`` code points a task returns a row a feature (and block), so that rows are few and memory is that of a slice.
-Lower case, word characters and words are Spark's.
+Character n-grams are numbers, of as many bits a character as the slice's characters need, words are Arrow dictionaries. Of each
+slice of about ``SLICE`` code points a task returns a row a feature (and block), so that rows are few and memory is that of a slice.
+Lower case and word characters are Spark's.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -22,12 +21,11 @@ from notegraph.shipping import ship
 SLICE = 1 << 21
 #: Notes of neighbouring numbers that go to one task together.
 TOGETHER = 1 << 11
-_BITS = 21
 
 
 def _prepared(dealt: DataFrame) -> DataFrame:
-    """note_ord; low, the text in lower case; clean, its word characters; words of three characters or more."""
-    return dealt.withColumn("clean", word_text(F.col("low"))).withColumn("words", F.filter(F.split("clean", " "), lambda w: F.length(w) >= 3))
+    """note_ord; low, the text in lower case; clean, the same with a space for each character that is not of a word."""
+    return dealt.withColumn("clean", word_text(F.col("low")))
 
 
 def _slices(batches, size: int) -> Iterator[pa.RecordBatch]:
@@ -40,51 +38,66 @@ def _slices(batches, size: int) -> Iterator[pa.RecordBatch]:
             low = high
 
 
-def _runs(texts: pa.Array, owner: np.ndarray):
-    """Of texts laid end to end: each character's number from 1, owner, and how many its text has from there."""
-    every = texts.to_pylist()
-    sizes = np.fromiter(map(len, every), np.int64, len(every))
-    c = np.frombuffer("".join(every).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
-    return c, np.repeat(owner, sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(c))
-
-
-def _grams(c: np.ndarray, of: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    code = np.zeros(max(len(c) - n + 1, 0), np.int64)
-    for i in range(n):
-        code = code << _BITS | c[i : len(code) + i]
-    keep = left[: len(code)] >= n
-    return code[keep], of[: len(code)][keep]
-
-
-def _names(codes: np.ndarray, n: int) -> list[str]:
-    c = (codes[:, None] >> np.arange(n - 1, -1, -1) * _BITS & (1 << _BITS) - 1) - 1
-    s = c.astype(np.uint32).tobytes().decode("utf-32-le")
-    return [s[i : i + n] for i in range(0, len(s), n)]
-
-
-def _pairs(at: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different pairs of feature and owner (of n), in order."""
-    key = np.sort(at.astype(np.int64) * n + owner)
+class _Runs:
+    """Texts laid end to end: each character as its rank among those that occur, and its text's owner (of n)."""
+
+    def __init__(self, texts: pa.Array, owner: np.ndarray, n: int):
+        every = texts.to_pylist()
+        self.sizes = np.fromiter(map(len, every), np.int64, len(every))
+        c = np.frombuffer("".join(every).encode("utf-32-le"), np.uint32)
+        self.chars = np.flatnonzero(np.bincount(c)).astype(np.uint32)
+        rank = np.zeros(int(self.chars[-1]) + 1 if len(self.chars) else 0, np.int64)
+        rank[self.chars] = np.arange(len(self.chars))
+        self.c, self.of, self.n = rank[c], np.repeat(owner, self.sizes), n
+
+    def without(self, char: str) -> np.ndarray:
+        """Which characters are others than this one."""
+        at = np.flatnonzero(self.chars == ord(char))
+        return self.c != at[0] if len(at) else np.ones(len(self.c), bool)
+
+    def grams(self, n: int, held: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The n-grams of held characters, and the different pairs of gram and owner, in order."""
+        bits, most, ends = len(self.chars).bit_length(), max(len(self.c) - n + 1, 0), np.cumsum(self.sizes)
+        code, keep = np.zeros(most, np.int64), np.ones(most, bool)
+        for i in range(n):
+            code = code << bits | self.c[i : most + i]
+            if held is not None:
+                keep &= held[i : most + i]
+        for i in range(1, n):  # the last of each text have no n characters from there
+            at = ends[self.sizes >= i] - i
+            keep[at[at < most]] = False
+        known, at, of = _pairs(code[keep], self.of[:most][keep], self.n, n * bits)
+        shifts = np.arange(n - 1, -1, -1) * bits
+        s = self.chars[known[:, None] >> shifts & (1 << bits) - 1].tobytes().decode("utf-32-le")
+        return [s[i : i + n] for i in range(0, len(s), n)], at, of
+
+
+def _pairs(code: np.ndarray, owner: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of codes of so many bits and owners (of n): the different codes, and the different pairs of code, by its place among them, and owner, in order."""
+    if bits + n.bit_length() > 63:
+        codes, at = np.unique(code, return_inverse=True)
+        ranks, at, of = _pairs(at, owner, n, len(codes).bit_length())
+        return codes[ranks], at, of
+    key = np.sort(code << n.bit_length() | owner)
     key = key[np.diff(key, prepend=-1) != 0]
-    return key // n, key % n
+    code, of = key >> n.bit_length(), key & (1 << n.bit_length()) - 1
+    first = np.diff(code, prepend=-1) != 0
+    return code[first], np.cumsum(first) - 1, of
 
 
 def _found(rows: pa.RecordBatch, owner: np.ndarray, n: int) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
     """kind, features, and the pairs of feature and owner, some features at a time."""
-    low = _runs(rows.column("low"), owner)
+    low = _Runs(rows.column("low"), owner, n)
     for size in (2, 3):
-        code, of = _grams(*low, size)
-        at, codes = pd.factorize(code)
-        yield "gram", _names(codes, size), *_pairs(at, of, n)
-    clean = _runs(rows.column("clean"), owner)
-    code, of = _grams(*clean, 2)
-    space = ord(" ") + 1
-    within = (code >> _BITS != space) & (code & (1 << _BITS) - 1 != space)
-    at, codes = pd.factorize(code[within])
-    yield "term", _names(codes, 2), *_pairs(at, of[within], n)
-    words = rows.column("words")
-    coded = words.flatten().dictionary_encode()
-    yield "term", coded.dictionary.to_pylist(), *_pairs(coded.indices.to_numpy(), owner[pc.list_parent_indices(words).to_numpy()], n)
+        yield "gram", *low.grams(size)
+    clean = _Runs(rows.column("clean"), owner, n)
+    yield "term", *clean.grams(2, clean.without(" "))
+    words = pc.split_pattern(rows.column("clean"), " ")
+    long = pc.greater_equal(pc.utf8_length(words.flatten()), 3)
+    coded = words.flatten().filter(long).dictionary_encode()
+    of = owner[pc.list_parent_indices(words).filter(long).to_numpy()]
+    known, at, of = _pairs(coded.indices.to_numpy().astype(np.int64), of, n, len(coded.dictionary).bit_length())
+    yield "term", coded.dictionary.take(pa.array(known)).to_pylist(), at, of
 
 
 def _counted(size: int):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,12 @@ def test_counts_are_of_rows(spark, notes):
     got = search.feature_counts(notes)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString(), "no posting is a row"
+
+
+def test_pairs_of_wide_codes(spark):
+    """Codes that leave no room for the owner beside them are ranked first."""
+    rng = np.random.default_rng(4)
+    code, owner = rng.choice([0, 1, 5, (1 << 62) - 1, (1 << 63) - 1], 400), rng.integers(0, 9, 400)
+    known, at, of = inverted._pairs(code, owner, 9, 63)
+    assert known.tolist() == sorted(set(code.tolist()))
+    assert list(zip(known[at].tolist(), of.tolist())) == sorted(set(zip(code.tolist(), owner.tolist())))
