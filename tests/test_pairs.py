@@ -39,3 +39,7 @@ def test_a_block_of_higher_ids_is_passed():
 
 def test_tag_jaccard_has_each_pair(spark):
     _pairs(spark, "tag_jaccard", F.col("tags"), _index, 0.25)
+
+
+def test_summary_overlap_has_each_pair(spark):
+    _pairs(spark, "summary_overlap", T.tokens(F.substring("summary", 1, 500)), lambda x, y: len(x & y), 3)
