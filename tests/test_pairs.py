@@ -43,3 +43,7 @@ def test_tag_jaccard_has_each_pair(spark):
 
 def test_summary_overlap_has_each_pair(spark):
     _pairs(spark, "summary_overlap", T.tokens(F.substring("summary", 1, 500)), lambda x, y: len(x & y), 3)
+
+
+def test_ngram_jaccard_has_each_pair(spark):
+    _pairs(spark, "ngram_jaccard", T.clean_grams(F.col("summary")), _index, 0.5)
