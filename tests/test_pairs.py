@@ -47,3 +47,15 @@ def test_summary_overlap_has_each_pair(spark):
 
 def test_ngram_jaccard_has_each_pair(spark):
     _pairs(spark, "ngram_jaccard", T.clean_grams(F.col("summary")), _index, 0.5)
+
+
+def test_link_partial_has_each_pair_once(spark, monkeypatch):
+    """A page of two targets that stand for one page lists it once; a page may stand for its own target."""
+    links = spark.createDataFrame([("p", "ab"), ("p", "b c"), ("p", "zz"), ("xabx", "ab"), ("q", "none")], "src string, target string")
+    names = spark.createDataFrame([("xabx",), ("AB c",), ("p",), ("",)], "name string")
+    told = []
+    was = graph.folded
+    monkeypatch.setattr(graph, "folded", lambda own, table, *x, **k: (told.append((own.count(), table.count())), was(own, table, *x, **k))[1])
+    got = sorted(map(tuple, graph.partial_links(links, names).collect()))
+    assert got == [("p", "AB c"), ("p", "xabx"), ("xabx", "AB c"), ("xabx", "xabx")] and told == [(2, 2)]
+    assert catalog.queries()["link_partial"](spark, SF).columns == ["src", "dst"]
