@@ -59,3 +59,12 @@ def test_link_partial_has_each_pair_once(spark, monkeypatch):
     got = sorted(map(tuple, graph.partial_links(links, names).collect()))
     assert got == [("p", "AB c"), ("p", "xabx"), ("xabx", "AB c"), ("xabx", "xabx")] and told == [(2, 2)]
     assert catalog.queries()["link_partial"](spark, SF).columns == ["src", "dst"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sim_same_dir_has_each_pair(spark, seed):
+    n = some_notes(spark, 70, random.Random(seed))
+    want = [(r.src, r.dst, round(r.tag_jaccard, 4), r.token_overlap) for r in graph.same_dir_pairs(n).collect()]
+    got = [(r.src, r.dst, round(r.tag_jaccard, 4), r.token_overlap) for r in graph.same_dir_links(n).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    assert catalog.queries()["sim_same_dir"](spark, SF).columns == ["src", "dst", "tag_jaccard", "token_overlap"]
