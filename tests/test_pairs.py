@@ -68,3 +68,22 @@ def test_sim_same_dir_has_each_pair(spark, seed):
     got = [(r.src, r.dst, round(r.tag_jaccard, 4), r.token_overlap) for r in graph.same_dir_links(n).collect()]
     assert sorted(got) == sorted(want) and len(want) > 100
     assert catalog.queries()["sim_same_dir"](spark, SF).columns == ["src", "dst", "tag_jaccard", "token_overlap"]
+
+
+def test_increment_edges_lists_each_edge(spark):
+    n = some_notes(spark, 60, random.Random(7))
+    new = n.where("note_ord % 3 = 0").select(F.concat(F.lit("new"), "name").alias("name"), "tags", "summary")
+    links = new.select(F.col("name").alias("src"), F.explode(F.array(F.lit("m00"), F.lit("n01"), F.lit("zz"))).alias("target")).where("target <> 'n01' or src > 'newn03'")
+    rows = lambda df: sorted((r.src, r.dst, r.kind, r.edge_ord or 0, int(r.weight * 1e4 + 0.5)) for r in df.collect())
+    want = rows(ingest.new_edges(new, links, n))
+    assert rows(ingest.listed_edges(new, links, n)) == want and {"pre", "sim"} == {k for _, _, k, _, _ in want} and any(not r[3] for r in want)
+
+
+def test_edges_are_numbered_over_blocks():
+    schema = pa.schema([("id", pa.string()), *((f, pa.list_(pa.int64())) for f in ("tags", "tokens", "g", "targets"))])
+    block = lambda *ids: allpairs.Block(pa.RecordBatch.from_pylist([{"id": i, "tags": [1], "tokens": [], "g": [], "targets": [9]} for i in ids], schema), ["tags", "tokens", "g", "targets"])
+    x = block("x", "c")
+    fold = allpairs.Listed(x, lambda jac, o, ng: jac >= 0.4, lambda jac, o: np.full(len(jac), 7000.0), {"tags": 0.25, "g": 0.15}, 2)
+    got = [tuple(r.values()) for y in (block("a", "b"), block("c", "d")) for b in fold.add(x, y) for r in b.to_pylist()]
+    assert sorted(r for r in got if r[2] == "pre") == [("c", "a", "pre", 1, 1.0), ("c", "b", "pre", 2, 1.0), ("c", "d", "pre", 3, 1.0), *(("x", k, "pre", i, 1.0) for i, k in enumerate("abcd", 1))]
+    assert [(r[1], r[3]) for r in got if r[0] == "x" and r[2] == "sim"] == [("a", 1), ("b", 2), ("c", None), ("d", None)] and {r[4] for r in got if r[2] == "sim"} == {0.7}
