@@ -126,3 +126,40 @@ def test_later_tiers_see_open_queries_alone(spark, monkeypatch):
     q = n.select(F.col("name").alias("query")).unionByName(spark.createDataFrame([("me name",), ("some name 3 and more",), ("dir/so",), ("more some and name 4",), ("no",)], "query string"))
     got = sorted(tuple(r) for r in sessions.fuzzy_match(q, n).collect() if r.tier > 1)
     assert got == [("dir/so", "some name 0", 4), ("me name", "some name 0", 2), ("some name 3 and more", "some name 3", 3)] and asked == [(5, 20), (20, 4), (3, 20)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_nearest_over_several_blocks_against_loops(monkeypatch, seed):
+    """Ties by name over blocks and directories, tokens and tags of any number, and rows without any."""
+    monkeypatch.setattr(allpairs._Table, "ROWS", 3)
+    monkeypatch.setattr(allpairs._Table, "PAIRS", 7)
+    monkeypatch.setattr(allpairs.Nearest, "ROWS", 5)
+    monkeypatch.setattr(allpairs.Nearest, "AT_ONCE", 40)
+    rng = random.Random(seed)
+    some = lambda most, n: sorted({int(rng.paretovariate(0.6)) % n for _ in range(rng.randint(0, most))})
+    rows = [{"id": f"n{i:03d}", "within": rng.choice(["d0", "d0", "d1", f"own{i}"]), "tags": some(6, 12), "tokens": some(rng.choice([6, 6, 300]), 400)} for i in range(150)]
+
+    def keys(t):
+        size = len(t)
+        return sorted({hash((x, min(size, m), max(size, m))) for x in t for m in range(1, 6 - size)} | {hash((x, y)) for x in t for y in t if x < y})
+
+    rows = sorted(({**r, "keys": keys(r["tags"])} for r in rows), key=lambda r: (r["within"], r["id"]))
+    kinds = {"tags": pa.list_(pa.int64()), "tokens": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
+    block = lambda part: allpairs.Block(pa.RecordBatch.from_pylist(part, pa.schema([("id", pa.string()), ("within", pa.string()), *kinds.items()])), list(kinds))
+
+    def near(same, j, o):
+        return (same & ((o >= 3) | (j >= 0.35))) | (j >= 0.4) | ((j >= 0.25) & (o >= 5))
+
+    x = block(rows[20:70])
+    fold = allpairs.Nearest(x, near, 0.25, 3, 4)
+    parts = [block(rows[i : i + 37]) for i in range(0, 150, 37)]
+    for y in sorted(parts, key=lambda y: not x.dirs & y.dirs):
+        fold.add(x, y)
+    for a, got in zip(rows[20:70], fold.best):
+        want = []
+        for b in rows:
+            c, o = len({*a["tags"]} & {*b["tags"]}), len({*a["tokens"]} & {*b["tokens"]})
+            j = c / (len(a["tags"]) + len(b["tags"]) - c) if c else 0.0
+            if near(a["within"] == b["within"], j, o):
+                want.append((-(j * 10 + o * 0.5), b["id"].encode(), j, o))
+        assert got == sorted(want)[:4]
