@@ -87,3 +87,14 @@ def test_edges_are_numbered_over_blocks():
     got = [tuple(r.values()) for y in (block("a", "b"), block("c", "d")) for b in fold.add(x, y) for r in b.to_pylist()]
     assert sorted(r for r in got if r[2] == "pre") == [("c", "a", "pre", 1, 1.0), ("c", "b", "pre", 2, 1.0), ("c", "d", "pre", 3, 1.0), *(("x", k, "pre", i, 1.0) for i, k in enumerate("abcd", 1))]
     assert [(r[1], r[3]) for r in got if r[0] == "x" and r[2] == "sim"] == [("a", 1), ("b", 2), ("c", None), ("d", None)] and {r[4] for r in got if r[2] == "sim"} == {0.7}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_tag_links_are_the_tag_pairs(spark, seed, monkeypatch):
+    """The same rows, found in tasks: no pair is joined."""
+    n = some_notes(spark, 80, random.Random(seed))
+    want = [(r.src, r.dst, round(r.tag_jaccard, 4), r.token_overlap) for r in graph.tag_pairs(n).collect()]
+    got = [(r.src, r.dst, round(r.tag_jaccard, 4), r.token_overlap) for r in graph.tag_links(n).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    monkeypatch.setattr(graph, "_by_tags", None)
+    assert catalog.queries()["sim_tags"](spark, SF).count() > 0
