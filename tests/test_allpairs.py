@@ -163,3 +163,29 @@ def test_nearest_over_several_blocks_against_loops(monkeypatch, seed):
             if near(a["within"] == b["within"], j, o):
                 want.append((-(j * 10 + o * 0.5), b["id"].encode(), j, o))
         assert got == sorted(want)[:4]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counts_alone_are_those_of_degrees(seed):
+    """Indices at the thresholds, empty sets and rows of one id included; tokens are asked where they decide."""
+    rng = random.Random(seed)
+    schema = pa.schema([("id", pa.string()), *((f, pa.list_(pa.int64())) for f in ("tags", "tokens", "g"))])
+    some = lambda most, n: sorted({rng.randrange(n) for _ in range(rng.randint(0, most))})
+    block = lambda n, k: allpairs.Block(pa.RecordBatch.from_pylist([{"id": f"{k}{i % 9}", "tags": some(4, 9), "tokens": some(12, 20), "g": some(23, 60)} for i in range(n)], schema), ["tags", "tokens", "g"])
+    near = lambda jac, o, ng: (jac >= 0.4) | ((jac >= 0.25) & (o >= 5)) | (ng >= 0.15)
+    x = block(60, "n")
+    x.ids = [f"n{i}" for i in range(60)]
+    one, other = (kind(x, near, lambda jac, o: np.ones(len(jac)), {"tags": 0.25, "g": 0.15}) for kind in (allpairs.Degrees, allpairs.Near))
+    for y in (block(50, "n"), block(70, "m"), block(3, "n")):
+        one.add(x, y)
+        other.add(x, y)
+    assert one.links.tolist() == other.links.tolist() and 100 < one.links.sum() < 60 * 123 and other.rows(x).column(2).null_count == 60
+
+
+def test_ingest_does_not_weigh(spark, monkeypatch):
+    """Edges of new notes are counted alone where only their number is told."""
+    monkeypatch.setattr(ingest, "Degrees", None)
+    n = some_notes(spark, 30, random.Random(8)).withColumn("tags", F.array(F.lit("decree")))
+    t = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "epsilon zeta")], "text_id int, text string")
+    kept = [ingest.increment(t, n, [], "f", "s", listed=k)[2] for k in (True, False)]
+    assert sorted(map(tuple, kept[0].select("text_id", "edges_added").collect())) == sorted(map(tuple, kept[1].select("text_id", "edges_added").collect()))
